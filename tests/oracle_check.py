@@ -48,7 +48,16 @@ def compare(spark, con, sf_dir, name, fn, sql):
     same_cols = sorted(spdf.columns) == sorted(dpdf.columns)
     a, b = normalise(spdf), normalise(dpdf) if same_cols else []
     ok = same_cols and a == b
+    if same_cols:
+        dt = {c: (str(spdf[c].dtype), str(dpdf[c].dtype)) for c in spdf.columns if str(spdf[c].dtype).split("[")[0] != str(dpdf[c].dtype).split("[")[0]}
+        if dt:
+            ok = False
+            msg_types = f" dtypes={dt}"
+        else:
+            msg_types = ""
     msg = f"{name:32s} {'OK  ' if ok else 'FAIL'} spark={len(spdf)} duck={len(dpdf)} {t1 - t0:.2f}s"
+    if same_cols and msg_types:
+        msg += msg_types
     if not same_cols:
         msg += f" cols spark={list(spdf.columns)} duck={list(dpdf.columns)}"
     elif not ok:
