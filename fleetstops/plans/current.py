@@ -38,7 +38,8 @@ def list_stopped_vehicles(
     ).orderBy(F.col("stopped_for").desc(), "veh_tag", "stopped_at")
 
 
-_ORDER = [F.col("stopped_for").desc(), F.col("veh_tag"), F.col("stopped_at")]
+def _order():
+    return [F.col("stopped_for").desc(), F.col("veh_tag"), F.col("stopped_at")]
 
 
 def current_stops(
@@ -55,7 +56,7 @@ def current_stops(
     minutes (one decimal), latitude, longitude.
     """
     s = list_stopped_vehicles(readings, query_time, look_back, chunk_seconds=chunk_seconds)
-    top = top_rows(s, limit, _ORDER)
+    top = top_rows(s, limit, _order())
     return top.select(
         F.col("veh_tag").alias("vehicle_tag"),
         empty_if_null("train_asng").alias("train_assignment"),
@@ -76,7 +77,7 @@ def map_points(
 ) -> DataFrame:
     """Map markers of the longest current stops: tag, lat, lng, minutes."""
     s = list_stopped_vehicles(readings, query_time, look_back, chunk_seconds=chunk_seconds)
-    top = top_rows(s, limit, _ORDER)
+    top = top_rows(s, limit, _order())
     return top.select(
         F.col("veh_tag").alias("tag"),
         F.col("lat"),

@@ -9,7 +9,8 @@ from ..constants import HISTORY_HEAT_ROWS, HISTORY_TABLE_ROWS
 from ..functions.time import minutes_stopped, minutes_to_seconds
 from ..operators.reports import stops_at_hour, top_rows
 
-_ORDER = [F.col("stopped_for").desc(), F.col("vehicle_tag"), F.col("report_time")]
+def _order():
+    return [F.col("stopped_for").desc(), F.col("vehicle_tag"), F.col("report_time")]
 
 
 def historical_stops(
@@ -21,7 +22,7 @@ def historical_stops(
     rows come back every time.
     """
     s = stops_at_hour(detail, hour, minutes_to_seconds(min_minutes), minutes_to_seconds(max_minutes))
-    top = top_rows(s, limit, _ORDER)
+    top = top_rows(s, limit, _order())
     return top.select(
         "vehicle_tag",
         "report_time",
@@ -38,5 +39,5 @@ def heat_points(
 ) -> DataFrame:
     """Heat-map points (lat, lng) of historical stops."""
     s = stops_at_hour(detail, hour, minutes_to_seconds(min_minutes), minutes_to_seconds(max_minutes))
-    top = top_rows(s, limit, _ORDER)
+    top = top_rows(s, limit, _order())
     return top.select(F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
