@@ -13,8 +13,11 @@ Exactness of the window form against the join form:
   the bound, and when *no* earlier moving reading has an id inside the bound
   (``max_moving_id`` check) the stop has no match; both are exact. Only when
   ids of a vehicle fall while time rises can m* fail while an older reading
-  passes. Such rows are flagged ``ambiguous``; :func:`ids_follow_time` tells
-  whether a table can contain them at all.
+  passes. Such rows are answered exactly by
+  :func:`fleetstops.operators.gap_resolve.resolve_undecided` (id blocks + the
+  same scan, no reading pairs). The rows are found with one count over the
+  checkpointed stop ends, so tables whose ids follow time (see
+  :func:`ids_follow_time`) never pay for that step.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CHUNK_SECONDS, LONG_STOP_MAX_S, LONG_STOP_MIN_S, MAX_ID_GAP
 from ..functions.time import stop_length_rounded, stop_length_seconds, stop_length_trunc
+from ..session import ensure_checkpoint_dir
+from .gap_resolve import resolve_undecided
 from .scan import CHUNK, history_scan, stop_end_candidates
 
 
@@ -112,6 +117,39 @@ def _ambiguous(rid: str, max_id_gap: int | None):
     )
 
 
+def _exact_gap(
+    ends: DataFrame,
+    moving: DataFrame,
+    gap: int,
+    *,
+    key: str,
+    time: str,
+    rid: str,
+    chunk_seconds: int,
+) -> DataFrame:
+    """Keep decided rows, answer undecided ones exactly; drop rows without an answer.
+
+    ``ends`` holds the scan output (``last_moving_time``, ``last_moving_id``,
+    ``max_moving_id``). It is checkpointed to the shared checkpoint folder (only
+    stop ends, a small part of the readings) so that counting the undecided rows
+    and using the rows do not scan twice.
+    """
+    ok, amb = _gap_ok(rid, gap), _ambiguous(rid, gap)
+    flagged = ends.filter(ok | amb).withColumn("_fs_amb", amb).drop("last_moving_id", "max_moving_id")
+    ensure_checkpoint_dir(flagged.sparkSession)
+    fixed = flagged.checkpoint(eager=True)
+    n_undecided = fixed.filter(F.col("_fs_amb")).count()
+    decided = fixed.filter(~F.col("_fs_amb")).drop("_fs_amb")
+    if n_undecided == 0:
+        return decided
+    undecided = fixed.filter(F.col("_fs_amb")).drop("_fs_amb")
+    answers = resolve_undecided(
+        undecided, moving, gap, n_undecided=n_undecided, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds
+    )
+    resolved = undecided.drop("last_moving_time").join(answers, [key, time, rid], "inner")
+    return decided.unionByName(resolved)
+
+
 def last_moving_time(
     stopped: DataFrame,
     moving: DataFrame,
@@ -121,6 +159,7 @@ def last_moving_time(
     time: str = "report_time",
     rid: str = "reading_id",
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    exact: bool = True,
 ) -> DataFrame:
     """For each stopped reading, the latest earlier moving time of the same vehicle.
 
@@ -143,6 +182,12 @@ def last_moving_time(
         chunk_seconds=chunk_seconds,
         keep_chunk=True,
     )
+    if max_id_gap is not None and exact:
+        rows = _exact_gap(
+            scanned.drop(CHUNK), m.drop("_fs_is_mv"), max_id_gap, key=key, time=time, rid=rid,
+            chunk_seconds=chunk_seconds,
+        )
+        return rows.groupBy(key, time).agg(F.max("last_moving_time").alias("last_moving_time"))
     matched = scanned.filter(_gap_ok(rid, max_id_gap))
     # Group by (vehicle, chunk, time): same groups as (vehicle, time), and no new shuffle.
     return matched.groupBy(key, CHUNK, time).agg(F.max("last_moving_time").alias("last_moving_time")).select(
@@ -165,12 +210,14 @@ def stop_ends_with_last_moving(
     rid: str = "reading_id",
     chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
     with_ambiguous: bool = False,
+    exact: bool = True,
 ) -> DataFrame:
     """F3 + J1 in one scan: stop-end readings (all columns) with ``next_speed`` and ``last_moving_time``.
 
     Stop ends without a qualifying earlier moving reading are left out (inner
-    join semantics). With ``with_ambiguous`` the rows the window form cannot
-    decide (see module doc) are returned too, flagged in column ``ambiguous``.
+    join semantics). With an id bound and ``exact`` (default) undecided rows are
+    answered exactly (see module doc); with ``with_ambiguous`` they are returned
+    as the window form leaves them, flagged in column ``ambiguous``.
     """
     scanned = history_scan(
         readings,
@@ -186,6 +233,9 @@ def stop_ends_with_last_moving(
     if with_ambiguous:
         amb = _ambiguous(rid, max_id_gap)
         return ends.filter(ok | amb).withColumn("ambiguous", amb)
+    if max_id_gap is not None and exact:
+        moving = readings.filter(F.col(speed) > 0).select(key, time, rid)
+        return _exact_gap(ends, moving, max_id_gap, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds)
     return ends.filter(ok).drop("last_moving_id", "max_moving_id")
 
 

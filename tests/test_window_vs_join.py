@@ -156,3 +156,25 @@ def test_dedupe_keeps_largest_id(spark):
     assert out == sorted([(5, "v", T0, 2.0), (2, "w", T0, 4.0), (4, "v", T0 + dt.timedelta(seconds=1), 5.0)])
     assert RD.dedupe_readings(RD.dedupe_readings(df)).count() == 3
     assert sorted(tuple(r) for r in RD.duplicate_keys(df).collect()) == [("v", T0, 3)]
+
+
+@pytest.mark.parametrize("seed,chunk,gap", [(13, 60, 3000), (14, 900, 800), (15, 20, 200)])
+def test_gap_bounded_is_exact_when_ids_do_not_follow_time(spark, seed, chunk, gap):
+    """Shuffled ids: undecided rows are answered by the id-block scan; the result equals the join form."""
+    rows = make_rows(seed, ids_follow_time=False)
+    df = spark.createDataFrame(rows, SCHEMA)
+    undecided = ST.stop_ends_with_last_moving(df, max_id_gap=gap, chunk_seconds=chunk, with_ambiguous=True)
+    assert undecided.filter("ambiguous").count() > 0  # the case is really exercised
+    ends = ST.find_last_stopped(df, chunk_seconds=chunk)
+    end_rows = [(r.reading_id, r.vehicle_tag, r.report_time, r.speed) for r in ends.collect()]
+    want = brute_last_moving(rows, end_rows, gap)
+    got = {
+        (r.vehicle_tag, r.report_time): r.last_moving_time
+        for r in ST.last_moving_time(ends, ST.filter_moving(df), max_id_gap=gap, chunk_seconds=chunk).collect()
+    }
+    assert got == want
+    fused = {
+        (r.vehicle_tag, r.report_time): r.last_moving_time
+        for r in ST.stop_ends_with_last_moving(df, max_id_gap=gap, chunk_seconds=chunk).collect()
+    }
+    assert fused == want
