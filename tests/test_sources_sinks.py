@@ -1,0 +1,117 @@
+"""JDBC (embedded in-memory Derby: no server, no port), table sinks, SQL text, streaming ingest."""
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from fleetstops.sources import jdbc as J
+from fleetstops.sources import tables as TB
+from tests.conftest import SF_SMALL
+
+DERBY = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
+def derby_url():
+    return f"jdbc:derby:memory:fs{uuid.uuid4().hex};create=true"
+
+
+def small_readings(spark):
+    from fleetstops.sources.bindings import readings
+
+    return readings(spark, SF_SMALL)
+
+
+def test_jdbc_write_read_query_partitioned_copy(spark):
+    url = derby_url()
+    r = small_readings(spark).select("reading_id", "vehicle_tag", "report_time", "speed")
+    # the original table declares vehicle_tag varchar(50)
+    J.write_jdbc(r, url, "avl", properties={**DERBY, "createTableColumnTypes": "vehicle_tag VARCHAR(50)"})
+    whole = J.read_jdbc(spark, url, "avl", DERBY)
+    assert whole.count() == r.count()
+    sub = J.read_jdbc(spark, url, '(SELECT "reading_id", "speed" FROM avl WHERE "speed" > 0) subq', DERBY)
+    assert sub.count() == r.filter("speed > 0").count()
+    q = J.read_jdbc_query(spark, url, 'SELECT "reading_id" FROM avl WHERE "vehicle_tag" = \'7\'', DERBY)
+    assert q.count() == r.filter("vehicle_tag = '7'").count()
+    part = J.read_jdbc_partitioned(
+        spark, url, "avl", "report_time", "2024-01-01 00:00:00", "2024-01-31 00:00:00", 8, DERBY
+    )
+    assert part.rdd.getNumPartitions() == 8
+    assert dict(part.dtypes)["report_time"] == "timestamp_ntz"
+    assert part.count() == r.count()  # bounds set the stride only; nothing is filtered away
+    num = J.read_jdbc_partitioned(spark, url, "avl", "reading_id", 0, 1000, 4, DERBY)
+    assert num.rdd.getNumPartitions() == 4 and num.count() == r.count()
+    J.copy_table(spark, url, "avl", "avl_copy", DERBY)
+    assert J.read_jdbc(spark, url, "avl_copy", DERBY).count() == r.count()
+    # overwrite replaces
+    J.write_jdbc(r.limit(5), url, "avl_copy", "overwrite", DERBY)
+    assert J.read_jdbc(spark, url, "avl_copy", DERBY).count() == 5
+
+
+def test_fleet_job_from_jdbc_source(spark):
+    """The fleet question over a partitioned JDBC read gives the same stops as over Parquet."""
+    from fleetstops.plans.fleet import stopped_vehicles
+
+    url = derby_url()
+    r = small_readings(spark).select("reading_id", "vehicle_tag", "report_time", "speed")
+    J.write_jdbc(r, url, "avl", properties=DERBY)
+    src = J.read_jdbc_partitioned(
+        spark, url, "avl", "report_time", "2024-01-01 00:00:00", "2024-02-01 00:00:00", 8, DERBY
+    )
+    a = stopped_vehicles(src, "2024-01-01 00:00:00", "2024-02-01 00:00:00")
+    b = stopped_vehicles(r, "2024-01-01 00:00:00", "2024-02-01 00:00:00")
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert a.count() == 26
+
+
+def test_tables_partitioned_detail_and_distinct(spark, workdir):
+    from fleetstops.plans.fleet import stops_detail
+
+    r = small_readings(spark)
+    detail = stops_detail(r)
+    path = os.path.join(workdir, "detail")
+    TB.write_stops_detail(detail, path)
+    back = TB.read_table(spark, path)
+    assert back.count() == detail.count()
+    h = TB.hour_partition_filter(back, 16)
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "hour_of_day" in plan
+    assert h.count() == detail.filter("hour_of_day = 16").count()
+    v = TB.refresh_distinct(r, "vehicle_tag", os.path.join(workdir, "vehicles"))
+    assert v.count() == 15
+    TB.append_select(r.limit(3), os.path.join(workdir, "app"))
+    TB.append_select(r.limit(3), os.path.join(workdir, "app"))
+    assert TB.read_table(spark, os.path.join(workdir, "app")).count() == 6
+
+
+def test_sql_text_over_views(spark):
+    r = small_readings(spark)
+    TB.register_view(r, "avl_view")
+    out = TB.run_sql(
+        spark,
+        """WITH moving AS (SELECT vehicle_tag, count(*) AS n FROM avl_view WHERE speed > 0 GROUP BY vehicle_tag)
+           SELECT sum(n) AS n FROM (SELECT * FROM moving) t""",
+    )
+    assert out.first().n == r.filter("speed > 0").count()
+    assert TB.persist(r.limit(1), disk_only=True).count() == 1
+
+
+def test_streaming_ingest_picks_up_new_files(spark, workdir):
+    from fleetstops.streaming.ingest import start_ingest_stream
+    from tests.test_ingest import make_files
+
+    src = make_files(workdir)
+    out, man, ck = (os.path.join(workdir, x) for x in ("readings", "manifest", "ckpt"))
+    q = start_ingest_stream(spark, src, out, man, checkpoint=ck, max_files_per_trigger=2, reading_id_from="rev")
+    q.awaitTermination(120)
+    first = spark.read.parquet(out)
+    assert first.count() == 7
+    m = {r.file_name: r.readings for r in spark.read.parquet(man).collect()}
+    assert m["sfmtaAVLRawData01012013.csv"] == 3 and m["sfmtaAVLRawData01022013.csv"] == 2
+    # a new daily file arrives: only it is processed on restart from the same checkpoint
+    with open(os.path.join(src, "sfmtaAVLRawData01052013.csv"), "w") as f:
+        f.write("31,01/05/2013 09:00:00,D4,-122.4,37.7,0,0,X,1\n")
+    q = start_ingest_stream(spark, src, out, man, checkpoint=ck, reading_id_from="rev")
+    q.awaitTermination(120)
+    assert spark.read.parquet(out).count() == 8
+    assert spark.read.parquet(out).filter(F.col("reading_id") == 31).count() == 1
