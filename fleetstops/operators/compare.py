@@ -167,3 +167,28 @@ def approx_diff(a: DataFrame, b: DataFrame, tol: float, key: list[str] | None =
     )
     out = j.select(*key, side.alias("side"), F.when(side == "both", mism).otherwise(F.lit("")).alias("columns"))
     return out.filter((F.col("side") != "both") | (F.col("columns") != ""))
+
+
+def diff_with(a: DataFrame, b: DataFrame, equals, key: list[str] | None = None) -> DataFrame:
+    """U4: rows for which a user predicate says "not equal".
+
+    ``equals(x, y)`` receives the two sides' rows as struct Columns (fields by
+    column name) and returns a boolean Column, so the rule runs inside Spark's
+    generated code rather than per row in Python. Rows are matched by ``key``,
+    or by position when no key is given. Output: the key, ``side`` ('both', 'a'
+    or 'b').
+    """
+    if key is None:
+        a, b, key = with_row_index(a), with_row_index(b), ["row_index"]
+    key = list(key)
+    vals = [c for c in a.columns if c not in key]
+    sa = a.select(*key, F.struct(*vals).alias("_fs_a"), F.lit(True).alias("_fs_ina"))
+    sb = b.select(*key, F.struct(*vals).alias("_fs_b"), F.lit(True).alias("_fs_inb"))
+    j = sa.join(sb, key, "full_outer")
+    side = (
+        F.when(F.col("_fs_ina").isNull(), F.lit("b")).when(F.col("_fs_inb").isNull(), F.lit("a")).otherwise(F.lit("both"))
+    )
+    same = F.coalesce(equals(F.col("_fs_a"), F.col("_fs_b")), F.lit(False))
+    return j.select(*key, side.alias("side"), same.alias("_fs_same")).filter(
+        (F.col("side") != "both") | ~F.col("_fs_same")
+    ).drop("_fs_same")

@@ -62,3 +62,12 @@ def test_approx_diff(spark):
     # positional when no key
     assert C.approx_diff(a, a, 0.0).count() == 0
     assert C.default_sort(a).columns == ["id", "s", "d", "t"]
+
+
+def test_diff_with_user_predicate(spark):
+    a = df_ab(spark)
+    b = a.withColumn("s", F.upper("s"))
+    same_ci = lambda x, y: F.lower(x["s"]).eqNullSafe(F.lower(y["s"])) & x["d"].eqNullSafe(y["d"])
+    assert C.diff_with(a, b, same_ci, key=["id"]).count() == 0
+    exact = lambda x, y: x.eqNullSafe(y)
+    assert sorted(r.id for r in C.diff_with(a, b, exact, key=["id"]).collect()) == [1, 2]
