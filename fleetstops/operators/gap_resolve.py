@@ -42,7 +42,7 @@ def resolve_undecided(
     key: str = "vehicle_tag",
     time: str = "report_time",
     rid: str = "reading_id",
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
 ) -> DataFrame:
     """(key, time, rid, last_moving_time) for each undecided stop end that has an answer.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CHUNK_SECONDS
-from .scan import CHUNK, US, prepare
+from .scan import CHUNK, prepare, resolve_chunk_seconds
 
 
 def between_times(df: DataFrame, lo, hi, time: str = "report_time") -> DataFrame:
@@ -79,7 +79,7 @@ def ids_follow_time(
     key: str = "vehicle_tag",
     time: str = "report_time",
     rid: str = "reading_id",
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
 ) -> DataFrame:
     """Check the condition under which the id-bounded window form can never be ambiguous.
 
@@ -88,10 +88,11 @@ def ids_follow_time(
     same (vehicle, chunk) split as the stop scan: an in-chunk running maximum plus
     the maximum carried from earlier chunks.
     """
+    chunk_seconds = resolve_chunk_seconds(readings, chunk_seconds, key, time)
     base = prepare(readings, key=key, time=time, moving=F.lit(True), chunk_seconds=chunk_seconds)
-    w = Window.partitionBy(key, CHUNK).orderBy(US, rid)
+    w = Window.partitionBy(key, CHUNK).orderBy(time, rid)
     in_chunk = base.select(
-        key, CHUNK, US, rid, F.max(rid).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_fs_prev_max")
+        key, CHUNK, time, rid, F.max(rid).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_fs_prev_max")
     )
     summary = base.groupBy(key, CHUNK).agg(F.max(rid).alias("_fs_c_max"), F.min(rid).alias("_fs_c_min"))
     wk = Window.partitionBy(key).orderBy(CHUNK)
@@ -100,7 +101,7 @@ def ids_follow_time(
     )
     # Readings that share a time are ordered by id above, which hides them; they are
     # counted on their own (dedupe first when there are any).
-    ties = base.groupBy(key, CHUNK, US).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    ties = base.groupBy(key, CHUNK, time).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     joined = in_chunk.join(carry, [key, CHUNK])
     bad = joined.filter(F.col(rid) <= F.greatest(F.col("_fs_prev_max"), F.col("_fs_carry_max")))
     return _violations(bad, ties)

@@ -6,24 +6,30 @@ For every reading it finds
 * the latest earlier *moving* reading of the same vehicle (time and id), plus the
   largest id of any earlier moving reading,
 
-which is all that stop detection needs. A plain ``Window.partitionBy(vehicle)``
-does this in one pass but puts a vehicle's whole history into one task; a
-vehicle holding a third of all rows would then run in one task. Here the
-history is cut into (vehicle, time chunk) pieces instead:
+which is all that stop detection needs.
+
+A plain ``Window.partitionBy(vehicle)`` does this in one pass and is the
+cheapest plan while every vehicle's history fits one task. A vehicle holding a
+third of all rows would then run in one task, so the scan first measures the
+data (:func:`choose_chunk_seconds`: one grouped count per vehicle, two numbers
+to the driver) and, only if some vehicle has more than ``CHUNK_TARGET_ROWS``
+readings, cuts every history into (vehicle, time chunk) pieces:
 
 1. one window pass partitioned by (vehicle, chunk) answers everything that stays
    inside a chunk;
 2. a grouped aggregate (map-side combined, one row per chunk) summarises each
    chunk: its first speed and its last moving reading;
 3. a window over those summaries, partitioned by vehicle and ordered by chunk,
-   carries values across chunk borders; its size grows with the time span
-   covered (chunks), not with the number of readings;
+   carries values across chunk borders; its size grows with the number of
+   chunks, not with the number of readings;
 4. the carry rows are joined back on (vehicle, chunk). The big side is already
    hash-partitioned on exactly that key by step 1, so only the small carry side
    moves (or is broadcast by AQE when its measured size is small).
 
-"Earlier" is strict: readings at the same time never see each other, matching
-a ``report_time > moving.report_time`` join condition even when keys repeat.
+Windows are ordered by the timestamp itself (no per-row conversion); "earlier"
+is strict — a ``RANGE … 1 MICROSECOND PRECEDING`` frame — so readings at the
+same time never see each other, matching a ``report_time > moving.report_time``
+join condition even when keys repeat.
 """
 
 from __future__ import annotations
@@ -31,28 +37,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_CHUNK_SECONDS
-from ..functions.time import epoch_micros, floor_div
+from ..constants import CHUNK_TARGET_ROWS
+from ..functions.time import floor_div
 
 # Names of the internal columns (removed from every output).
-US = "_fs_us"
 CHUNK = "_fs_chunk"
 MV = "_fs_moving"
-NX_US = "_fs_next_us"
+NX_T = "_fs_next_t"
 NX_SPEED = "_fs_next_speed"
+# Share of rows the chunk-length estimate looks at.
+SAMPLE_FRACTION = 0.01
+
+
+def choose_chunk_seconds(
+    readings: DataFrame, *, key: str = "vehicle_tag", time: str = "report_time", target_rows: int = CHUNK_TARGET_ROWS
+) -> int | None:
+    """Pick the time-chunk length from the data (one small aggregate job).
+
+    Per vehicle: estimated number of readings and first/last time (a grouped
+    aggregate over a 1% sample, combined map-side, one row per vehicle); then the largest count and the
+    largest density over all vehicles (a global aggregate: two numbers reach the
+    driver). If no vehicle has more than ``target_rows`` readings, ``None``: no
+    split is needed. Otherwise the chunk length at which the densest vehicle's
+    chunks hold about ``target_rows`` readings.
+    """
+    # Only an estimate is needed (the split changes cost, never results): counts come
+    # from a fixed-seed Bernoulli sample and are scaled back up.
+    fraction = SAMPLE_FRACTION
+    per_vehicle = (
+        readings.select(key, time)
+        .filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+        .sample(withReplacement=False, fraction=fraction, seed=17)
+        .groupBy(key)
+        .agg((F.count(F.lit(1)) / F.lit(fraction)).alias("n"), F.min(time).alias("t0"), F.max(time).alias("t1"))
+    )
+    span_s = F.greatest((F.unix_timestamp("t1") - F.unix_timestamp("t0")).cast("double"), F.lit(1.0))
+    row = per_vehicle.agg(F.max("n").alias("max_n"), F.max(F.col("n") / span_s).alias("max_density")).first()
+    if row is None or row.max_n is None or row.max_n <= target_rows:
+        return None
+    return max(1, int(target_rows / row.max_density))
+
+
+def resolve_chunk_seconds(readings: DataFrame, chunk_seconds, key: str, time: str) -> int | None:
+    """``"auto"`` → :func:`choose_chunk_seconds`; ``None`` → no split; an int → that length."""
+    if chunk_seconds == "auto":
+        return choose_chunk_seconds(readings, key=key, time=time)
+    return chunk_seconds
 
 
-def prepare(readings: DataFrame, *, key: str, time: str, moving: Column, chunk_seconds: int) -> DataFrame:
-    """Drop rows without key or time; add epoch micros, chunk number and moving flag."""
-    tdt = readings.schema[time].dataType
+def prepare(readings: DataFrame, *, key: str, time: str, moving: Column, chunk_seconds: int | None) -> DataFrame:
+    """Drop rows without key or time; add the chunk number (0 without split) and the moving flag.
+
+    The chunk comes from whole epoch seconds (``unix_timestamp``: wall clock for
+    ``timestamp_ntz``, independent of the session time zone).
+    """
+    if chunk_seconds is None:
+        chunk = F.lit(0).cast("long")
+    else:
+        chunk = floor_div(F.unix_timestamp(F.col(time)), int(chunk_seconds))
     return (
         readings.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
-        .withColumn(US, epoch_micros(time, tdt))
-        .withColumn(CHUNK, floor_div(F.col(US), int(chunk_seconds) * 1_000_000))
+        .withColumn(CHUNK, chunk)
         .withColumn(MV, F.coalesce(moving, F.lit(False)))
     )
 
 
+def strictly_before(agg_sql: str, key: str, time: str) -> Column:
+    """``agg_sql`` over the rows of the same (key, chunk) strictly earlier in time."""
+    return F.expr(
+        f"{agg_sql} OVER (PARTITION BY `{key}`, `{CHUNK}` ORDER BY `{time}` "
+        f"RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
+    )
+
+
 def history_scan(
     readings: DataFrame,
     *,
@@ -64,49 +121,67 @@ def history_scan(
     keep: Column | None = None,
     with_next: bool = True,
     with_last: bool = True,
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = "auto",
     keep_chunk: bool = False,
 ) -> DataFrame:
     """Add ``next_speed``, ``last_moving_time``, ``last_moving_id``, ``max_moving_id``.
 
     ``moving`` marks the readings that count as moving (default ``speed > 0``).
     ``keep`` is a filter applied after the in-chunk window and before the carry
-    join; it may use the input columns and ``NX_US``/``NX_SPEED`` (the in-chunk
+    join; it may use the input columns and ``NX_T``/``NX_SPEED`` (the in-chunk
     next reading, NULL time when the reading is last in its chunk).
     With ``keep_chunk`` the chunk number stays in the output as ``CHUNK`` so that
     callers can group by (key, chunk, time) without a new shuffle.
+
+    ``chunk_seconds``: ``"auto"`` (default) measures the data first (see
+    :func:`choose_chunk_seconds`); ``None`` never splits a vehicle; an int
+    always splits at that length.
     """
     if moving is None:
         moving = F.col(speed) > 0
     out_cols = list(readings.columns)
+    chunk_seconds = resolve_chunk_seconds(readings, chunk_seconds, key, time)
     base = prepare(readings, key=key, time=time, moving=moving, chunk_seconds=chunk_seconds)
 
     # 1. Inside each (vehicle, chunk).
-    w = Window.partitionBy(key, CHUNK).orderBy(US)
-    before = w.rangeBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(key, CHUNK).orderBy(time)
     extra = []
     if with_next:
-        extra += [F.lead(US).over(w).alias(NX_US), F.lead(speed).over(w).alias(NX_SPEED)]
+        extra += [F.lead(time).over(w).alias(NX_T), F.lead(speed).over(w).alias(NX_SPEED)]
     if with_last:
-        mv_row = F.when(F.col(MV), F.struct(F.col(US).alias("us"), F.col(time).alias("t"), F.col(rid).alias("id")))
         extra += [
-            F.max(mv_row).over(before).alias("_fs_lm"),
-            F.max(F.when(F.col(MV), F.col(rid))).over(before).alias("_fs_mmid"),
+            strictly_before(
+                f"max(CASE WHEN `{MV}` THEN named_struct('t', `{time}`, 'id', `{rid}`) END)", key, time
+            ).alias("_fs_lm"),
+            strictly_before(f"max(CASE WHEN `{MV}` THEN `{rid}` END)", key, time).alias("_fs_mmid"),
         ]
     scanned = base.select("*", *extra)
     if keep is not None:
         scanned = scanned.filter(keep)
+    keep_cols = [F.col(c) for c in out_cols] + ([F.col(CHUNK)] if keep_chunk else [])
 
-    # 2. One summary row per chunk (partial aggregation before the shuffle).
+    if chunk_seconds is None:
+        # One chunk per vehicle: the in-chunk values are final.
+        result = []
+        if with_next:
+            result.append(F.col(NX_SPEED).alias("next_speed"))
+        if with_last:
+            result += [
+                F.col("_fs_lm")["t"].alias("last_moving_time"),
+                F.col("_fs_lm")["id"].alias("last_moving_id"),
+                F.col("_fs_mmid").alias("max_moving_id"),
+            ]
+        return scanned.select(*keep_cols, *result)
+
+    # 2. One summary row per chunk (partial aggregation before the shuffle; primitive buffers only).
     aggs = []
-    mv_us = F.when(F.col(MV), F.col(US))
+    mv_t = F.when(F.col(MV), F.col(time))
     if with_next:
-        aggs.append(F.min_by(F.col(speed), F.col(US)).alias("_fs_first_speed"))
+        aggs.append(F.min_by(F.col(speed), F.col(time)).alias("_fs_first_speed"))
     if with_last:
         aggs += [
-            F.max(mv_us).alias("_fs_c_us"),
-            F.max_by(F.when(F.col(MV), F.col(time)), mv_us).alias("_fs_c_t"),
-            F.max_by(F.when(F.col(MV), F.col(rid)), mv_us).alias("_fs_c_id"),
+            F.max(mv_t).alias("_fs_c_t"),
+            F.max_by(F.when(F.col(MV), F.col(rid)), mv_t).alias("_fs_c_id"),
             F.max(F.when(F.col(MV), F.col(rid))).alias("_fs_c_mmid"),
         ]
     summary = base.groupBy(key, CHUNK).agg(*aggs)
@@ -119,8 +194,7 @@ def history_scan(
         carry_cols.append(F.lead("_fs_first_speed").over(wk).alias("_fs_cx_speed"))
     if with_last:
         c_row = F.when(
-            F.col("_fs_c_us").isNotNull(),
-            F.struct(F.col("_fs_c_us").alias("us"), F.col("_fs_c_t").alias("t"), F.col("_fs_c_id").alias("id")),
+            F.col("_fs_c_t").isNotNull(), F.struct(F.col("_fs_c_t").alias("t"), F.col("_fs_c_id").alias("id"))
         )
         carry_cols += [
             F.last(c_row, ignorenulls=True).over(prior).alias("_fs_cl"),
@@ -133,7 +207,7 @@ def history_scan(
     result = []
     if with_next:
         result.append(
-            F.when(F.col(NX_US).isNotNull(), F.col(NX_SPEED)).otherwise(F.col("_fs_cx_speed")).alias("next_speed")
+            F.when(F.col(NX_T).isNotNull(), F.col(NX_SPEED)).otherwise(F.col("_fs_cx_speed")).alias("next_speed")
         )
     if with_last:
         lm = F.coalesce(F.col("_fs_lm"), F.col("_fs_cl"))
@@ -142,10 +216,9 @@ def history_scan(
             lm["id"].alias("last_moving_id"),
             F.greatest(F.col("_fs_mmid"), F.col("_fs_cmmid")).alias("max_moving_id"),
         ]
-    keep_cols = [F.col(c) for c in out_cols] + ([F.col(CHUNK)] if keep_chunk else [])
     return joined.select(*keep_cols, *result)
 
 
 def stop_end_candidates(speed: str = "speed") -> Column:
     """``keep`` filter for stop ends: stopped now, and not followed inside the chunk by a non-moving reading."""
-    return (F.col(speed) == 0) & (F.col(NX_US).isNull() | (F.col(NX_SPEED) > 0))
+    return (F.col(speed) == 0) & (F.col(NX_T).isNull() | (F.col(NX_SPEED) > 0))

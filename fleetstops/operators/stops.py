@@ -39,7 +39,7 @@ def next_speed(
     time: str = "report_time",
     speed: str = "speed",
     rid: str = "reading_id",
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
 ) -> DataFrame:
     """Every reading with the speed of the vehicle's next reading (NULL for the last one)."""
     return history_scan(
@@ -54,7 +54,7 @@ def find_last_stopped(
     time: str = "report_time",
     speed: str = "speed",
     rid: str = "reading_id",
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
 ) -> DataFrame:
     """readings that end a stop: speed = 0 and the next reading's speed > 0."""
     scanned = history_scan(
@@ -87,7 +87,7 @@ def last_moving_window(
     time: str = "report_time",
     speed: str = "speed",
     rid: str = "reading_id",
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
 ) -> DataFrame:
     """For every speed-0 reading, the latest earlier moving time of its vehicle (NULL if none)."""
     scanned = history_scan(
@@ -158,7 +158,7 @@ def last_moving_time(
     key: str = "vehicle_tag",
     time: str = "report_time",
     rid: str = "reading_id",
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
     exact: bool = True,
 ) -> DataFrame:
     """For each stopped reading, the latest earlier moving time of the same vehicle.
@@ -208,7 +208,7 @@ def stop_ends_with_last_moving(
     time: str = "report_time",
     speed: str = "speed",
     rid: str = "reading_id",
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
     with_ambiguous: bool = False,
     exact: bool = True,
 ) -> DataFrame:

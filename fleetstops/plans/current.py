@@ -12,7 +12,7 @@ from ..operators.stops import stop_ends_with_last_moving
 
 
 def list_stopped_vehicles(
-    readings: DataFrame, query_time, look_back: int, *, chunk_seconds: int = DEFAULT_CHUNK_SECONDS
+    readings: DataFrame, query_time, look_back: int, *, chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS
 ) -> DataFrame:
     """Vehicles whose stop ended within ``look_back`` minutes before ``query_time``, longest first.
 
@@ -48,7 +48,7 @@ def current_stops(
     look_back: int,
     limit: int = CURRENT_TABLE_ROWS,
     *,
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
 ) -> DataFrame:
     """Display rows of :func:`list_stopped_vehicles`, first ``limit`` (0 = all).
 
@@ -73,7 +73,7 @@ def map_points(
     look_back: int,
     limit: int = CURRENT_MAP_ROWS,
     *,
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
 ) -> DataFrame:
     """Map markers of the longest current stops: tag, lat, lng, minutes."""
     s = list_stopped_vehicles(readings, query_time, look_back, chunk_seconds=chunk_seconds)

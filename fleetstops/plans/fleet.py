@@ -22,7 +22,7 @@ def stopped_vehicles(
     max_id_gap: int | None = MAX_ID_GAP,
     min_s: int = LONG_STOP_MIN_S,
     max_s: int = LONG_STOP_MAX_S,
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
 ) -> DataFrame:
     """Which vehicles stood still for more than 5 minutes and less than 2 hours, when, how long.
 
@@ -45,7 +45,7 @@ def stops_detail(
     max_id_gap: int | None = MAX_ID_GAP,
     min_s: int = LONG_STOP_MIN_S,
     max_s: int = LONG_STOP_MAX_S,
-    chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
 ) -> DataFrame:
     """Long stops with hour of day and the stop-end reading's coordinates.
 
@@ -69,7 +69,7 @@ def stops_detail(
 
 
 def stop_times(
-    readings: DataFrame, *, with_location: bool = False, chunk_seconds: int = DEFAULT_CHUNK_SECONDS
+    readings: DataFrame, *, with_location: bool = False, chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS
 ) -> DataFrame:
     """Every stop end of every vehicle with the last moving time before it (no id bound).
 
@@ -89,7 +89,7 @@ def stop_times(
     )
 
 
-def stops_in_window(readings: DataFrame, lower, upper, *, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def stops_in_window(readings: DataFrame, lower, upper, *, chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
     """Stop times that ended between two times, with coordinates, longest first.
 
     The time filter applies to finished stops (their last moving time may lie

@@ -143,3 +143,23 @@ def readings_speed_shifted(spark: SparkSession, sf_dir: str, delta: float = 0.00
 def readings_every_100th_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparison partner: the same readings without every 100th one."""
     return readings(spark, sf_dir).filter(F.col("reading_id") % 100 != 0)
+
+
+def readings_scaled(spark: SparkSession, sf_dir: str, copies: int) -> DataFrame:
+    """Readings of ``events`` repeated ``copies`` times as distinct vehicles (for scaling runs).
+
+    Copy c shifts vehicle tags by c·10^7 and ids by c·10^10, so ids still follow
+    time within every vehicle; rows are generated inside the tasks (``explode``).
+    """
+    r = readings(spark, sf_dir)
+    c = F.explode(F.sequence(F.lit(0), F.lit(int(copies) - 1))).alias("_copy")
+    rep = r.select("*", c)
+    return rep.select(
+        (F.col("reading_id") + F.col("_copy") * F.lit(10**10)).alias("reading_id"),
+        "rev",
+        "report_time",
+        F.when(F.col("_copy") == 0, F.col("vehicle_tag"))
+        .otherwise(F.concat(F.col("vehicle_tag"), F.lit("-"), F.col("_copy").cast("string")))
+        .alias("vehicle_tag"),
+        *[x for x in r.columns if x not in ("reading_id", "rev", "report_time", "vehicle_tag")],
+    )

@@ -178,3 +178,20 @@ def test_gap_bounded_is_exact_when_ids_do_not_follow_time(spark, seed, chunk, ga
         for r in ST.stop_ends_with_last_moving(df, max_id_gap=gap, chunk_seconds=chunk).collect()
     }
     assert fused == want
+
+
+def test_auto_chunking_splits_hot_vehicle_and_stays_exact(spark):
+    """A vehicle above the target row count gets time chunks; results do not change."""
+    from fleetstops.operators.scan import choose_chunk_seconds
+
+    rows = make_rows(16, n=3000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert choose_chunk_seconds(df) is None  # small vehicles: one window per vehicle
+    cs = choose_chunk_seconds(df, target_rows=100)
+    assert cs is not None and cs < 6 * 3600
+    got = {
+        (r.vehicle_tag, r.report_time): r.last_moving_time
+        for r in ST.stop_ends_with_last_moving(df, max_id_gap=None, chunk_seconds=cs).collect()
+    }
+    ends = [(r.reading_id, r.vehicle_tag, r.report_time, r.speed) for r in ST.find_last_stopped(df).collect()]
+    assert got == brute_last_moving(rows, ends, None)
