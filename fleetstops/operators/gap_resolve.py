@@ -28,9 +28,10 @@ from ..constants import DEFAULT_CHUNK_SECONDS
 from .scan import history_scan
 
 MAX_LEVEL = 62
-# Undecided stop ends up to this many rows: their per-vehicle bounds and block keys
-# are broadcast (one row per vehicle / at most 63 rows per stop end); above it they shuffle.
-BROADCAST_MAX_ROWS = 200_000
+# Undecided stop ends up to this many rows (counted): their per-vehicle bounds (at most
+# one row per stop end) and wanted block keys (at most 63 small rows per stop end, so
+# at most 1.26 million) are broadcast; above it both sides are shuffled instead.
+BROADCAST_MAX_ROWS = 20_000
 
 
 def resolve_undecided(
