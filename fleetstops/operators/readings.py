@@ -32,8 +32,14 @@ def dedupe_readings(
     """
     keys = list(keys)
     others = [c for c in readings.columns if c not in keys and c != rid]
+    # Keys with a NULL part never equal another key (the original deletes duplicates
+    # with an equality self-join), so such rows each get a group of their own.
+    any_null = F.lit(False)
+    for k in keys:
+        any_null = any_null | F.col(k).isNull()
+    tagged = readings.withColumn("_fs_solo", F.when(any_null, F.monotonically_increasing_id()))
     best = F.max(F.struct(F.col(rid), *[F.col(c) for c in others])).alias("_fs_best")
-    out = readings.groupBy(*keys).agg(best)
+    out = tagged.groupBy(*keys, "_fs_solo").agg(best)
     return out.select(*[F.col(f"_fs_best.{c}").alias(c) if c not in keys else F.col(c) for c in readings.columns])
 
 

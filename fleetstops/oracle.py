@@ -160,7 +160,8 @@ SQL: dict[str, str] = {
     "stopped_vehicles": f"{FLEET} SELECT * FROM stops",
     "ingest_avl": f"""WITH {RAW}
 SELECT * FROM promoted
-QUALIFY row_number() OVER (PARTITION BY vehicle_tag, report_time ORDER BY reading_id DESC) = 1""",
+QUALIFY vehicle_tag IS NULL OR report_time IS NULL
+     OR row_number() OVER (PARTITION BY vehicle_tag, report_time ORDER BY reading_id DESC) = 1""",
     "stopped_vehicle": f"""{VEH},
 stopped AS (SELECT * FROM v WHERE speed = 0),
 moving AS (SELECT * FROM v WHERE speed > 0),
@@ -271,7 +272,9 @@ FROM ends e JOIN lmi i ON e.report_time = i.report_time""",
 SELECT s.vehicle_tag, s.report_time, s.stopped_for, a.latitude, a.longitude
 FROM stops s JOIN readings a ON s.vehicle_tag = a.vehicle_tag AND s.report_time = a.report_time""",
     "dedupe_readings": f"""WITH {READINGS}, {HOUR_KEYS}
-SELECT * FROM hk QUALIFY row_number() OVER (PARTITION BY vehicle_tag, report_time ORDER BY reading_id DESC) = 1""",
+SELECT * FROM hk
+QUALIFY vehicle_tag IS NULL OR report_time IS NULL
+     OR row_number() OVER (PARTITION BY vehicle_tag, report_time ORDER BY reading_id DESC) = 1""",
     # aggregates
     "duplicate_keys": f"""WITH {READINGS}, {HOUR_KEYS}
 SELECT vehicle_tag, report_time, count(*) AS n FROM hk GROUP BY vehicle_tag, report_time HAVING count(*) > 1""",

@@ -156,6 +156,9 @@ def test_dedupe_keeps_largest_id(spark):
     assert out == sorted([(5, "v", T0, 2.0), (2, "w", T0, 4.0), (4, "v", T0 + dt.timedelta(seconds=1), 5.0)])
     assert RD.dedupe_readings(RD.dedupe_readings(df)).count() == 3
     assert sorted(tuple(r) for r in RD.duplicate_keys(df).collect()) == [("v", T0, 3)]
+    # rows with a NULL key part are never duplicates of each other
+    nulls = spark.createDataFrame([(7, None, T0, 1.0), (8, None, T0, 2.0), (9, "v", None, 3.0)], SCHEMA)
+    assert RD.dedupe_readings(nulls).count() == 3
 
 
 @pytest.mark.parametrize("seed,chunk,gap", [(13, 60, 3000), (14, 900, 800), (15, 20, 200)])
