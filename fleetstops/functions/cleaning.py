@@ -20,8 +20,21 @@ def strip_header(c, header: str = RAW_HEADER) -> Column:
 
 
 def parse_report_time(c, fmt: str = RAW_TIME_FORMAT) -> Column:
-    """P5: 'MM/dd/yyyy HH:mm:ss' text to timestamp_ntz; unparsable text gives NULL."""
-    return F.try_to_timestamp(_col(c), F.lit(fmt)).cast("timestamp_ntz")
+    """P5: 'MM/dd/yyyy HH:mm:ss' text to timestamp_ntz; unparsable text gives NULL.
+
+    For the raw file format the six fields are split off and assembled with
+    ``try_make_timestamp_ntz``: the wall-clock time is kept exactly, whatever the
+    session time zone (no local-time gap can move it), one- or two-digit fields
+    are accepted, and impossible dates give NULL. Other formats go through
+    ``try_to_timestamp``.
+    """
+    c = _col(c)
+    if fmt != RAW_TIME_FORMAT:
+        return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    p = F.split(c, "[/ :]")
+    num = [F.get(p, i).try_cast("int") for i in range(6)]
+    ts = F.try_make_timestamp_ntz(num[2], num[0], num[1], num[3], num[4], num[5])
+    return F.when(F.size(p) == 6, ts)
 
 
 def empty_to_null_double(c) -> Column:

@@ -25,16 +25,25 @@ def split_fields(raw: DataFrame, column: str = "value", fields=RAW_FIELDS, keep=
     return raw.select(*[F.col(k) for k in keep], *[F.get(parts, i).alias(name) for i, name in enumerate(fields)])
 
 
-def assign_reading_id(df: DataFrame, from_column: str | None = None, name: str = "reading_id") -> DataFrame:
+def assign_reading_id(
+    df: DataFrame, from_column: str | None = None, name: str = "reading_id", dense: bool = False
+) -> DataFrame:
     """A surrogate key.
 
     Default: ``monotonically_increasing_id()`` — unique and increasing within the
     scan order, computed without any shuffle (ids have gaps between partitions).
+    ``dense``: 0, 1, 2, … without gaps (per-partition counts, then offsets; the
+    input is checkpointed first so both passes see the same rows).
     With ``from_column`` the id is taken from that text column instead.
     """
-    if from_column is None:
-        return df.withColumn(name, F.monotonically_increasing_id())
-    return df.withColumn(name, F.col(from_column).try_cast("long"))
+    if from_column is not None:
+        return df.withColumn(name, F.col(from_column).try_cast("long"))
+    if dense:
+        from .compare import with_row_index
+
+        cols = df.columns
+        return with_row_index(df, name).select(*cols, name)
+    return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def promote_readings(staging: DataFrame, reading_id_from: str | None = None, keep=()) -> DataFrame:

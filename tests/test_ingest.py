@@ -110,3 +110,25 @@ def test_substring_helpers(spark):
     df = spark.createDataFrame([(RAW_HEADER + "1,2",)], "value string")
     r = df.select(substring_tail("value", len(RAW_HEADER)).alias("a"), drop_last_char("value").alias("b")).first()
     assert r.a == "1,2" and r.b == RAW_HEADER + "1,"
+
+
+def test_parse_report_time_keeps_wall_clock(spark):
+    from fleetstops.functions.cleaning import parse_report_time
+
+    df = spark.createDataFrame(
+        [("03/10/2024 02:30:00",), ("13/45/2024 10:00:00",), ("short",), (None,), ("1/2/2024 3:04:05",), ("",)], "s string"
+    )
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        got = [r.t for r in df.select(parse_report_time("s").alias("t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [dt.datetime(2024, 3, 10, 2, 30), None, None, None, dt.datetime(2024, 1, 2, 3, 4, 5), None]
+
+
+def test_assign_reading_id_dense_and_sparse(spark):
+    df = spark.range(0, 500, 1, 5).withColumnRenamed("id", "x")
+    dense = ING.assign_reading_id(df, dense=True)
+    assert sorted(r.reading_id for r in dense.collect()) == list(range(500))
+    sparse = ING.assign_reading_id(df)
+    assert sparse.select("reading_id").distinct().count() == 500
