@@ -43,6 +43,11 @@ HOUR_KEYS = """hk AS (
   SELECT reading_id, rev, date_trunc('hour', report_time) AS report_time, vehicle_tag, speed, heading,
          train_assignment, predictable, latitude, longitude FROM readings)"""
 
+DEDUPED = """dd AS (
+  SELECT * FROM hk
+  QUALIFY vehicle_tag IS NULL OR report_time IS NULL
+       OR row_number() OVER (PARTITION BY vehicle_tag, report_time ORDER BY reading_id DESC) = 1)"""
+
 RAW = f"""lines AS (
   SELECT event_id,
          concat_ws(',', CAST(event_id AS VARCHAR), strftime(ts, '%m/%d/%Y %H:%M:%S'), CAST(user_id AS VARCHAR),
@@ -327,11 +332,13 @@ db AS (SELECT row_number() OVER () AS position, column_name, column_type FROM (D
 SELECT CAST(da.position AS INTEGER) AS position, da.column_name AS name_a, db.column_name AS name_b,
        da.column_name = db.column_name AS same_name, da.column_type = db.column_type AS same_type
 FROM da JOIN db ON da.position = db.position""",
-    "count_diff": f"""WITH {READINGS}
-SELECT count(*) AS count_a, count(*) FILTER (WHERE reading_id % 100 <> 0) AS count_b,
-       count(*) = count(*) FILTER (WHERE reading_id % 100 <> 0) AS equal FROM readings""",
-    "content_diff": f"""WITH {READINGS}
-SELECT *, 'a' AS side FROM (SELECT * FROM readings EXCEPT ALL SELECT * FROM readings WHERE reading_id % 100 <> 0)""",
+    "count_diff": f"""WITH {READINGS}, {HOUR_KEYS}, {DEDUPED}
+SELECT (SELECT count(*) FROM readings) AS count_a, (SELECT count(*) FROM dd) AS count_b,
+       (SELECT count(*) FROM readings) = (SELECT count(*) FROM dd) AS equal""",
+    "content_diff": f"""WITH {READINGS}, {HOUR_KEYS}, {DEDUPED}
+SELECT *, 'a' AS side FROM (SELECT * FROM readings EXCEPT ALL SELECT * FROM dd)
+UNION ALL
+SELECT *, 'b' AS side FROM (SELECT * FROM dd EXCEPT ALL SELECT * FROM readings)""",
     "approx_diff": f"""WITH {READINGS},
 b AS (SELECT reading_id, speed + 0.0001 AS speed FROM readings)
 SELECT a.reading_id, 'both' AS side, 'speed' AS columns

@@ -140,10 +140,6 @@ def readings_speed_shifted(spark: SparkSession, sf_dir: str, delta: float = 0.00
     return r.withColumn("speed", F.col("speed") + F.lit(delta))
 
 
-def readings_every_100th_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comparison partner: the same readings without every 100th one."""
-    return readings(spark, sf_dir).filter(F.col("reading_id") % 100 != 0)
-
 
 def readings_scaled(spark: SparkSession, sf_dir: str, copies: int) -> DataFrame:
     """Readings of ``events`` repeated ``copies`` times as distinct vehicles (for scaling runs).

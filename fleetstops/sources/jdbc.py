@@ -63,9 +63,25 @@ def read_jdbc_partitioned(
     return df
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", properties: dict | None = None) -> None:
-    """Write a DataFrame to a table; each partition writes over its own connection."""
+def write_jdbc(
+    df: DataFrame,
+    url: str,
+    table: str,
+    mode: str = "overwrite",
+    properties: dict | None = None,
+    num_partitions: int | None = None,
+    batch_size: int | None = None,
+) -> None:
+    """Write a DataFrame to a table; each partition writes over its own connection.
+
+    ``num_partitions`` caps the number of concurrent connections (Spark coalesces
+    to it before writing); ``batch_size`` sets rows per insert batch.
+    """
     w = df.write.format("jdbc").mode(mode).option("url", url).option("dbtable", table)
+    if num_partitions:
+        w = w.option("numPartitions", int(num_partitions))
+    if batch_size:
+        w = w.option("batchsize", int(batch_size))
     for k, v in (properties or {}).items():
         w = w.option(k, v)
     w.save()
