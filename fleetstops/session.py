@@ -52,3 +52,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder, for written intermediate tables."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
+def recommended_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024**2) -> dict:
+    """Settings sized for a given input (e.g. ~100 TB on a large cluster).
+
+    Shuffle partitions are chosen so that one partition holds about
+    ``partition_bytes`` of the full input (AQE coalesces them when less data
+    reaches a shuffle), rounded up to a multiple of the cores; scan splits stay
+    at 128 MB; AQE skew handling splits oversized join partitions.
+    """
+    n = max(total_cores, -(-int(input_bytes) // int(partition_bytes)))
+    n = -(-n // total_cores) * total_cores
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(128 * 1024**2),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }

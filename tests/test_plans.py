@@ -76,3 +76,12 @@ def test_flagship_checkpoints_only_stop_ends(spark):
     assert "Scan ExistingRDD" in plan and "FileScan parquet" not in plan
     n_ends = ST.find_last_stopped(r.select("reading_id", "vehicle_tag", "report_time", "speed")).count()
     assert out.count() <= n_ends < r.count()
+
+
+def test_recommended_conf_scales_shuffle_partitions():
+    from fleetstops.session import recommended_conf
+
+    small = recommended_conf(10 * 1024**3, 8)
+    big = recommended_conf(100 * 1024**4, 8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 40
+    assert int(big["spark.sql.shuffle.partitions"]) == 416000 and int(big["spark.sql.shuffle.partitions"]) % 8000 == 0

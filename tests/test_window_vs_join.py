@@ -198,3 +198,37 @@ def test_auto_chunking_splits_hot_vehicle_and_stays_exact(spark):
     }
     ends = [(r.reading_id, r.vehicle_tag, r.report_time, r.speed) for r in ST.find_last_stopped(df).collect()]
     assert got == brute_last_moving(rows, ends, None)
+
+
+def test_exact_gap_shuffle_branch(spark, monkeypatch):
+    """Above the counted broadcast bound the resolver shuffles instead; same answers."""
+    from fleetstops.operators import gap_resolve
+
+    monkeypatch.setattr(gap_resolve, "BROADCAST_MAX_ROWS", 0)
+    rows = make_rows(17, ids_follow_time=False)
+    df = spark.createDataFrame(rows, SCHEMA)
+    ends = [(r.reading_id, r.vehicle_tag, r.report_time, r.speed) for r in ST.find_last_stopped(df).collect()]
+    got = {
+        (r.vehicle_tag, r.report_time): r.last_moving_time
+        for r in ST.stop_ends_with_last_moving(df, max_id_gap=1500).collect()
+    }
+    assert got == brute_last_moving(rows, ends, 1500)
+
+
+def test_auto_chunks_bound_the_hot_vehicle(spark):
+    """With the chosen chunk length no (vehicle, chunk) piece is far above the target."""
+    from pyspark.sql import functions as F
+
+    from fleetstops.operators.scan import choose_chunk_seconds
+
+    rows = make_rows(18, n=4000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = df.groupBy("vehicle_tag").count().agg(F.max("count")).first()[0]
+    cs = choose_chunk_seconds(df, target_rows=200)
+    biggest = (
+        df.groupBy("vehicle_tag", F.floor(F.unix_timestamp("report_time") / cs))
+        .count()
+        .agg(F.max("count"))
+        .first()[0]
+    )
+    assert whole > 1000 and biggest <= 3 * 200
