@@ -73,6 +73,8 @@ def main():
     from fleetstops.session import build_session
 
     spark = build_session("local[8]", 8)
+    if os.environ.get("CHECK_TZ"):  # run the Spark side under another session time zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     fails = 0
