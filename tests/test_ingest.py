@@ -35,10 +35,10 @@ def make_files(root):
         RAW_HEADER + line("21", "01/02/2013 08:00:00", "C2", "", "", "3", "45", "N", "1"),
         line("22", "01/02/2013 08:01:00", "C2", "-122.5", "37.8", "0", "0", "N", "1"),
     ]
-    write(os.path.join(d, "sfmtaAVLRawData01012013.csv"), "\n".join(day1) + "\n")
-    write(os.path.join(d, "sfmtaAVLRawData01022013.csv"), "\n".join(day2) + "\n", newline="\r\n")
-    write(os.path.join(d, "sfmtaAVLRawData01032013.csv"), RAW_HEADER + "\n" + "99,short\n")
-    write(os.path.join(d, "sfmtaAVLRawData01042013.csv"), "")
+    write(os.path.join(d, "positions_01012013.csv"), "\n".join(day1) + "\n")
+    write(os.path.join(d, "positions_01022013.csv"), "\n".join(day2) + "\n", newline="\r\n")
+    write(os.path.join(d, "positions_01032013.csv"), RAW_HEADER + "\n" + "99,short\n")
+    write(os.path.join(d, "positions_01042013.csv"), "")
     return d
 
 
@@ -63,7 +63,7 @@ def test_clean_and_promote_files(spark, workdir):
 
 def test_ingest_dedupes_keeping_largest_id(spark, workdir):
     d = make_files(workdir)
-    raw = read_raw_text(spark, os.path.join(d, "sfmtaAVLRawData0101*.csv"))
+    raw = read_raw_text(spark, os.path.join(d, "positions_0101*.csv"))
     out = IN.ingest_avl(raw, reading_id_from="rev")
     ids = sorted(r.reading_id for r in out.collect())
     assert ids == [11, 13]  # 12 and 13 share (B1, 10:00:30): 13 stays
@@ -73,13 +73,13 @@ def test_ingest_files_with_log_records_each_file(spark, workdir):
     d = make_files(workdir)
     manifest = IN.ingest_files_with_log(
         spark,
-        os.path.join(d, "sfmtaAVLRawData010[12]2013.csv"),
+        os.path.join(d, "positions_010[12]2013.csv"),
         os.path.join(workdir, "readings"),
         os.path.join(workdir, "manifest"),
         reading_id_from="rev",
     )
     got = {r.file_name: r.readings for r in manifest.collect()}
-    assert got == {"sfmtaAVLRawData01012013.csv": 3, "sfmtaAVLRawData01022013.csv": 2}
+    assert got == {"positions_01012013.csv": 3, "positions_01022013.csv": 2}
 
 
 def test_default_ids_are_unique(spark, workdir):

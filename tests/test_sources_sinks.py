@@ -107,9 +107,9 @@ def test_streaming_ingest_picks_up_new_files(spark, workdir):
     first = spark.read.parquet(out)
     assert first.count() == 7
     m = {r.file_name: r.readings for r in spark.read.parquet(man).collect()}
-    assert m["sfmtaAVLRawData01012013.csv"] == 3 and m["sfmtaAVLRawData01022013.csv"] == 2
+    assert m["positions_01012013.csv"] == 3 and m["positions_01022013.csv"] == 2
     # a new daily file arrives: only it is processed on restart from the same checkpoint
-    with open(os.path.join(src, "sfmtaAVLRawData01052013.csv"), "w") as f:
+    with open(os.path.join(src, "positions_01052013.csv"), "w") as f:
         f.write("31,01/05/2013 09:00:00,D4,-122.4,37.7,0,0,X,1\n")
     q = start_ingest_stream(spark, src, out, man, checkpoint=ck, reading_id_from="rev")
     q.awaitTermination(120)
