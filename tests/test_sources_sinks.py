@@ -115,3 +115,30 @@ def test_streaming_ingest_picks_up_new_files(spark, workdir):
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 8
     assert spark.read.parquet(out).filter(F.col("reading_id") == 31).count() == 1
+
+
+def test_fleet_job_parquet_and_jdbc(spark, workdir):
+    from fleetstops.plans.jobs import run_fleet_job
+
+    r = small_readings(spark)
+    src = os.path.join(workdir, "readings")
+    r.write.parquet(src)
+    out = os.path.join(workdir, "stops")
+    run_fleet_job(spark, f"parquet:{src}", f"parquet:{out}", "2024-01-01 00:00:00", "2024-02-01 00:00:00")
+    assert spark.read.parquet(out).count() == 26
+    url = derby_url()
+    J.write_jdbc(r.select("reading_id", "vehicle_tag", "report_time", "speed"), url, "avl", properties=DERBY)
+    jd = {"url": url, "driver": DERBY["driver"]}
+    run_fleet_job(spark, "jdbc:avl", "jdbc:vehicle_stops", "2024-01-01 00:00:00", "2024-02-01 00:00:00", jd)
+    back = J.read_jdbc(spark, url, "vehicle_stops", DERBY)
+    assert back.count() == 26 and back.columns == ["report_time", "vehicle_tag", "stopped_for"]
+
+
+def test_ingest_job(spark, workdir):
+    from fleetstops.plans.jobs import run_ingest_job
+    from tests.test_ingest import make_files
+
+    d = make_files(workdir)
+    run_ingest_job(spark, os.path.join(d, "positions_010[12]2013.csv"), os.path.join(workdir, "r"), os.path.join(workdir, "m"))
+    assert spark.read.parquet(os.path.join(workdir, "r")).count() == 4  # 5 lines, one duplicate key
+    assert spark.read.parquet(os.path.join(workdir, "m")).count() == 2
