@@ -128,6 +128,22 @@ def content_diff(a: DataFrame, b: DataFrame, ordered: bool = False) -> DataFrame
     return side_a.unionByName(side_b)
 
 
+def _require_unique_key(a: DataFrame, b: DataFrame, key: list[str]) -> None:
+    """Keyed comparison pairs rows 1:1; a repeated key would pair every copy with every copy.
+
+    One small job: both sides' keys are counted together (map-side combined) and
+    the first repeated key, if any, stops the comparison.
+    """
+    both = a.select(*key, F.lit(1).alias("_fs_a"), F.lit(0).alias("_fs_b")).unionByName(
+        b.select(*key, F.lit(0).alias("_fs_a"), F.lit(1).alias("_fs_b"))
+    )
+    dup = both.groupBy(*key).agg(F.sum("_fs_a").alias("na"), F.sum("_fs_b").alias("nb")).filter(
+        (F.col("na") > 1) | (F.col("nb") > 1)
+    )
+    if dup.limit(1).count():
+        raise ValueError(f"key {key} is not unique; compare by position (key=None) or by a unique key")
+
+
 def _close(x: Column, y: Column, dtype: T.DataType, tol: float) -> Column:
     """Row-comparer rule for one field: NULL only equals NULL; floats within ``tol``,
     NaN equals NaN; timestamps within ``tol`` milliseconds; decimals, bytes and all else exact."""
@@ -152,6 +168,8 @@ def approx_diff(a: DataFrame, b: DataFrame, tol: float, key: list[str] | None =
     """
     if key is None:
         a, b, key = with_row_index(a), with_row_index(b), ["row_index"]
+    else:
+        _require_unique_key(a, b, list(key))
     key = list(key)
     vals = [c for c in a.columns if c not in key]
     types = {f.name: f.dataType for f in a.schema.fields}
@@ -180,6 +198,8 @@ def diff_with(a: DataFrame, b: DataFrame, equals, key: list[str] | None = None)
     """
     if key is None:
         a, b, key = with_row_index(a), with_row_index(b), ["row_index"]
+    else:
+        _require_unique_key(a, b, list(key))
     key = list(key)
     vals = [c for c in a.columns if c not in key]
     sa = a.select(*key, F.struct(*vals).alias("_fs_a"), F.lit(True).alias("_fs_ina"))

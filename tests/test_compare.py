@@ -71,3 +71,14 @@ def test_diff_with_user_predicate(spark):
     assert C.diff_with(a, b, same_ci, key=["id"]).count() == 0
     exact = lambda x, y: x.eqNullSafe(y)
     assert sorted(r.id for r in C.diff_with(a, b, exact, key=["id"]).collect()) == [1, 2]
+
+
+def test_keyed_comparison_refuses_repeated_keys(spark):
+    import pytest
+
+    a = df_ab(spark)
+    b = a.unionByName(a.filter("id = 1"))
+    with pytest.raises(ValueError):
+        C.approx_diff(a, b, 0.1, key=["id"])
+    with pytest.raises(ValueError):
+        C.diff_with(a, b, lambda x, y: x.eqNullSafe(y), key=["id"])
