@@ -22,7 +22,9 @@ Exactness of the window form against the join form:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CHUNK_SECONDS, LONG_STOP_MAX_S, LONG_STOP_MIN_S, MAX_ID_GAP
@@ -131,14 +133,17 @@ def _exact_gap(
 
     ``ends`` holds the scan output (``last_moving_time``, ``last_moving_id``,
     ``max_moving_id``). It is checkpointed to the shared checkpoint folder (only
-    stop ends, a small part of the readings) so that counting the undecided rows
-    and using the rows do not scan twice.
+    stop ends, a small part of the readings), so that deciding whether any row is
+    undecided and using the rows do not scan twice.
     """
     ok, amb = _gap_ok(rid, gap), _ambiguous(rid, gap)
     flagged = ends.filter(ok | amb).withColumn("_fs_amb", amb).drop("last_moving_id", "max_moving_id")
     ensure_checkpoint_dir(flagged.sparkSession)
-    fixed = flagged.checkpoint(eager=True)
-    n_undecided = fixed.filter(F.col("_fs_amb")).count()
+    # The undecided rows are counted by the checkpoint job itself (observed metric,
+    # counted in the result stage), so no second pass is needed to decide.
+    seen = Observation(f"undecided-{uuid.uuid4().hex}")
+    fixed = flagged.observe(seen, F.count_if(F.col("_fs_amb")).alias("n")).checkpoint(eager=True)
+    n_undecided = int(seen.get["n"] or 0)
     decided = fixed.filter(~F.col("_fs_amb")).drop("_fs_amb")
     if n_undecided == 0:
         return decided
