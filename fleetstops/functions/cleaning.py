@@ -19,22 +19,42 @@ def strip_header(c, header: str = RAW_HEADER) -> Column:
     return F.regexp_replace(_col(c), re.escape(header), "")
 
 
-def parse_report_time(c, fmt: str = RAW_TIME_FORMAT) -> Column:
-    """P5: 'MM/dd/yyyy HH:mm:ss' text to timestamp_ntz; unparsable text gives NULL.
-
-    For the raw file format the six fields are split off and assembled with
-    ``try_make_timestamp_ntz``: the wall-clock time is kept exactly, whatever the
-    session time zone (no local-time gap can move it), one- or two-digit fields
-    are accepted, and impossible dates give NULL. Other formats go through
-    ``try_to_timestamp``.
+# Raw time text, one- or two-digit fields allowed (as the database's to_timestamp accepts).
+_RAW_TIME_RX = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2}):(\d{1,2})\s*$"
+_GAP_FREE_ZONES = {"UTC", "GMT", "Z", "Etc/UTC", "Etc/GMT", "UCT", "Universal", "Zulu"}
+
+
+def _session_zone_has_gaps() -> bool:
+    """Whether the session time zone can skip local times (daylight saving); fixed offsets cannot."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    tz = spark.conf.get("spark.sql.session.timeZone") if spark is not None else "UTC"
+    return not (tz in _GAP_FREE_ZONES or re.fullmatch(r"(UTC|GMT)?[+-]\d{1,2}(:?\d{2})?", tz) is not None)
+
+
+def parse_report_time(c, fmt: str = RAW_TIME_FORMAT, lenient: bool = True) -> Column:
+    """P5: 'MM/dd/yyyy HH:mm:ss' text to timestamp_ntz.
+
+    ``lenient`` (default): unparsable text gives NULL. The fast built-in parser
+    decides every row it parses when the session time zone has no local-time
+    gaps (UTC and fixed offsets, the usual cluster setting). Otherwise a row
+    whose parse does not print back to its own text (a wall-clock time inside a
+    daylight-saving gap) is rebuilt too. Rebuilding takes the fields in ISO order
+    (one-digit fields allowed) and casts to timestamp_ntz; only rows that need it
+    evaluate that branch. ``lenient=False``: malformed text raises, as the
+    original database conversion does.
     """
     c = _col(c)
+    if not lenient:
+        return F.to_timestamp_ntz(c, F.lit(fmt))
+    fast = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
     if fmt != RAW_TIME_FORMAT:
-        return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
-    p = F.split(c, "[/ :]")
-    num = [F.get(p, i).try_cast("int") for i in range(6)]
-    ts = F.try_make_timestamp_ntz(num[2], num[0], num[1], num[3], num[4], num[5])
-    return F.when(F.size(p) == 6, ts)
+        return fast
+    exact = F.when(c.rlike(_RAW_TIME_RX), F.regexp_replace(c, _RAW_TIME_RX, "$3-$1-$2 $4:$5:$6").try_cast("timestamp_ntz"))
+    if not _session_zone_has_gaps():
+        return F.coalesce(fast, exact)  # the exact branch runs only where the fast parse failed
+    return F.when(fast.isNotNull() & (F.date_format(fast, fmt) == c), fast).otherwise(exact)
 
 
 def empty_to_null_double(c) -> Column:

@@ -118,12 +118,24 @@ def test_parse_report_time_keeps_wall_clock(spark):
     df = spark.createDataFrame(
         [("03/10/2024 02:30:00",), ("13/45/2024 10:00:00",), ("short",), (None,), ("1/2/2024 3:04:05",), ("",)], "s string"
     )
-    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
-    try:
-        got = [r.t for r in df.select(parse_report_time("s").alias("t")).collect()]
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert got == [dt.datetime(2024, 3, 10, 2, 30), None, None, None, dt.datetime(2024, 1, 2, 3, 4, 5), None]
+    want = [dt.datetime(2024, 3, 10, 2, 30), None, None, None, dt.datetime(2024, 1, 2, 3, 4, 5), None]
+    for tz in ("America/Los_Angeles", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", tz)
+        try:
+            got = [r.t for r in df.select(parse_report_time("s").alias("t")).collect()]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got == want, tz
+
+
+def test_parse_report_time_strict_raises(spark):
+    import pytest
+
+    from fleetstops.functions.cleaning import parse_report_time
+
+    df = spark.createDataFrame([("13/45/2024 10:00:00",)], "s string")
+    with pytest.raises(Exception):
+        df.select(parse_report_time("s", lenient=False)).collect()
 
 
 def test_assign_reading_id_dense_and_sparse(spark):
