@@ -55,12 +55,16 @@ def choose_chunk_seconds(
     """Pick the time-chunk length from the data (one small aggregate job).
 
     Per vehicle: estimated number of readings and first/last time (a grouped
-    aggregate over a 1% sample, combined map-side, one row per vehicle); then the largest count and the
-    largest density over all vehicles (a global aggregate: two numbers reach the
-    driver). If no vehicle has more than ``target_rows`` readings, ``None``: no
+    aggregate over a 1% sample, combined map-side, one row per vehicle); then the
+    largest count and the largest density among vehicles above the target (a
+    global aggregate: two numbers reach the driver). If no vehicle has more than ``target_rows`` readings, ``None``: no
     split is needed. Otherwise the chunk length at which the densest vehicle's
     chunks hold about ``target_rows`` readings.
     """
+    # No vehicle can exceed the target when the whole input does not (a limited count
+    # stops reading after target + 1 rows).
+    if readings.select(key).limit(int(target_rows) + 1).count() <= target_rows:
+        return None
     # Only an estimate is needed (the split changes cost, never results): counts come
     # from a fixed-seed Bernoulli sample and are scaled back up.
     fraction = SAMPLE_FRACTION
@@ -72,7 +76,12 @@ def choose_chunk_seconds(
         .agg((F.count(F.lit(1)) / F.lit(fraction)).alias("n"), F.min(time).alias("t0"), F.max(time).alias("t1"))
     )
     span_s = F.greatest((F.unix_timestamp("t1") - F.unix_timestamp("t0")).cast("double"), F.lit(1.0))
-    row = per_vehicle.agg(F.max("n").alias("max_n"), F.max(F.col("n") / span_s).alias("max_density")).first()
+    # Density only of the vehicles that need splitting: small vehicles fit one task
+    # anyway, and their sampled spans are too short to estimate a density.
+    big = F.col("n") > F.lit(float(target_rows))
+    row = per_vehicle.agg(
+        F.max("n").alias("max_n"), F.max(F.when(big, F.col("n") / span_s)).alias("max_density")
+    ).first()
     if row is None or row.max_n is None or row.max_n <= target_rows:
         return None
     return max(1, int(target_rows / row.max_density))
