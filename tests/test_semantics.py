@@ -1,0 +1,85 @@
+"""Boundary semantics: stop bands, hour filters, the three stop lengths, display forms."""
+
+import datetime as dt
+import decimal
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from fleetstops.functions import time as TM
+from fleetstops.operators import reports as RP
+from fleetstops.operators import stops as ST
+
+T0 = dt.datetime(2024, 1, 1, 16, 0, 0)
+
+
+def test_long_stop_band_is_exclusive(spark):
+    df = spark.createDataFrame(
+        [(T0, "v", s) for s in (300, 301, 7199, 7200, 5)], "report_time timestamp_ntz, vehicle_tag string, stopped_for long"
+    )
+    assert sorted(r.stopped_for for r in ST.long_stops(df).collect()) == [301, 7199]
+
+
+def test_stops_at_hour_four_branches(spark):
+    rows = [(T0, "v", s, 16, 37.7, -122.4) for s in (100, 600, 601, 3600, 3601)] + [(T0, "w", 600, 15, 37.7, -122.4)]
+    d = spark.createDataFrame(
+        rows,
+        "report_time timestamp_ntz, vehicle_tag string, stopped_for long, hour_of_day int, latitude double, longitude double",
+    )
+    got = lambda lo, hi: sorted(r.stopped_for for r in RP.stops_at_hour(d, 16, lo, hi).collect())
+    assert got(600, 3600) == [600, 601, 3600]  # both bounds inclusive
+    assert got(600, 0) == [600, 601, 3600, 3601]
+    assert got(0, 600) == [100, 600]
+    assert got(0, 0) == [100, 600, 601, 3600, 3601]
+    assert sorted(r.stopped_for for r in RP.long_stops_at_hour(d).collect()) == [601, 3600, 3601]
+
+
+def _py_lengths(a: dt.datetime, b: dt.datetime):
+    ep = dt.datetime(1970, 1, 1)
+    ua = (a - ep) // dt.timedelta(microseconds=1)
+    ub = (b - ep) // dt.timedelta(microseconds=1)
+    t1 = ua // 1_000_000 - ub // 1_000_000
+    ms = ua // 1000 - ub // 1000
+    t2 = int(ms / 1000) if ms >= 0 else -int(-ms / 1000)
+    exact = decimal.Decimal(ua - ub) / decimal.Decimal(1_000_000)
+    t3 = int(exact.quantize(decimal.Decimal(1), rounding=decimal.ROUND_HALF_EVEN))
+    return t1, t2, t3
+
+
+def test_three_stop_lengths_against_python(spark):
+    rnd = random.Random(3)
+    pairs = []
+    for _ in range(400):
+        b = T0 + dt.timedelta(microseconds=rnd.randrange(0, 10**10))
+        a = b + dt.timedelta(microseconds=rnd.choice([rnd.randrange(0, 10**10), 500_000, 1_500_000, 999_999]))
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a timestamp_ntz, b timestamp_ntz")
+    out = df.select(
+        "a",
+        "b",
+        TM.stop_length_seconds("a", "b").alias("t1"),
+        TM.stop_length_trunc("a", "b").alias("t2"),
+        TM.stop_length_rounded("a", "b").alias("t3"),
+    ).collect()
+    for r in out:
+        assert (r.t1, r.t2, r.t3) == _py_lengths(r.a, r.b), (r.a, r.b)
+
+
+def test_display_forms(spark):
+    df = spark.createDataFrame([(T0 + dt.timedelta(microseconds=123456), None, 95)], "t timestamp_ntz, ta string, s long")
+    r = df.select(
+        TM.display_time("t").alias("d"),
+        TM.empty_if_null("ta").alias("e"),
+        TM.minutes_stopped("s").alias("m"),
+        TM.hour_of_day("t").alias("h"),
+        TM.look_back_start("2024-01-15 12:00:00", 4320).alias("lb"),
+    ).first()
+    assert (r.d, r.e, r.m, r.h) == ("2024-01-01 16:00:00", "", 1.6, 16)
+    assert r.lb == dt.datetime(2024, 1, 12, 12, 0, 0)
+    assert TM.minutes_to_seconds(5) == 300
+    # minutes: half-up to one decimal for every whole number of seconds up to two hours
+    s = spark.range(0, 7201).select(F.col("id").alias("s"), TM.minutes_stopped(F.col("id")).alias("m")).collect()
+    for r in s:
+        want = float(decimal.Decimal(str(r.s / 60)).quantize(decimal.Decimal("0.1"), rounding=decimal.ROUND_HALF_UP))
+        assert math.isclose(r.m, want), r.s
