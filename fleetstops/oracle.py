@@ -339,6 +339,20 @@ SELECT (SELECT count(*) FROM readings) AS count_a, (SELECT count(*) FROM dd) AS
 SELECT *, 'a' AS side FROM (SELECT * FROM readings EXCEPT ALL SELECT * FROM dd)
 UNION ALL
 SELECT *, 'b' AS side FROM (SELECT * FROM dd EXCEPT ALL SELECT * FROM readings)""",
+    "content_diff_ordered": f"""WITH {READINGS}, {HOUR_KEYS}, {DEDUPED},
+a AS (SELECT row_number() OVER (ORDER BY reading_id) - 1 AS row_index, * FROM readings),
+b AS (SELECT row_number() OVER (ORDER BY reading_id) - 1 AS row_index, * FROM dd),
+j AS (
+  SELECT a.row_index AS ia, b.row_index AS ib, a, b FROM a FULL OUTER JOIN b ON a.row_index = b.row_index
+  WHERE a IS NULL OR b IS NULL
+     OR (a.reading_id, a.rev, a.report_time, a.vehicle_tag, a.speed, a.heading, a.train_assignment, a.predictable,
+         a.latitude, a.longitude)
+        IS DISTINCT FROM
+        (b.reading_id, b.rev, b.report_time, b.vehicle_tag, b.speed, b.heading, b.train_assignment, b.predictable,
+         b.latitude, b.longitude))
+SELECT unnest(a), 'a' AS side FROM j WHERE ia IS NOT NULL
+UNION ALL
+SELECT unnest(b), 'b' AS side FROM j WHERE ib IS NOT NULL""",
     "approx_diff": f"""WITH {READINGS},
 b AS (SELECT reading_id, speed + 0.0001 AS speed FROM readings)
 SELECT a.reading_id, 'both' AS side, 'speed' AS columns

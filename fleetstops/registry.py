@@ -364,6 +364,13 @@ def q_content_diff(spark, sf):
     return CMP.content_diff(_r(spark, sf), _deduped_hour_keys(spark, sf))
 
 
+def q_content_diff_ordered(spark, sf):
+    """C4 ordered / J7: both tables in id order, compared position by position."""
+    a = _r(spark, sf).orderBy("reading_id")
+    b = _deduped_hour_keys(spark, sf).orderBy("reading_id")
+    return CMP.content_diff(a, b, ordered=True)
+
+
 def q_approx_diff(spark, sf):
     return CMP.approx_diff(_r(spark, sf), B.readings_speed_shifted(spark, sf), APPROX_TOL, key=["reading_id"])
 
@@ -435,5 +442,6 @@ QUERIES: dict[str, Query] = {
     "schema_diff": q_schema_diff,
     "count_diff": q_count_diff,
     "content_diff": q_content_diff,
+    "content_diff_ordered": q_content_diff_ordered,
     "approx_diff": q_approx_diff,
 }
