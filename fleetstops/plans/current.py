@@ -9,6 +9,7 @@ from ..constants import CURRENT_MAP_ROWS, CURRENT_TABLE_ROWS, DEFAULT_CHUNK_SECO
 from ..functions.time import display_time, empty_if_null, look_back_start, minutes_stopped, stop_length_rounded
 from ..operators.reports import top_rows
 from ..operators.stops import stop_ends_with_last_moving
+from .checks import check_limit, check_look_back, check_query_time
 
 
 def list_stopped_vehicles(
@@ -21,6 +22,7 @@ def list_stopped_vehicles(
     range has no earlier moving reading and is left out.
     Columns: veh_tag, train_asng, stopped_at, stopped_for (int), lat, lon.
     """
+    query_time, look_back = check_query_time(query_time), check_look_back(look_back)
     qt = F.lit(query_time).cast("timestamp_ntz")
     begin = look_back_start(query_time, look_back)
     r = readings.select(
@@ -55,6 +57,7 @@ def current_stops(
     Columns: vehicle_tag, train_assignment ('' for none), stopped_at text,
     minutes (one decimal), latitude, longitude.
     """
+    limit = check_limit(limit)
     s = list_stopped_vehicles(readings, query_time, look_back, chunk_seconds=chunk_seconds)
     top = top_rows(s, limit, _order())
     return top.select(
@@ -76,6 +79,7 @@ def map_points(
     chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
 ) -> DataFrame:
     """Map markers of the longest current stops: tag, lat, lng, minutes."""
+    limit = check_limit(limit)
     s = list_stopped_vehicles(readings, query_time, look_back, chunk_seconds=chunk_seconds)
     top = top_rows(s, limit, _order())
     return top.select(

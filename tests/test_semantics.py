@@ -83,3 +83,27 @@ def test_display_forms(spark):
     for r in s:
         want = float(decimal.Decimal(str(r.s / 60)).quantize(decimal.Decimal("0.1"), rounding=decimal.ROUND_HALF_UP))
         assert math.isclose(r.m, want), r.s
+
+
+def test_question_arguments_are_checked(spark):
+    import pytest
+
+    from fleetstops.plans import current as CUR
+    from fleetstops.plans import history as HI
+    from fleetstops.sources.bindings import readings
+
+    r = readings(spark, "/root/testdata/sf0.001")
+    for bad in ("2024-13-01 00:00:00", "2024-01-01", "yesterday", None):
+        with pytest.raises(ValueError):
+            CUR.list_stopped_vehicles(r, bad, 60)
+    for bad in (0, -5, "x", 2.5j):
+        with pytest.raises(ValueError):
+            CUR.current_stops(r, "2024-01-15 12:00:00", bad)
+    with pytest.raises(ValueError):
+        CUR.map_points(r, "2024-01-15 12:00:00", 60, limit=-1)
+    detail = spark.createDataFrame([], "report_time timestamp_ntz, vehicle_tag string, stopped_for long, hour_of_day int, latitude double, longitude double")
+    for args in ((24, 0, 0), (-1, 0, 0), ("x", 0, 0), (5, -1, 0), (5, 0, "z")):
+        with pytest.raises(ValueError):
+            HI.historical_stops(detail, *args)
+    assert HI.heat_points(detail, "16", "5", "120").count() == 0  # text numbers are accepted, as from a form
+    assert CUR.list_stopped_vehicles(r, dt.datetime(2024, 1, 15, 12), "4320").count() == 20
