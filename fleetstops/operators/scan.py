@@ -42,6 +42,7 @@ from ..functions.time import floor_div
 
 # Names of the internal columns (removed from every output).
 CHUNK = "_fs_chunk"
+PART = "_fs_part"  # struct(vehicle, chunk): the window and join key of the split scan
 MV = "_fs_moving"
 NX_T = "_fs_next_t"
 NX_SPEED = "_fs_next_speed"
@@ -111,10 +112,11 @@ def prepare(readings: DataFrame, *, key: str, time: str, moving: Column, chunk_s
     )
 
 
-def strictly_before(agg_sql: str, key: str, time: str) -> Column:
-    """``agg_sql`` over the rows of the same (key, chunk) strictly earlier in time."""
+def strictly_before(agg_sql: str, part: list[str], time: str) -> Column:
+    """``agg_sql`` over the rows of the same window partition strictly earlier in time."""
+    by = ", ".join(f"`{c}`" for c in part)
     return F.expr(
-        f"{agg_sql} OVER (PARTITION BY `{key}`, `{CHUNK}` ORDER BY `{time}` "
+        f"{agg_sql} OVER (PARTITION BY {by} ORDER BY `{time}` "
         f"RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
     )
 
@@ -151,18 +153,26 @@ def history_scan(
     out_cols = list(readings.columns)
     chunk_seconds = resolve_chunk_seconds(readings, chunk_seconds, key, time)
     base = prepare(readings, key=key, time=time, moving=moving, chunk_seconds=chunk_seconds)
+    if chunk_seconds is None:
+        # One piece per vehicle: an input already partitioned by vehicle is reused as is.
+        part = [key, CHUNK]
+    else:
+        # One combined key, so that an input partitioned by vehicle alone can never stand
+        # in for it: the split always gets its own exchange and a hot vehicle really spreads.
+        base = base.withColumn(PART, F.struct(F.col(key).alias("k"), F.col(CHUNK).alias("c")))
+        part = [PART]
 
     # 1. Inside each (vehicle, chunk).
-    w = Window.partitionBy(key, CHUNK).orderBy(time)
+    w = Window.partitionBy(*part).orderBy(time)
     extra = []
     if with_next:
         extra += [F.lead(time).over(w).alias(NX_T), F.lead(speed).over(w).alias(NX_SPEED)]
     if with_last:
         extra += [
             strictly_before(
-                f"max(CASE WHEN `{MV}` THEN named_struct('t', `{time}`, 'id', `{rid}`) END)", key, time
+                f"max(CASE WHEN `{MV}` THEN named_struct('t', `{time}`, 'id', `{rid}`) END)", part, time
             ).alias("_fs_lm"),
-            strictly_before(f"max(CASE WHEN `{MV}` THEN `{rid}` END)", key, time).alias("_fs_mmid"),
+            strictly_before(f"max(CASE WHEN `{MV}` THEN `{rid}` END)", part, time).alias("_fs_mmid"),
         ]
     scanned = base.select("*", *extra)
     if keep is not None:
@@ -210,9 +220,10 @@ def history_scan(
             F.max("_fs_c_mmid").over(prior).alias("_fs_cmmid"),
         ]
     carry = summary.select(*carry_cols)
+    carry = carry.select(F.struct(F.col(key).alias("k"), F.col(CHUNK).alias("c")).alias(PART), *carry.columns[2:])
 
     # 4. Join back on the window's own partitioning key.
-    joined = scanned.join(carry, [key, CHUNK], "inner")
+    joined = scanned.join(carry, [PART], "inner")
     result = []
     if with_next:
         result.append(

@@ -85,3 +85,14 @@ def test_recommended_conf_scales_shuffle_partitions():
     big = recommended_conf(100 * 1024**4, 8000)
     assert int(small["spark.sql.shuffle.partitions"]) == 40
     assert int(big["spark.sql.shuffle.partitions"]) == 416000 and int(big["spark.sql.shuffle.partitions"]) % 8000 == 0
+
+
+def test_split_scan_reshuffles_vehicle_partitioned_input(spark):
+    """An input already hash-partitioned by vehicle must not stand in for the (vehicle, chunk) split."""
+    r = readings(spark, SF_MID).select("reading_id", "vehicle_tag", "report_time", "speed").repartition(16, "vehicle_tag")
+    split = plan_of(S.history_scan(r, chunk_seconds=3600, keep=S.stop_end_candidates()))
+    window_input = split.split("Window [", 1)[1]
+    assert re.search(r"Exchange hashpartitioning\(_fs_part", window_input)
+    unsplit = plan_of(S.history_scan(r, chunk_seconds=None))
+    # without a split the existing vehicle partitioning is reused: only the requested repartition remains
+    assert len(exchanges(unsplit)) == 1 and "REPARTITION_BY_NUM" in unsplit
