@@ -1,9 +1,12 @@
-"""Batch jobs to submit with ``spark-submit -m``-style launchers (or call from Python).
+"""Batch jobs: ``spark-submit run_job.py <job> ...`` (or call the functions from Python).
 
 * ``fleet``: readings (Parquet path or JDBC table) → long stops between two
   times → Parquet table or JDBC table (overwrite). The only action is the write.
 * ``ingest``: raw daily files (glob) → typed, deduplicated readings (Parquet)
   plus a per-file manifest.
+* ``stop-times``: readings → every stop end with the last moving time (table).
+* ``detail``: readings → long stops with hour and coordinates, written as a
+  table partitioned by hour and sorted by stop length (for the history pages).
 
 Sources and sinks are given as ``parquet:<path>`` or ``jdbc:<table>`` (the JDBC
 URL and driver come from ``--jdbc-url`` / ``--jdbc-driver``).
@@ -17,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..constants import DEFAULT_LOWER_BOUND, DEFAULT_UPPER_BOUND
 from ..sources.jdbc import read_jdbc_partitioned, write_jdbc
-from ..sources.tables import create_table_as
-from .fleet import stopped_vehicles
+from ..sources.tables import create_table_as, write_stops_detail
+from .fleet import stop_times, stopped_vehicles, stops_detail
 from .ingestion import ingest_files_with_log
 
 
@@ -69,6 +72,20 @@ def run_ingest_job(spark: SparkSession, raw_glob: str, readings_path: str, manif
     create_table_as(dedupe_readings(spark.read.parquet(staged).drop("file_name")), readings_path)
 
 
+def run_stop_times_job(spark: SparkSession, source: str, sink: str, jdbc: dict | None = None) -> None:
+    """Stop times of all vehicles (no time bound) from ``source`` to ``sink``."""
+    jdbc = jdbc or {}
+    readings = _read(spark, source, DEFAULT_LOWER_BOUND, DEFAULT_UPPER_BOUND, jdbc, 8)
+    _write(stop_times(readings), sink, jdbc)
+
+
+def run_detail_job(spark: SparkSession, source: str, path: str, lower=None, upper=None, jdbc: dict | None = None) -> None:
+    """Long stops with hour and coordinates as an hour-partitioned Parquet table."""
+    jdbc = jdbc or {}
+    readings = _read(spark, source, lower or DEFAULT_LOWER_BOUND, upper or DEFAULT_UPPER_BOUND, jdbc, 8)
+    write_stops_detail(stops_detail(readings, lower, upper), path)
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="fleetstops.plans.jobs")
     sub = ap.add_subparsers(dest="job", required=True)
@@ -84,13 +101,29 @@ def main(argv: list[str] | None = None) -> None:
     i.add_argument("raw_glob")
     i.add_argument("readings_path")
     i.add_argument("manifest_path")
+    st = sub.add_parser("stop-times")
+    st.add_argument("source")
+    st.add_argument("sink")
+    d = sub.add_parser("detail")
+    d.add_argument("source")
+    d.add_argument("path")
+    d.add_argument("--lower")
+    d.add_argument("--upper")
+    for q in (st, d):
+        q.add_argument("--jdbc-url")
+        q.add_argument("--jdbc-driver")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"fleetstops-{args.job}").getOrCreate()
     if args.job == "fleet":
         jdbc = {"url": args.jdbc_url, "driver": args.jdbc_driver}
         run_fleet_job(spark, args.source, args.sink, args.lower, args.upper, jdbc, args.partitions)
-    else:
+    elif args.job == "ingest":
         run_ingest_job(spark, args.raw_glob, args.readings_path, args.manifest_path)
+    elif args.job == "stop-times":
+        run_stop_times_job(spark, args.source, args.sink, {"url": args.jdbc_url, "driver": args.jdbc_driver})
+    else:
+        jdbc = {"url": args.jdbc_url, "driver": args.jdbc_driver}
+        run_detail_job(spark, args.source, args.path, args.lower, args.upper, jdbc)
 
 
 if __name__ == "__main__":

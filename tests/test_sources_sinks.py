@@ -142,3 +142,16 @@ def test_ingest_job(spark, workdir):
     run_ingest_job(spark, os.path.join(d, "positions_010[12]2013.csv"), os.path.join(workdir, "r"), os.path.join(workdir, "m"))
     assert spark.read.parquet(os.path.join(workdir, "r")).count() == 4  # 5 lines, one duplicate key
     assert spark.read.parquet(os.path.join(workdir, "m")).count() == 2
+
+
+def test_stop_times_and_detail_jobs(spark, workdir):
+    from fleetstops.plans.jobs import main
+
+    r = small_readings(spark)
+    src = os.path.join(workdir, "readings")
+    r.write.parquet(src)
+    main(["stop-times", f"parquet:{src}", f"parquet:{os.path.join(workdir, 'st')}"])
+    assert spark.read.parquet(os.path.join(workdir, "st")).count() == 241
+    main(["detail", f"parquet:{src}", os.path.join(workdir, "detail")])
+    d = spark.read.parquet(os.path.join(workdir, "detail"))
+    assert d.count() == 26 and "hour_of_day" in d.columns
