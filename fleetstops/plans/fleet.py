@@ -100,3 +100,20 @@ def stops_in_window(readings: DataFrame, lower, upper, *, chunk_seconds: int | s
     return st.select("vehicle_tag", "stopped_at", "stopped_for", "latitude", "longitude").orderBy(
         F.col("stopped_for").desc(), "vehicle_tag", "stopped_at"
     )
+
+
+def stops_in_window_from_table(stop_times_table: DataFrame, readings: DataFrame, lower, upper) -> DataFrame:
+    """Z5 over a stored stop-times table (as written by the ``stop-times`` job) joined to the readings.
+
+    The time range is applied to both sides before the join (the stop end *is*
+    the reading at ``stopped_at``), so each side's filter reaches its own scan and
+    only the window's rows meet in the join.
+    """
+    from ..operators.reports import attach_location
+
+    st = between_times(stop_times_table, lower, upper, time="stopped_at")
+    r = between_times(readings.select("vehicle_tag", "report_time", "latitude", "longitude"), lower, upper)
+    joined = attach_location(st, r, stop_keys=("vehicle_tag", "stopped_at"))
+    return joined.select("vehicle_tag", "stopped_at", "stopped_for", "latitude", "longitude").orderBy(
+        F.col("stopped_for").desc(), "vehicle_tag", "stopped_at"
+    )

@@ -155,3 +155,18 @@ def test_stop_times_and_detail_jobs(spark, workdir):
     main(["detail", f"parquet:{src}", os.path.join(workdir, "detail")])
     d = spark.read.parquet(os.path.join(workdir, "detail"))
     assert d.count() == 26 and "hour_of_day" in d.columns
+
+
+def test_stops_in_window_from_stored_table(spark, workdir):
+    from fleetstops.plans.fleet import stop_times, stops_in_window, stops_in_window_from_table
+
+    r = small_readings(spark)
+    path = os.path.join(workdir, "stop_times")
+    TB.create_table_as(stop_times(r), path)
+    lo, hi = "2024-01-10 00:00:00", "2024-01-20 00:00:00"
+    a = stops_in_window_from_table(spark.read.parquet(path), r, lo, hi)
+    b = stops_in_window(r, lo, hi)
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() > 0
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(stopped_at), GreaterThanOrEqual(stopped_at" in plan
+    assert "GreaterThanOrEqual(ts" in plan  # the readings side is cut at its scan too
