@@ -170,3 +170,16 @@ def test_stops_in_window_from_stored_table(spark, workdir):
     plan = a._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(stopped_at), GreaterThanOrEqual(stopped_at" in plan
     assert "GreaterThanOrEqual(ts" in plan  # the readings side is cut at its scan too
+
+
+def test_streaming_ingest_ids_unique_across_batches(spark, workdir):
+    from fleetstops.streaming.ingest import start_ingest_stream
+    from tests.test_ingest import make_files
+
+    src = make_files(workdir)
+    out, man, ck = (os.path.join(workdir, x) for x in ("readings", "manifest", "ckpt"))
+    q = start_ingest_stream(spark, src, out, man, checkpoint=ck, max_files_per_trigger=1)
+    q.awaitTermination(120)
+    r = spark.read.parquet(out)
+    assert r.select("batch_id").distinct().count() >= 3  # one file per micro-batch
+    assert r.count() == 7 and r.select("reading_id").distinct().count() == 7
