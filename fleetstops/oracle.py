@@ -136,22 +136,22 @@ _QT = f"TIMESTAMP '{QUERY_TIME}'"
 _BEGIN = f"({_QT} - INTERVAL {LOOK_BACK_MIN} MINUTE)"
 
 LOOK_BACK = f"""WITH {READINGS},
-temp_stopped AS (
+window_stop_ends AS (
   SELECT vehicle_tag, report_time FROM (
     SELECT vehicle_tag, report_time, speed,
            lead(speed, 1) OVER (PARTITION BY vehicle_tag ORDER BY report_time) AS next_speed
     FROM readings WHERE report_time BETWEEN {_BEGIN} AND {_QT})
   WHERE speed = 0 AND next_speed > 0),
-temp_moving AS (
+window_moving AS (
   SELECT vehicle_tag, report_time FROM readings WHERE report_time BETWEEN {_BEGIN} AND {_QT} AND speed > 0),
-temp_stop_times AS (
+window_last_moving AS (
   SELECT s.vehicle_tag, s.report_time AS stopped_at, max(m.report_time) AS stopped_since
-  FROM temp_stopped s JOIN temp_moving m ON s.vehicle_tag = m.vehicle_tag
+  FROM window_stop_ends s JOIN window_moving m ON s.vehicle_tag = m.vehicle_tag
   WHERE s.report_time > m.report_time GROUP BY s.vehicle_tag, s.report_time),
 listed AS (
   SELECT st.vehicle_tag AS veh_tag, avl.train_assignment AS train_asng, st.stopped_at,
          {_t(T3, 'st.stopped_at', 'st.stopped_since')} AS stopped_for, avl.latitude AS lat, avl.longitude AS lon
-  FROM temp_stop_times st JOIN readings avl ON st.vehicle_tag = avl.vehicle_tag AND st.stopped_at = avl.report_time
+  FROM window_last_moving st JOIN readings avl ON st.vehicle_tag = avl.vehicle_tag AND st.stopped_at = avl.report_time
   WHERE avl.report_time BETWEEN {_BEGIN} AND {_QT})"""
 
 VEH = f"""WITH {READINGS},
@@ -206,11 +206,11 @@ SELECT lat, lng FROM (
   ORDER BY stopped_for DESC, vehicle_tag, report_time LIMIT 3000)""",
     "vehicle_top_stops": f"""{VEH},
 {ENDS.format(src='v')},
-veh AS (
+vehicle_stops AS (
   SELECT s.report_time AS stopped_at, max(m.report_time) AS stopped_since
   FROM ends s JOIN v m ON s.report_time > m.report_time WHERE m.speed > 0 GROUP BY s.report_time)
-SELECT sa.report_time, sa.latitude, sa.longitude, {_t(T3, 'veh.stopped_at', 'veh.stopped_since')} AS stopped_for
-FROM v sa JOIN veh ON sa.report_time = veh.stopped_at
+SELECT sa.report_time, sa.latitude, sa.longitude, {_t(T3, 'vs.stopped_at', 'vs.stopped_since')} AS stopped_for
+FROM v sa JOIN vehicle_stops vs ON sa.report_time = vs.stopped_at
 ORDER BY stopped_for DESC""",
     # cleaning
     "drop_blank_lines": f"WITH {RAW} SELECT value FROM nonblank",
