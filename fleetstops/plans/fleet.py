@@ -34,7 +34,12 @@ def stopped_vehicles(
     if lower is not None or upper is not None:
         r = between_times(r, lower, upper)
     ends = stop_ends_with_last_moving(r, max_id_gap=max_id_gap, chunk_seconds=chunk_seconds)
-    return long_stops(ends.withColumn("stopped_for", stop_length_seconds("report_time", "last_moving_time")), min_s, max_s)
+    # One row per (vehicle, time), latest moving time, as the grouped join defines it; this only
+    # matters for readings that share a time (not deduplicated) and runs over stop ends only.
+    per_key = ends.groupBy("vehicle_tag", "report_time").agg(F.max("last_moving_time").alias("last_moving_time"))
+    return long_stops(
+        per_key.withColumn("stopped_for", stop_length_seconds("report_time", "last_moving_time")), min_s, max_s
+    )
 
 
 def stops_detail(

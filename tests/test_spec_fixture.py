@@ -120,3 +120,19 @@ def test_stop_length_variants_agree_on_whole_seconds(spark):
         TM.stop_length_seconds("a", "b"), TM.stop_length_trunc("a", "b"), TM.stop_length_rounded("a", "b")
     ).first()
     assert tuple(r) == (2, 1, 1)
+
+
+def test_flagship_one_row_per_vehicle_and_time_with_ties(spark):
+    """Two stop ends at one (vehicle, time) (data not deduplicated) give one row, as the grouped join does."""
+    from fleetstops.plans.fleet import stopped_vehicles
+
+    rows = [
+        (1, "T1", ts("10:00:00"), 5),
+        (2, "T1", ts("10:10:00"), 0),
+        (3, "T1", ts("10:10:00"), 4),
+        (4, "T1", ts("10:10:00"), 0),
+        (5, "T1", ts("10:20:00"), 9),
+    ]
+    df = spark.createDataFrame(rows, READ_SCHEMA)
+    out = stopped_vehicles(df).collect()
+    assert len({(r.vehicle_tag, r.report_time) for r in out}) == len(out)
