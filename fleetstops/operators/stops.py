@@ -171,6 +171,10 @@ def last_moving_time(
     Inner semantics: stopped readings without such a moving reading are left
     out. With ``max_id_gap`` only moving readings whose id is less than that far
     below the stopped reading's id count. One row per (vehicle, time).
+
+    When both inputs come from one readings table, measure that table once
+    (``scan.choose_chunk_seconds(readings)``) and pass the result as
+    ``chunk_seconds`` to every stage: measuring a derived input would run its plan.
     """
     q = stopped.select(F.col(key), F.col(time), F.col(rid), F.lit(False).alias("_fs_is_mv"))
     m = moving.select(F.col(key), F.col(time), F.col(rid), F.lit(True).alias("_fs_is_mv"))

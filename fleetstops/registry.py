@@ -20,6 +20,7 @@ from .operators import ingest as ING
 from .operators import readings as RD
 from .operators import reports as RP
 from .operators import stops as ST
+from .operators.scan import choose_chunk_seconds
 from .plans import current as CUR
 from .plans import fleet as FL
 from .plans import history as HI
@@ -210,12 +211,14 @@ def q_long_stops_at_hour(spark, sf):
 
 def q_last_moving_time(spark, sf):
     r = _r(spark, sf).select("reading_id", "vehicle_tag", "report_time", "speed")
-    return ST.last_moving_time(ST.find_last_stopped(r), ST.filter_moving(r))
+    cs = choose_chunk_seconds(r)  # measured once on the readings, used by both stages
+    return ST.last_moving_time(ST.find_last_stopped(r, chunk_seconds=cs), ST.filter_moving(r), chunk_seconds=cs)
 
 
 def q_last_moving_time_unbounded(spark, sf):
     r = _r(spark, sf).select("reading_id", "vehicle_tag", "report_time", "speed")
-    return ST.last_moving_time_unbounded(ST.filter_stopped(r), ST.filter_moving(r))
+    cs = choose_chunk_seconds(r)
+    return ST.last_moving_time_unbounded(ST.filter_stopped(r), ST.filter_moving(r), chunk_seconds=cs)
 
 
 def q_last_moving_time_one_vehicle(spark, sf):
@@ -230,8 +233,9 @@ def q_last_moving_time_one_vehicle(spark, sf):
 
 def q_attach_by_time(spark, sf):
     v = RD.for_vehicle(_r(spark, sf).select("reading_id", "vehicle_tag", "report_time", "speed"), VEHICLE)
-    stop_ends = ST.find_last_stopped(v)
-    info = ST.last_moving_time_unbounded(ST.filter_stopped(v), ST.filter_moving(v))
+    cs = choose_chunk_seconds(v)
+    stop_ends = ST.find_last_stopped(v, chunk_seconds=cs)
+    info = ST.last_moving_time_unbounded(ST.filter_stopped(v), ST.filter_moving(v), chunk_seconds=cs)
     info = info.withColumn("stopped_for", TM.stop_length_trunc("report_time", "last_moving_time"))
     return RP.attach_by_time(stop_ends, info).select("reading_id", "report_time", "last_moving_time", "stopped_for")
 
