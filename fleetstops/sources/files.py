@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_raw_text(spark: SparkSession, path_or_glob, with_file_name: bool = False) -> DataFrame:
+def read_raw_text(
+    spark: SparkSession, path_or_glob, with_file_name: bool = False, spread: int | None = None
+) -> DataFrame:
     """Every line of every matching file as one ``value`` column.
 
-    Files are split by Spark into scan partitions (``spark.sql.files.maxPartitionBytes``),
-    so a glob over thousands of daily files is read in parallel. With
-    ``with_file_name`` the source file's name is kept (from the ``_metadata`` column).
+    Plain text files are split by Spark into scan partitions
+    (``spark.sql.files.maxPartitionBytes``), so a glob over thousands of daily
+    files is read in parallel and one big file is read by many tasks.
+    Compressed files (gzip) cannot be split: such a file is read by one task. With
+    ``spread`` the lines are then dealt round-robin into that many partitions, so
+    the cleaning and everything after it do not stay in the reading task.
+    With ``with_file_name`` the source file's name is kept (``_metadata`` column).
     """
     df = spark.read.text(path_or_glob)
     if with_file_name:
         df = df.select("value", F.col("_metadata.file_name").alias("file_name"))
+    if spread:
+        df = df.repartition(int(spread))
     return df
 
 

@@ -144,3 +144,17 @@ def test_assign_reading_id_dense_and_sparse(spark):
     assert sorted(r.reading_id for r in dense.collect()) == list(range(500))
     sparse = ING.assign_reading_id(df)
     assert sparse.select("reading_id").distinct().count() == 500
+
+
+def test_gzip_file_is_spread_after_reading(spark, workdir):
+    import gzip
+
+    p = os.path.join(workdir, "big.csv.gz")
+    with gzip.open(p, "wt") as f:
+        for i in range(2000):
+            f.write(f"{i},01/01/2013 10:00:{i % 60:02d},V{i % 7},-122.4,37.7,0,0,X,1\n")
+    raw = read_raw_text(spark, p)
+    assert raw.rdd.getNumPartitions() == 1  # not splittable
+    spread = read_raw_text(spark, p, spread=8)
+    assert spread.rdd.getNumPartitions() == 8 and spread.count() == 2000
+    assert IN.ingest_avl(spread, reading_id_from="rev", dedupe=False).count() == 2000
