@@ -183,3 +183,27 @@ def test_streaming_ingest_ids_unique_across_batches(spark, workdir):
     r = spark.read.parquet(out)
     assert r.select("batch_id").distinct().count() >= 3  # one file per micro-batch
     assert r.count() == 7 and r.select("reading_id").distinct().count() == 7
+
+
+def test_sql_questions_over_registered_views(spark):
+    """Questions asked of the stored tables in SQL text run unchanged over the views."""
+    from fleetstops.plans.views import register_views
+
+    r = small_readings(spark)
+    register_views(spark, r)
+    hourly = spark.sql(
+        "SELECT hour(report_time) AS hour_of_day, count(*) AS n, avg(stopped_for) AS a "
+        "FROM vehicle_stops GROUP BY hour(report_time) ORDER BY hour_of_day"
+    ).collect()
+    assert sum(x.n for x in hourly) == 26 and len(hourly) == 16
+    window = spark.sql(
+        "SELECT st.vehicle_tag, st.stopped_at, st.stopped_for, sa.latitude, sa.longitude FROM stop_times st "
+        "JOIN readings sa ON st.vehicle_tag = sa.vehicle_tag AND st.stopped_at = sa.report_time "
+        "WHERE st.stopped_at BETWEEN '2024-01-10 00:00:00' AND '2024-01-20 00:00:00' ORDER BY st.stopped_for DESC"
+    )
+    from fleetstops.plans.fleet import stops_in_window
+
+    assert sorted(window.collect()) == sorted(stops_in_window(r, "2024-01-10 00:00:00", "2024-01-20 00:00:00").collect())
+    assert spark.sql("SELECT count(*) AS n FROM vehicles").first().n == 15
+    four_pm = spark.sql("SELECT * FROM stops_detail WHERE hour_of_day = 16 AND stopped_for > 600").count()
+    assert four_pm == 0  # FIXTURES: no such stops at sf0.001
