@@ -48,6 +48,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()``, but the files are compressed and columnar:
+    later readers fetch only the columns they use and AQE sees real sizes. Lost
+    executors do not lose it (the folder is the cluster's shared one).
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder, for written intermediate tables."""
     root = ensure_checkpoint_dir(spark)

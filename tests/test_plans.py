@@ -73,7 +73,7 @@ def test_flagship_checkpoints_only_stop_ends(spark):
     out = stopped_vehicles(r)
     plan = plan_of(out)
     # the final plan starts from the checkpointed stop ends, not from the readings
-    assert "Scan ExistingRDD" in plan and "FileScan parquet" not in plan
+    assert "Scan ExistingRDD" in plan and "events.parquet" not in plan
     n_ends = ST.find_last_stopped(r.select("reading_id", "vehicle_tag", "report_time", "speed")).count()
     assert out.count() <= n_ends < r.count()
 
