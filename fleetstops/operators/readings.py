@@ -10,10 +10,18 @@ from .scan import CHUNK, prepare, resolve_chunk_seconds
 
 
 def between_times(df: DataFrame, lo, hi, time: str = "report_time") -> DataFrame:
-    """inclusive time range; the filter reaches the Parquet scan."""
-    lo_c = F.lit(lo).cast("timestamp_ntz") if isinstance(lo, str) else F.lit(lo)
-    hi_c = F.lit(hi).cast("timestamp_ntz") if isinstance(hi, str) else F.lit(hi)
-    return df.filter(F.col(time).between(lo_c, hi_c))
+    """inclusive time range (a bound given as None is open); the filter reaches the Parquet scan."""
+
+    def lit(v):
+        return F.lit(v).cast("timestamp_ntz") if isinstance(v, str) else F.lit(v)
+
+    if lo is None and hi is None:
+        return df
+    if lo is None:
+        return df.filter(F.col(time) <= lit(hi))
+    if hi is None:
+        return df.filter(F.col(time) >= lit(lo))
+    return df.filter(F.col(time).between(lit(lo), lit(hi)))
 
 
 def for_vehicle(df: DataFrame, tag: str, key: str = "vehicle_tag") -> DataFrame:

@@ -107,3 +107,18 @@ def test_question_arguments_are_checked(spark):
             HI.historical_stops(detail, *args)
     assert HI.heat_points(detail, "16", "5", "120").count() == 0  # text numbers are accepted, as from a form
     assert CUR.list_stopped_vehicles(r, dt.datetime(2024, 1, 15, 12), "4320").count() == 20
+
+
+def test_time_range_with_one_open_bound(spark):
+    from fleetstops.operators.readings import between_times
+    from fleetstops.plans.fleet import stopped_vehicles
+    from fleetstops.sources.bindings import readings
+
+    r = readings(spark, "/root/testdata/sf0.001")
+    n = r.count()
+    assert between_times(r, None, None).count() == n
+    a = between_times(r, "2024-01-15 00:00:00", None).count()
+    b = between_times(r, None, "2024-01-15 00:00:00").count()
+    c = r.filter(F.col("report_time") == F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).count()
+    assert a + b - c == n and a > 0 and b > 0
+    assert stopped_vehicles(r, None, "2024-02-01 00:00:00").count() == 26
