@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import RAW_FIELDS
-from ..functions.cleaning import empty_to_null_double, parse_report_time, strip_header, truncate_text
+from ..functions.cleaning import (
+    empty_to_null_double,
+    empty_to_null_double_lenient,
+    parse_report_time,
+    strip_header,
+    truncate_text,
+)
 
 
 def drop_blank_lines(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -46,11 +52,16 @@ def assign_reading_id(
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def promote_readings(staging: DataFrame, reading_id_from: str | None = None, keep=()) -> DataFrame:
+def promote_readings(
+    staging: DataFrame, reading_id_from: str | None = None, keep=(), lenient_numbers: bool = False
+) -> DataFrame:
     """Typed readings from staging text (P5 + P6 + P7 + P8 in one projection).
 
-    Latitude and longitude keep their own names (no swap).
+    Latitude and longitude keep their own names (no swap). '' becomes NULL for
+    the four numeric fields; other malformed numeric text raises (as the original
+    conversion does) unless ``lenient_numbers``, which turns it into NULL too.
     """
+    num = empty_to_null_double_lenient if lenient_numbers else empty_to_null_double
     if reading_id_from is None:
         rid = F.monotonically_increasing_id()
     else:
@@ -61,12 +72,12 @@ def promote_readings(staging: DataFrame, reading_id_from: str | None = None, kee
         truncate_text("rev").alias("rev"),
         parse_report_time("report_time").alias("report_time"),
         truncate_text("vehicle_tag").alias("vehicle_tag"),
-        empty_to_null_double("speed").alias("speed"),
-        empty_to_null_double("heading").alias("heading"),
+        num("speed").alias("speed"),
+        num("heading").alias("heading"),
         truncate_text("train_assignment").alias("train_assignment"),
         truncate_text("predictable").alias("predictable"),
-        empty_to_null_double("latitude").alias("latitude"),
-        empty_to_null_double("longitude").alias("longitude"),
+        num("latitude").alias("latitude"),
+        num("longitude").alias("longitude"),
     )
 
 

@@ -12,7 +12,9 @@ from ..sources.files import read_csv_with_schema, read_raw_text
 from ..sources.tables import create_table_as
 
 
-def ingest_avl(raw: DataFrame, *, reading_id_from: str | None = None, dedupe: bool = True) -> DataFrame:
+def ingest_avl(
+    raw: DataFrame, *, reading_id_from: str | None = None, dedupe: bool = True, lenient_numbers: bool = False
+) -> DataFrame:
     """Raw lines → staging text → typed readings → one reading per (vehicle, time).
 
     Blank lines go, glued headers are cut, lines are split into nine fields and
@@ -20,7 +22,7 @@ def ingest_avl(raw: DataFrame, *, reading_id_from: str | None = None, dedupe: bo
     shuffle is the dedupe (partial aggregation first).
     """
     staging = clean_raw_lines(raw)
-    typed = promote_readings(staging, reading_id_from=reading_id_from)
+    typed = promote_readings(staging, reading_id_from=reading_id_from, lenient_numbers=lenient_numbers)
     return dedupe_readings(typed) if dedupe else typed
 
 

@@ -158,3 +158,13 @@ def test_gzip_file_is_spread_after_reading(spark, workdir):
     spread = read_raw_text(spark, p, spread=8)
     assert spread.rdd.getNumPartitions() == 8 and spread.count() == 2000
     assert IN.ingest_avl(spread, reading_id_from="rev", dedupe=False).count() == 2000
+
+
+def test_malformed_numbers_strict_and_lenient(spark):
+    import pytest
+
+    bad = spark.createDataFrame([("1,01/01/2013 10:00:00,B1,-122.4,37.7,fast,0,X,1",)], "value string")
+    with pytest.raises(Exception):
+        IN.ingest_avl(bad, reading_id_from="rev").collect()
+    row = IN.ingest_avl(bad, reading_id_from="rev", lenient_numbers=True).first()
+    assert row.speed is None and row.latitude == 37.7
