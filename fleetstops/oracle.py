@@ -297,6 +297,17 @@ FROM stops GROUP BY 1 ORDER BY 1""",
     "distinct_vehicles": f"WITH {READINGS} SELECT DISTINCT vehicle_tag FROM readings",
     "distinct_assignments": f"WITH {READINGS} SELECT DISTINCT train_assignment FROM readings",
     "row_count": f"WITH {READINGS} SELECT count(*) AS row_count FROM readings",
+    "ids_follow_time": f"""WITH {READINGS}, {HOUR_KEYS},
+ordered AS (
+  SELECT reading_id, max(reading_id) OVER (PARTITION BY vehicle_tag ORDER BY report_time, reading_id
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max
+  FROM hk WHERE vehicle_tag IS NOT NULL AND report_time IS NOT NULL),
+ties AS (
+  SELECT count(*) AS n FROM (SELECT vehicle_tag, report_time FROM hk
+                             WHERE vehicle_tag IS NOT NULL AND report_time IS NOT NULL
+                             GROUP BY 1, 2 HAVING count(*) > 1))
+SELECT (SELECT count(*) FROM ordered WHERE reading_id <= prev_max) AS violations,
+       (SELECT n FROM ties) AS tied_times""",
     # windows
     "next_speed": f"""WITH {READINGS}
 SELECT reading_id, vehicle_tag, report_time, speed,

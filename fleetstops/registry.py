@@ -281,6 +281,10 @@ def q_distinct_assignments(spark, sf):
     return RD.distinct_assignments(_r(spark, sf))
 
 
+def q_ids_follow_time(spark, sf):
+    return RD.ids_follow_time(B.readings_hour_keys(spark, sf))
+
+
 def q_row_count(spark, sf):
     return RD.row_count(_r(spark, sf))
 
@@ -428,6 +432,7 @@ QUERIES: dict[str, Query] = {
     "distinct_vehicles": q_distinct_vehicles,
     "distinct_assignments": q_distinct_assignments,
     "row_count": q_row_count,
+    "ids_follow_time": q_ids_follow_time,
     # windows
     "next_speed": q_next_speed,
     "next_speed_one_vehicle": q_next_speed_one_vehicle,
