@@ -56,6 +56,7 @@ def schema_diff(a: DataFrame, b: DataFrame, ignore_nullable: bool = False, ignor
 
 
 def schemas_equal(a: DataFrame, b: DataFrame, ignore_nullable: bool = False, ignore_names: bool = False) -> bool:
+    """C1 as a yes/no answer (metadata only, no job)."""
     fa, fb = a.schema.fields, b.schema.fields
     if len(fa) != len(fb):
         return False

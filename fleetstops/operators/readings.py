@@ -75,10 +75,12 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def distinct_vehicles(readings: DataFrame) -> DataFrame:
+    """The distinct vehicle tags."""
     return distinct_values(readings, "vehicle_tag")
 
 
 def distinct_assignments(readings: DataFrame) -> DataFrame:
+    """The distinct train assignments."""
     return distinct_values(readings, "train_assignment")
 
 

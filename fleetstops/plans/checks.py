@@ -37,6 +37,7 @@ def check_query_time(query_time) -> str:
 
 
 def check_look_back(look_back) -> int:
+    """Look-back window in whole minutes, at least 1."""
     minutes = _int(look_back, "look-back window")
     if minutes < 1:
         raise ValueError("look-back window must be at least 1 minute")
@@ -44,6 +45,7 @@ def check_look_back(look_back) -> int:
 
 
 def check_hour(hour) -> int:
+    """Hour of day 0..23."""
     h = _int(hour, "hour of day")
     if not 0 <= h <= 23:
         raise ValueError("hour of day must be between 0 and 23")
@@ -51,6 +53,7 @@ def check_hour(hour) -> int:
 
 
 def check_stop_bound(value, what: str) -> int:
+    """A stop-length bound in whole minutes, not negative (0 = no bound)."""
     v = _int(value, what)
     if v < 0:
         raise ValueError(f"{what} must not be negative")
@@ -58,6 +61,7 @@ def check_stop_bound(value, what: str) -> int:
 
 
 def check_limit(limit) -> int:
+    """Row limit, not negative (0 = all rows)."""
     k = _int(limit, "row limit")
     if k < 0:
         raise ValueError("row limit must not be negative (0 means all rows)")

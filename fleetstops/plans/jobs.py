@@ -87,6 +87,7 @@ def run_detail_job(spark: SparkSession, source: str, path: str, lower=None, uppe
 
 
 def main(argv: list[str] | None = None) -> None:
+    """Command line: ``fleet``, ``ingest``, ``stop-times`` or ``detail``."""
     ap = argparse.ArgumentParser(prog="fleetstops.plans.jobs")
     sub = ap.add_subparsers(dest="job", required=True)
     f = sub.add_parser("fleet")

@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "fleetstops") -> SparkSession:
+    """A session for tests, benches and local runs: AQE on, UTC session zone, UI off."""
     builder = (
         SparkSession.builder.master(master)
         .appName(app)

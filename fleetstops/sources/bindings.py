@@ -18,6 +18,7 @@ from ..constants import RAW_HEADER
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's Parquet tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -57,6 +58,7 @@ def readings_from_events(events: DataFrame) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed readings derived from ``events``."""
     return readings_from_events(table(spark, sf_dir, "events"))
 
 
@@ -93,10 +95,12 @@ def raw_lines_from_events(events: DataFrame) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw daily-file lines derived from ``events``."""
     return raw_lines_from_events(table(spark, sf_dir, "events"))
 
 
 def transit_stops_from_supplier(supplier: DataFrame) -> DataFrame:
+    """Transit stops (stop_id = supplier key, coordinates by the reading rules)."""
     k = F.col("s_suppkey")
     null = F.lit(None).cast("string")
     return supplier.select(
@@ -113,10 +117,12 @@ def transit_stops_from_supplier(supplier: DataFrame) -> DataFrame:
 
 
 def transit_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transit stops derived from ``supplier``."""
     return transit_stops_from_supplier(table(spark, sf_dir, "supplier"))
 
 
 def trips_from_orders(orders: DataFrame) -> DataFrame:
+    """Trips (trip_id = order key, route_id = order priority)."""
     null = F.lit(None).cast("string")
     return orders.select(
         F.col("o_custkey").cast("string").alias("block_id"),
@@ -131,6 +137,7 @@ def trips_from_orders(orders: DataFrame) -> DataFrame:
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips derived from ``orders``."""
     return trips_from_orders(table(spark, sf_dir, "orders"))
 
 

@@ -71,6 +71,7 @@ def write_stops_detail(detail: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table written by :func:`create_table_as` (Parquet by default)."""
     return spark.read.format(fmt).load(path)
 
 
