@@ -207,3 +207,12 @@ def test_sql_questions_over_registered_views(spark):
     assert spark.sql("SELECT count(*) AS n FROM vehicles").first().n == 15
     four_pm = spark.sql("SELECT * FROM stops_detail WHERE hour_of_day = 16 AND stopped_for > 600").count()
     assert four_pm == 0  # FIXTURES: no such stops at sf0.001
+
+
+def test_jdbc_write_options(spark):
+    url = derby_url()
+    r = small_readings(spark).select("reading_id", "speed").repartition(8)
+    J.write_jdbc(r, url, "few_conns", properties=DERBY, num_partitions=2, batch_size=100)
+    assert J.read_jdbc(spark, url, "few_conns", DERBY).count() == r.count()
+    J.write_jdbc(r.limit(10), url, "few_conns", "append", DERBY)
+    assert J.read_jdbc(spark, url, "few_conns", DERBY).count() == r.count() + 10
