@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Fixed value: the white space of every word rule here, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -72,3 +77,37 @@ def keep_rows(df: DataFrame, keepers: DataFrame, keys: dict[str, Column]) -> Dat
     once = of(keepers.filter("times = 1")).select(*map(q, df.columns))
     rest = of(keepers.filter("times > 1")).groupBy(*map(q, names.values())).agg(F.min(F.struct(*map(q, df.columns))).alias("_row"))
     return once.unionByName(rest.select(*(F.col("_row")[c].alias(c) for c in df.columns)))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that don't inherit it by path (done once a session)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    there = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if spark.sparkContext.master.startswith("local["):
+        there.append(os.getcwd())
+    if root in map(os.path.abspath, filter(None, there)) or spark.sparkContext.applicationId in _SHIPPED:
+        return
+    name = __name__.split(".")[0]
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name)
+    spark.sparkContext.addPyFile(made)
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
+def map_rows(df: DataFrame, function, schema: str, rows: int = 256) -> DataFrame:
+    """``function`` on Arrow batches of at most ``rows`` rows, so that very long texts don't meet in one step.
+
+    It takes a record batch and returns one of ``schema`` (or a dict of columns); nothing is kept between batches.
+    """
+    ship(df.sparkSession)
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                out = function(batch.slice(at, rows))
+                yield pa.RecordBatch.from_pydict(out, schema=kind) if isinstance(out, dict) else out
+
+    return df.mapInArrow(run, schema)
