@@ -3,11 +3,13 @@
 from .byte_bpe import op7_byte_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP2_SQL, op2_mix_sources
+from .simhash import op4_simhash
 from .token_files import op3_token_files
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_token_files": op3_token_files,
+    "op4_simhash": op4_simhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
 }
