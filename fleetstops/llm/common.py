@@ -96,13 +96,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
-def map_rows(df: DataFrame, function, schema: str, rows: int = 256) -> DataFrame:
+def map_rows(df: DataFrame, function, schema: str | StructType, rows: int = 256) -> DataFrame:
     """``function`` on Arrow batches of at most ``rows`` rows, so that very long texts don't meet in one step.
 
     It takes a record batch and returns one of ``schema`` (or a dict of columns); nothing is kept between batches.
     """
     ship(df.sparkSession)
-    kind = to_arrow_schema(StructType.fromDDL(schema))
+    kind = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
         for batch in batches:

@@ -5,6 +5,7 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP2_SQL, op2_mix_sources
 from .simhash import op4_simhash
 from .token_files import op3_token_files
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL = {
