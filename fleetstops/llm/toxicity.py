@@ -38,8 +38,8 @@ POSITIVES, UNLABELLED = 2500, 6000
 CUT = 0.3
 #: Features: letters of word beginnings, levels of their counts, number of hash values, least positives with one.
 PREFIXES, LEVELS, SPACE, LEAST = range(3, 9), (1, 2, 4), 1 << 20, 3
-#: Training: steps, first learning rate, L1 shrinkage.
-STEPS, RATE, SHRINK = 300, 0.1, 1e-3
+#: Training: steps, first learning rate, L1 shrinkage (divided by the root of the number of positives).
+STEPS, RATE, SHRINK = 300, 0.1, 0.02
 #: Words whose features a worker remembers before it starts anew.
 WORDS_KEPT = 300_000
 
@@ -96,7 +96,7 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
         return np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own]), len(own)
 
     (ip, rp, n_p), (iu, ru, n_u) = sparse(positives), sparse(unlabelled)
-    size = len(kept)
+    size, shrink = len(kept), SHRINK / np.sqrt(n_p)
     w = np.zeros(size + 1)
     w[-1] = np.log(prior / (1 - prior))
     mean, spread = np.zeros(size + 1), np.zeros(size + 1)
@@ -111,7 +111,7 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
         rate = RATE * (0.5 + 0.5 * np.cos(np.pi * step / STEPS)) + 1e-4
         scale = np.sqrt(spread / (1 - 0.999**step)) + 1e-8
         w -= rate * mean / (1 - 0.9**step) / scale
-        w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - rate * SHRINK / scale[:-1])
+        w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - rate * shrink / scale[:-1])
     used = np.flatnonzero(w[:-1])
     return Model(float(w[-1]), dict(zip(kept[used].tolist(), w[used].tolist(), strict=True)))
 
