@@ -1,6 +1,7 @@
 """The registered queries of the training-data operators and the SQL of those that SQL can express."""
 
 from .byte_bpe import op7_byte_bpe
+from .chat import op1_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP2_SQL, op2_mix_sources
 from .simhash import op4_simhash
@@ -8,6 +9,7 @@ from .token_files import op3_token_files
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_mix_sources": op2_mix_sources,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
