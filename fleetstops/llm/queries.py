@@ -4,6 +4,7 @@ from .byte_bpe import op7_byte_bpe
 from .chat import op1_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP2_SQL, op2_mix_sources
+from .neighbours import op8_neighbours
 from .simhash import op4_simhash
 from .token_files import op3_token_files
 from .toxicity import op9_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_neighbours": op8_neighbours,
     "op9_toxicity": op9_toxicity,
 }
 
