@@ -141,16 +141,15 @@ def encode_decode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     return map_rows(rows, run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256."""
-    return encoded.select(
-        "doc_id",
+def digests() -> list:
+    """n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256, from ids and decoded."""
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    ]
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text of documents."""
-    return digests(encode_decode(table(spark, sf_dir, "documents")))
+    return encode_decode(table(spark, sf_dir, "documents")).select("doc_id", *digests())

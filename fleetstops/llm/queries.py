@@ -3,9 +3,11 @@
 from .byte_bpe import op7_byte_bpe
 from .chat import op1_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .licences import op5_license_scan
 from .mixing import OP2_SQL, op2_mix_sources
 from .neighbours import op8_neighbours
 from .simhash import op4_simhash
+from .token_counts import op10_token_counts
 from .token_files import op3_token_files
 from .toxicity import op9_toxicity
 
@@ -14,10 +16,12 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_neighbours": op8_neighbours,
     "op9_toxicity": op9_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL = {
