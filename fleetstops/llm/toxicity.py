@@ -33,7 +33,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import fresh, map_rows, q, table
 
 #: Bounds of the training sample, in documents.
-POSITIVES, UNLABELLED = 2500, 6000
+POSITIVES, UNLABELLED = 1500, 4000
 #: A document is predicted toxic from this score on.
 CUT = 0.3
 #: Features: letters of word beginnings, levels of their counts, number of hash values, least positives with one.
