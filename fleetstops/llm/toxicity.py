@@ -81,19 +81,25 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def frequent(positives: list[np.ndarray]) -> np.ndarray:
+    """Features that at least LEAST positives have; no other gets a weight."""
+    seen = np.zeros(SPACE, dtype=np.int32)
+    for row in positives:
+        seen[row] += 1
+    return np.flatnonzero(seen >= min(LEAST, len(positives)))
+
+
 def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Fit by full-batch Adam steps with shrinkage on the non-negative risk; nothing random."""
     if not positives or not unlabelled or not 0 < prior < 1:
         return Model(-30.0, {})
-    seen = np.bincount(np.concatenate(positives), minlength=SPACE)
-    kept = np.flatnonzero(seen >= min(LEAST, len(positives)))
-    place = np.full(SPACE, -1)
+    kept = frequent(positives)
+    place = np.full(SPACE, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
 
     def sparse(rows):
-        own = [place[x] for x in rows]
-        own = [x[x >= 0] for x in own]
-        return np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own]), len(own)
+        own = [at[at >= 0] for at in (place[x] for x in rows)]
+        return np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own]), len(own)
 
     (ip, rp, n_p), (iu, ru, n_u) = sparse(positives), sparse(unlabelled)
     size, shrink = len(kept), SHRINK / np.sqrt(n_p)
@@ -131,18 +137,23 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
         prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     toxic = _sample(own.join(known.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi"), positives)
-    chosen = toxic.select("doc_id", F.lit(True).alias("toxic")).unionByName(_sample(own, unlabelled).select("doc_id", F.lit(False).alias("toxic")))
-    # At most POSITIVES + UNLABELLED rows of two columns: a proven bound for the broadcast.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = _features(docs, toxic, None)
+    # Of unlabelled documents only the features that can get a weight come to the driver.
+    return train(found, _features(docs, _sample(own, unlabelled), frequent(found)), prior)
 
-    def run(batch):
-        return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "f": [features(t) for t in batch.column("text").to_pylist()]}
 
-    found = map_rows(texts, run, "doc_id long, toxic boolean, f array<int>").groupBy("doc_id", "toxic").agg(F.min("f").alias("f"))
-    got = found.select("toxic", "f", "doc_id").toArrow().sort_by([("doc_id", "ascending")])
-    flags = got.column("toxic").to_numpy()
-    rows = [np.asarray(x.values, dtype=np.int32) for x in got.column("f")]
-    return train([x for x, p in zip(rows, flags, strict=True) if p], [x for x, p in zip(rows, flags, strict=True) if not p], prior)
+def _features(docs: DataFrame, ids: DataFrame, kept: np.ndarray | None) -> list[np.ndarray]:
+    """Features of the documents of a bounded sample (those in ``kept``), in the order of doc_id."""
+
+    def run(batch):
+        rows = (features(t) for t in batch.column("text").to_pylist())
+        return {"doc_id": batch.column("doc_id"), "f": [x if kept is None else x[np.isin(x, kept)] for x in rows]}
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # The sample's ids: a proven bound for the broadcast.
+    found = map_rows(texts.join(F.broadcast(ids), "doc_id"), run, "doc_id long, f array<int>")
+    got = found.groupBy("doc_id").agg(F.min("f").alias("f")).toArrow().sort_by([("doc_id", "ascending")])
+    return [np.array(x.values, dtype=np.int32) for x in got.column("f")]
 
 
 class Scorer:
