@@ -67,9 +67,3 @@ CURRENT_TABLE_ROWS = 500
 CURRENT_MAP_ROWS = 25
 HISTORY_TABLE_ROWS = 300
 HISTORY_HEAT_ROWS = 3000
-
-# Two-level history scan: a vehicle with more readings than this is split into
-# time chunks of about this many readings (chunk length measured from the data).
-CHUNK_TARGET_ROWS = 2_000_000
-# Default chunk-length argument: measure the data ("auto").
-DEFAULT_CHUNK_SECONDS = "auto"

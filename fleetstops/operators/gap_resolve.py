@@ -1,19 +1,24 @@
 """Exact answers for the stop ends the id-bounded window form cannot decide.
 
-Question per undecided stop end s: the latest moving reading m of the same
+Question per open stop end s: the latest moving reading m of the same
 vehicle with ``m.time < s.time`` and ``m.id >= L`` where ``L = s.id - gap + 1``.
-That is a two-sided (time, id) dominance query; answering it by joining each s
-with every earlier moving reading is exactly the quadratic join to avoid.
 
-Instead the id condition is cut into aligned id blocks ("dyadic" decomposition):
+Where only answers younger than ``max_s`` seconds matter, :func:`resolve_in_chunks` meets each open stop end with the
+moving readings of its vehicle's chunk and, near its beginning, of the chunk before: an equality join, at most two
+chunks of one vehicle for each open stop end.
+
+Without such a limit that is a two-sided (time, id) dominance query; answering it by joining each s
+with every earlier moving reading is exactly the quadratic join to avoid.
+:func:`resolve_undecided` instead cuts the id condition into aligned id blocks ("dyadic" decomposition):
 ``id >= L`` is the union, over every bit k that is 0 in ``L - 1``, of the block
 of ids whose top bits equal ``((L - 1) >> k) + 1`` at level k. Every moving
 reading belongs to one block per level. Inside one (vehicle, level, block) the
 remaining question is one-sided — latest moving reading strictly earlier in
 time — which the chunked history scan answers. The answer for s is the maximum
-over its (at most 63) blocks.
+over its (at most 63) blocks. Ids are counted from the least ``L - 1`` of the vehicle's open stop ends, so
+they may be negative and the number of levels follows the range of ids, not their size.
 
-Work: each undecided stop end makes at most 63 block rows; each moving reading
+Work: each open stop end makes one row per level; each moving reading
 of an affected vehicle, inside the affected time and id range, makes one row per
 level, and only rows whose block some stop end asks for are kept. No pair of
 readings is ever formed.
@@ -24,14 +29,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_CHUNK_SECONDS
-from .scan import history_scan
+from ..tuning import CHUNK_SECONDS
+from .scan import PART, chunk_of, history_scan
+
+
+def resolve_in_chunks(
+    undecided: DataFrame, dealt: DataFrame, gap: int, max_s: int, *, key: str, time: str, rid: str, chunk_seconds: int
+) -> DataFrame:
+    """(key, time, found) for each open stop end with an answer younger than ``max_s`` seconds.
+
+    ``dealt``: the moving readings as :func:`fleetstops.operators.scan.deal` gives them.
+    """
+    chunk = chunk_of(F.col(time), chunk_seconds)
+    before = chunk_of(F.col(time) - F.make_dt_interval(secs=F.lit(max_s).cast("decimal(18,6)")), chunk_seconds)
+    asked = undecided.withColumn("_g_c", F.explode(F.sequence(before, chunk)))
+    asked = asked.select(F.struct(F.col(key).alias("k"), F.col("_g_c").alias("c")).alias(PART), F.col(key), F.col(time), F.col(rid))
+    near = dealt.select(PART, F.col(time).alias("_g_t"), F.col(rid).alias("_g_id"))
+    met = asked.join(near, PART).filter(
+        (F.col("_g_t") < F.col(time))
+        & (F.col("_g_t") > F.col(time) - F.make_dt_interval(secs=F.lit(max_s + 1).cast("decimal(18,6)")))
+        & (F.col("_g_id") > F.col(rid) - F.lit(int(gap)))
+    )
+    return met.groupBy(key, time).agg(F.max("_g_t").alias("found"))
+
 
 MAX_LEVEL = 62
-# Undecided stop ends up to this many rows (counted): their per-vehicle bounds (at most
-# one row per stop end) and wanted block keys (at most 63 small rows per stop end, so
-# at most 1.26 million) are broadcast; above it both sides are shuffled instead.
-BROADCAST_MAX_ROWS = 20_000
 
 
 def resolve_undecided(
@@ -39,44 +61,34 @@ def resolve_undecided(
     moving: DataFrame,
     gap: int,
     *,
-    n_undecided: int,
     key: str = "vehicle_tag",
     time: str = "report_time",
     rid: str = "reading_id",
-    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
-    """(key, time, rid, last_moving_time) for each undecided stop end that has an answer.
+    """(key, time, rid, last_moving_time) for each open stop end that has an answer."""
+    q = undecided.select(F.col(key).alias("_g_v"), F.col(time).alias("_g_t"), F.col(rid).alias("_g_id"), (F.col(rid) - F.lit(int(gap))).alias("_g_lm1"))
+    stats = q.groupBy("_g_v").agg(F.min("_g_lm1").alias("_g_minl"), F.max("_g_lm1").alias("_g_maxl"), F.max("_g_t").alias("_g_maxt"))
+    q = q.join(stats.select("_g_v", "_g_minl"), "_g_v").withColumn("_g_from", F.col("_g_lm1") - F.col("_g_minl"))
 
-    Ids are assumed non-negative. ``n_undecided`` (already counted by the caller)
-    decides whether the small sides may be broadcast.
-    """
-    small = n_undecided <= BROADCAST_MAX_ROWS
-    bc = F.broadcast if small else (lambda d: d)
-
-    q = undecided.select(
-        F.col(key).alias("_g_v"), F.col(time).alias("_g_t"), F.col(rid).alias("_g_id"),
-        (F.col(rid) - F.lit(int(gap))).alias("_g_lm1"),  # L - 1
-    ).filter(F.col("_g_lm1") >= 0)
-    levels = F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL))).alias("_g_k")
+    m = moving.select(F.col(key).alias("_g_v"), F.col(time).alias("_g_t"), F.col(rid).alias("_g_id"))
+    m = m.join(stats, "_g_v").filter((F.col("_g_id") > F.col("_g_minl")) & (F.col("_g_t") < F.col("_g_maxt")))
+    # Ids above every threshold pass alike: they count as the first id above the highest.
+    m = m.withColumn("_g_off", F.least(F.col("_g_id"), F.col("_g_maxl") + 1) - F.col("_g_minl"))
+    levels = F.sequence(F.lit(0), F.least(F.floor(F.log2(F.col("_g_maxl") - F.col("_g_minl") + 1)).cast("int") + 1, F.lit(MAX_LEVEL)))
+    mb = m.select("_g_v", "_g_t", "_g_id", "_g_off", F.explode(levels).alias("_g_k")).withColumn("_g_b", F.expr("shiftright(_g_off, _g_k)"))
     qb = (
-        q.select("*", levels)
-        .filter(F.expr("shiftright(_g_lm1, _g_k)") % 2 == 0)
-        .withColumn("_g_b", F.expr("shiftright(_g_lm1, _g_k)") + 1)
+        q.join(stats.select("_g_v", "_g_maxl"), "_g_v")
+        .select("_g_v", "_g_t", "_g_id", "_g_from", F.explode(levels).alias("_g_k"))
+        .filter(F.expr("shiftright(_g_from, _g_k)") % 2 == 0)
+        .withColumn("_g_b", F.expr("shiftright(_g_from, _g_k)") + 1)
     )
-    stats = q.groupBy("_g_v").agg(F.min("_g_lm1").alias("_g_minl"), F.max("_g_t").alias("_g_maxt"))
-
-    m = moving.select(F.col(key).alias("_g_v"), F.col(time).alias("_g_t"), F.col(rid).alias("_g_id"))
-    m = m.join(bc(stats), "_g_v").filter((F.col("_g_id") > F.col("_g_minl")) & (F.col("_g_t") < F.col("_g_maxt")))
-    top = F.floor(F.log2(F.greatest(F.col("_g_id"), F.lit(1)))).cast("int") + 1
-    mb = m.select(
-        "_g_v", "_g_t", "_g_id", F.explode(F.sequence(F.lit(0), F.least(top, F.lit(MAX_LEVEL)))).alias("_g_k")
-    ).withColumn("_g_b", F.expr("shiftright(_g_id, _g_k)"))
     wanted = qb.select("_g_v", "_g_k", "_g_b").distinct()
-    mb = mb.join(bc(wanted), ["_g_v", "_g_k", "_g_b"], "left_semi")
+    mb = mb.join(wanted, ["_g_v", "_g_k", "_g_b"], "left_semi")
 
     blk = F.struct(F.col("_g_v"), F.col("_g_k"), F.col("_g_b")).alias("_g_blk")
-    both = qb.select(blk, "_g_v", "_g_t", "_g_id", F.lit(False).alias("_g_mv")).unionByName(
-        mb.select(blk, "_g_v", "_g_t", "_g_id", F.lit(True).alias("_g_mv"))
+    both = qb.select(blk, "_g_t", "_g_id", F.lit(False).alias("_g_mv")).unionByName(
+        mb.select(blk, "_g_t", "_g_id", F.lit(True).alias("_g_mv"))
     )
     scanned = history_scan(
         both,
@@ -89,6 +101,7 @@ def resolve_undecided(
         with_next=False,
         chunk_seconds=chunk_seconds,
     )
+    scanned = scanned.withColumn("_g_v", F.col("_g_blk._g_v"))
     best = scanned.groupBy("_g_v", "_g_t", "_g_id").agg(F.max("last_moving_time").alias("last_moving_time"))
     return best.filter(F.col("last_moving_time").isNotNull()).select(
         F.col("_g_v").alias(key), F.col("_g_t").alias(time), F.col("_g_id").alias(rid), "last_moving_time"

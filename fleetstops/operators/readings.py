@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_CHUNK_SECONDS
-from .scan import CHUNK, prepare, resolve_chunk_seconds
+from ..tuning import CHUNK_SECONDS
+from .scan import PART, deal
 
 
 def between_times(df: DataFrame, lo, hi, time: str = "report_time") -> DataFrame:
@@ -95,42 +95,29 @@ def ids_follow_time(
     key: str = "vehicle_tag",
     time: str = "report_time",
     rid: str = "reading_id",
-    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
     """Check the condition under which the id-bounded window form can never be ambiguous.
 
     Returns one row: ``violations`` = readings whose id is not larger than the id
-    of an earlier reading of the same vehicle (ties in time count too). Uses the
-    same (vehicle, chunk) split as the stop scan: an in-chunk running maximum plus
-    the maximum carried from earlier chunks.
+    of an earlier reading of the same vehicle; ``tied_times`` = (vehicle, time) pairs
+    that several readings share (they are ordered by id above, which hides them; dedupe
+    first when there are any). Uses the stop scan's split: an in-chunk running maximum plus
+    the maximum carried from earlier chunks, from one shuffle of the readings.
     """
-    chunk_seconds = resolve_chunk_seconds(readings, chunk_seconds, key, time)
-    base = prepare(readings, key=key, time=time, moving=F.lit(True), chunk_seconds=chunk_seconds)
-    w = Window.partitionBy(key, CHUNK).orderBy(time, rid)
-    in_chunk = base.select(
-        key, CHUNK, time, rid, F.max(rid).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_fs_prev_max")
-    )
-    summary = base.groupBy(key, CHUNK).agg(F.max(rid).alias("_fs_c_max"), F.min(rid).alias("_fs_c_min"))
-    wk = Window.partitionBy(key).orderBy(CHUNK)
-    carry = summary.select(
-        key, CHUNK, F.max("_fs_c_max").over(wk.rowsBetween(Window.unboundedPreceding, -1)).alias("_fs_carry_max")
-    )
-    # Readings that share a time are ordered by id above, which hides them; they are
-    # counted on their own (dedupe first when there are any).
-    ties = base.groupBy(key, CHUNK, time).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    joined = in_chunk.join(carry, [key, CHUNK])
-    bad = joined.filter(F.col(rid) <= F.greatest(F.col("_fs_prev_max"), F.col("_fs_carry_max")))
-    return _violations(bad, ties)
-
-
-def _violations(bad: DataFrame, ties: DataFrame) -> DataFrame:
-    """One row with both counts, from a union and one global aggregate (no join)."""
-    both = bad.select(F.lit(1).alias("_k"), F.lit(1).alias("_b"), F.lit(0).alias("_t")).unionByName(
-        ties.select(F.lit(1).alias("_k"), F.lit(0).alias("_b"), F.lit(1).alias("_t"))
-    )
-    return both.agg(
-        F.coalesce(F.sum("_b"), F.lit(0)).cast("long").alias("violations"),
-        F.coalesce(F.sum("_t"), F.lit(0)).cast("long").alias("tied_times"),
+    known = readings.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, rid)
+    dealt = deal(known, key=key, time=time, chunk_seconds=chunk_seconds)
+    w = Window.partitionBy(PART).orderBy(time, rid)
+    second = (F.lag(time, 1).over(w) == F.col(time)) & ~F.coalesce(F.lag(time, 2).over(w) == F.col(time), F.lit(False))
+    in_chunk = dealt.select(PART, rid, F.max(rid).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_fs_prev_max"), second.alias("_fs_tie"))
+    # Time takes part in the summary, so that both uses of the shuffle need the same columns and Spark makes it once.
+    summary = dealt.groupBy(PART).agg(F.max(rid).alias("_fs_c_max"), F.max(time).alias("_fs_c_t")).filter(F.col("_fs_c_t").isNotNull())
+    wk = Window.partitionBy(F.col(f"{PART}.k")).orderBy(F.col(f"{PART}.c")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(PART, F.max("_fs_c_max").over(wk).alias("_fs_carry_max"))
+    joined = in_chunk.join(carry, PART)
+    return joined.agg(
+        F.count_if(F.col(rid) <= F.greatest("_fs_prev_max", "_fs_carry_max")).alias("violations"),
+        F.count_if("_fs_tie").alias("tied_times"),
     )
 
 

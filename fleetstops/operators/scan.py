@@ -1,4 +1,4 @@
-"""Two-level history scan over per-vehicle time series.
+"""History scan over per-vehicle time series, always split by (vehicle, calendar chunk).
 
 For every reading it finds
 
@@ -6,30 +6,23 @@ For every reading it finds
 * the latest earlier *moving* reading of the same vehicle (time and id), plus the
   largest id of any earlier moving reading,
 
-which is all that stop detection needs.
-
-A plain ``Window.partitionBy(vehicle)`` does this in one pass and is the
-cheapest plan while every vehicle's history fits one task. A vehicle holding a
-third of all rows would then run in one task, so the scan first measures the
-data (:func:`choose_chunk_seconds`: one grouped count per vehicle, two numbers
-to the driver) and, only if some vehicle has more than ``CHUNK_TARGET_ROWS``
-readings, cuts every history into (vehicle, time chunk) pieces:
-
-1. one window pass partitioned by (vehicle, chunk) answers everything that stays
-   inside a chunk;
-2. a grouped aggregate (map-side combined, one row per chunk) summarises each
-   chunk: its first speed and its last moving reading;
-3. a window over those summaries, partitioned by vehicle and ordered by chunk,
-   carries values across chunk borders; its size grows with the number of
-   chunks, not with the number of readings;
-4. the carry rows are joined back on (vehicle, chunk). The big side is already
-   hash-partitioned on exactly that key by step 1, so only the small carry side
-   moves (or is broadcast by AQE when its measured size is small).
-
-Windows are ordered by the timestamp itself (no per-row conversion); "earlier"
-is strict — a ``RANGE … 1 MICROSECOND PRECEDING`` frame — so readings at the
-same time never see each other, matching a ``report_time > moving.report_time``
-join condition even when keys repeat.
+which is all that stop detection needs. One plan serves every size:
+
+1. readings are dealt once by (vehicle, chunk), a chunk being a fixed calendar piece (``chunk_seconds``, one day
+   unless stated), so one vehicle's long history is as many pieces as it has days;
+2. a window per piece answers everything that stays inside it;
+3. a grouped aggregate over the same pieces (the same shuffle: Spark reuses the exchange, so the source is read
+   once) gives one summary row per piece: its first speed and its last moving reading;
+4. a window over the summaries, per vehicle in chunk order, carries values across borders. It holds one row per
+   vehicle and day, however many readings there are;
+5. the carry rows are joined back on (vehicle, chunk); the readings are already dealt by that key.
+
+Windows are ordered by the timestamp itself (no per-row conversion); "earlier" is strict, a
+``RANGE … 1 MICROSECOND PRECEDING`` frame, so readings at the same time never see each other, matching a
+``report_time > moving.report_time`` join condition even when keys repeat.
+
+Readings without a vehicle are one group of their own, and readings without a time come first in their vehicle's
+order, as in a plain window; readings without a time never count as moving.
 """
 
 from __future__ import annotations
@@ -37,86 +30,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import CHUNK_TARGET_ROWS
 from ..functions.time import floor_div
+from ..tuning import CHUNK_SECONDS
 
 # Names of the internal columns (removed from every output).
-CHUNK = "_fs_chunk"
-PART = "_fs_part"  # struct(vehicle, chunk): the window and join key of the split scan
+PART = "_fs_part"  # struct(vehicle, chunk): the key of the one full shuffle
 MV = "_fs_moving"
 NX_T = "_fs_next_t"
 NX_SPEED = "_fs_next_speed"
-# Share of rows the chunk-length estimate looks at.
-SAMPLE_FRACTION = 0.01
+# Chunk of readings without a time: before every calendar chunk.
+NO_TIME = -(1 << 62)
 
 
-def choose_chunk_seconds(
-    readings: DataFrame, *, key: str = "vehicle_tag", time: str = "report_time", target_rows: int = CHUNK_TARGET_ROWS
-) -> int | None:
-    """Pick the time-chunk length from the data (one small aggregate job).
+def chunk_of(time, chunk_seconds: int) -> Column:
+    """Number of the calendar chunk of a time, from whole epoch seconds (wall clock for ``timestamp_ntz``)."""
+    return floor_div(F.unix_timestamp(time), int(chunk_seconds))
 
-    Per vehicle: estimated number of readings and first/last time (a grouped
-    aggregate over a 1% sample, combined map-side, one row per vehicle); then the
-    largest count and the largest density among vehicles above the target (a
-    global aggregate: two numbers reach the driver). If no vehicle has more than ``target_rows`` readings, ``None``: no
-    split is needed. Otherwise the chunk length at which the densest vehicle's
-    chunks hold about ``target_rows`` readings.
-    """
-    # No vehicle can exceed the target when the whole input does not (a limited count
-    # stops reading after target + 1 rows).
-    if readings.select(key).limit(int(target_rows) + 1).count() <= target_rows:
-        return None
-    # Only an estimate is needed (the split changes cost, never results): counts come
-    # from a fixed-seed Bernoulli sample and are scaled back up.
-    fraction = SAMPLE_FRACTION
-    per_vehicle = (
-        readings.select(key, time)
-        .filter(F.col(key).isNotNull() & F.col(time).isNotNull())
-        .sample(withReplacement=False, fraction=fraction, seed=17)
-        .groupBy(key)
-        .agg((F.count(F.lit(1)) / F.lit(fraction)).alias("n"), F.min(time).alias("t0"), F.max(time).alias("t1"))
-    )
-    span_s = F.greatest((F.unix_timestamp("t1") - F.unix_timestamp("t0")).cast("double"), F.lit(1.0))
-    # Density only of the vehicles that need splitting: small vehicles fit one task
-    # anyway, and their sampled spans are too short to estimate a density.
-    big = F.col("n") > F.lit(float(target_rows))
-    row = per_vehicle.agg(
-        F.max("n").alias("max_n"), F.max(F.when(big, F.col("n") / span_s)).alias("max_density")
-    ).first()
-    if row is None or row.max_n is None or row.max_n <= target_rows:
-        return None
-    return max(1, int(target_rows / row.max_density))
-
-
-def resolve_chunk_seconds(readings: DataFrame, chunk_seconds, key: str, time: str) -> int | None:
-    """``"auto"`` → :func:`choose_chunk_seconds`; ``None`` → no split; an int → that length."""
-    if chunk_seconds == "auto":
-        return choose_chunk_seconds(readings, key=key, time=time)
-    return chunk_seconds
-
-
-def prepare(readings: DataFrame, *, key: str, time: str, moving: Column, chunk_seconds: int | None) -> DataFrame:
-    """Drop rows without key or time; add the chunk number (0 without split) and the moving flag.
-
-    The chunk comes from whole epoch seconds (``unix_timestamp``: wall clock for
-    ``timestamp_ntz``, independent of the session time zone).
-    """
-    if chunk_seconds is None:
-        chunk = F.lit(0).cast("long")
-    else:
-        chunk = floor_div(F.unix_timestamp(F.col(time)), int(chunk_seconds))
-    return (
-        readings.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
-        .withColumn(CHUNK, chunk)
-        .withColumn(MV, F.coalesce(moving, F.lit(False)))
-    )
+
+def deal(readings: DataFrame, *, key: str = "vehicle_tag", time: str = "report_time", chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """Readings dealt by (vehicle, chunk): the struct ``PART`` replaces the vehicle column."""
+    chunk = F.coalesce(chunk_of(F.col(time), chunk_seconds), F.lit(NO_TIME))
+    part = F.struct(F.col(key).alias("k"), chunk.alias("c")).alias(PART)
+    return readings.select(part, *[F.col(c) for c in readings.columns if c != key]).repartition(F.col(PART))
 
 
-def strictly_before(agg_sql: str, part: list[str], time: str) -> Column:
-    """``agg_sql`` over the rows of the same window partition strictly earlier in time."""
-    by = ", ".join(f"`{c}`" for c in part)
+def strictly_before(agg_sql: str, time: str) -> Column:
+    """``agg_sql`` over the rows of the same piece strictly earlier in time."""
     return F.expr(
-        f"{agg_sql} OVER (PARTITION BY {by} ORDER BY `{time}` "
+        f"{agg_sql} OVER (PARTITION BY `{PART}` ORDER BY `{time}` "
         f"RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
     )
 
@@ -132,103 +73,70 @@ def history_scan(
     keep: Column | None = None,
     with_next: bool = True,
     with_last: bool = True,
-    chunk_seconds: int | str | None = "auto",
-    keep_chunk: bool = False,
+    chunk_seconds: int = CHUNK_SECONDS,
+    dealt: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``next_speed``, ``last_moving_time``, ``last_moving_id``, ``max_moving_id``.
 
     ``moving`` marks the readings that count as moving (default ``speed > 0``).
-    ``keep`` is a filter applied after the in-chunk window and before the carry
-    join; it may use the input columns and ``NX_T``/``NX_SPEED`` (the in-chunk
-    next reading, NULL time when the reading is last in its chunk).
-    With ``keep_chunk`` the chunk number stays in the output as ``CHUNK`` so that
-    callers can group by (key, chunk, time) without a new shuffle.
-
-    ``chunk_seconds``: ``"auto"`` (default) measures the data first (see
-    :func:`choose_chunk_seconds`); ``None`` never splits a vehicle; an int
-    always splits at that length.
+    ``keep`` is a filter applied after the in-piece window and before the carry
+    join; it may use the input columns and ``NX_T``/``NX_SPEED`` (the in-piece
+    next reading, NULL time when the reading is last in its piece).
+    ``dealt``: ``readings`` as :func:`deal` gives them, where the caller uses that shuffle again.
     """
     if moving is None:
         moving = F.col(speed) > 0
     out_cols = list(readings.columns)
-    chunk_seconds = resolve_chunk_seconds(readings, chunk_seconds, key, time)
-    base = prepare(readings, key=key, time=time, moving=moving, chunk_seconds=chunk_seconds)
-    if chunk_seconds is None:
-        # One piece per vehicle: an input already partitioned by vehicle is reused as is.
-        part = [key, CHUNK]
-    else:
-        # One combined key, so that an input partitioned by vehicle alone can never stand
-        # in for it: the split always gets its own exchange and a hot vehicle really spreads.
-        base = base.withColumn(PART, F.struct(F.col(key).alias("k"), F.col(CHUNK).alias("c")))
-        part = [PART]
-
-    # 1. Inside each (vehicle, chunk).
-    w = Window.partitionBy(*part).orderBy(time)
+    if dealt is None:
+        dealt = deal(readings, key=key, time=time, chunk_seconds=chunk_seconds)
+    marked = dealt.withColumn(MV, F.coalesce(moving & F.col(time).isNotNull(), F.lit(False)))
+
+    # Inside each piece.
+    w = Window.partitionBy(PART).orderBy(time)
     extra = []
     if with_next:
-        extra += [F.lead(time).over(w).alias(NX_T), F.lead(speed).over(w).alias(NX_SPEED)]
+        extra += [F.lead(time).over(w).alias(NX_T), F.lead(speed).over(w).alias(NX_SPEED), F.lead(F.lit(True)).over(w).alias("_fs_has_next")]
     if with_last:
         extra += [
-            strictly_before(
-                f"max(CASE WHEN `{MV}` THEN named_struct('t', `{time}`, 'id', `{rid}`) END)", part, time
-            ).alias("_fs_lm"),
-            strictly_before(f"max(CASE WHEN `{MV}` THEN `{rid}` END)", part, time).alias("_fs_mmid"),
+            strictly_before(f"max(CASE WHEN `{MV}` THEN named_struct('t', `{time}`, 'id', `{rid}`) END)", time).alias("_fs_lm"),
+            strictly_before(f"max(CASE WHEN `{MV}` THEN `{rid}` END)", time).alias("_fs_mmid"),
         ]
-    scanned = base.select("*", *extra)
+    scanned = marked.select("*", *extra)
     if keep is not None:
         scanned = scanned.filter(keep)
-    keep_cols = [F.col(c) for c in out_cols] + ([F.col(CHUNK)] if keep_chunk else [])
-
-    if chunk_seconds is None:
-        # One chunk per vehicle: the in-chunk values are final.
-        result = []
-        if with_next:
-            result.append(F.col(NX_SPEED).alias("next_speed"))
-        if with_last:
-            result += [
-                F.col("_fs_lm")["t"].alias("last_moving_time"),
-                F.col("_fs_lm")["id"].alias("last_moving_id"),
-                F.col("_fs_mmid").alias("max_moving_id"),
-            ]
-        return scanned.select(*keep_cols, *result)
-
-    # 2. One summary row per chunk (partial aggregation before the shuffle; primitive buffers only).
-    aggs = []
+
+    # One summary row per piece, from the same shuffle. Both uses of it must need the same columns for Spark to
+    # reuse it: the columns that a summary doesn't need otherwise go into a hash that the filter below looks at.
+    aggs, used = [], {time}
     mv_t = F.when(F.col(MV), F.col(time))
     if with_next:
-        aggs.append(F.min_by(F.col(speed), F.col(time)).alias("_fs_first_speed"))
+        aggs.append(F.min_by(F.col(speed), F.coalesce(F.col(time), F.lit("0001-01-01").cast("timestamp_ntz"))).alias("_fs_first_speed"))
+        used.add(speed)
     if with_last:
         aggs += [
             F.max(mv_t).alias("_fs_c_t"),
             F.max_by(F.when(F.col(MV), F.col(rid)), mv_t).alias("_fs_c_id"),
             F.max(F.when(F.col(MV), F.col(rid))).alias("_fs_c_mmid"),
         ]
-    summary = base.groupBy(key, CHUNK).agg(*aggs)
+        used.add(rid)
+    rest = [F.col(c) for c in out_cols if c != key and c not in used]
+    summary = marked.groupBy(PART).agg(*aggs, F.max(F.hash(*rest) if rest else F.lit(0)).alias("_fs_same"))
+    summary = summary.filter(F.col("_fs_same").isNotNull())
 
-    # 3. Carry across chunks, per vehicle in chunk order.
-    wk = Window.partitionBy(key).orderBy(CHUNK)
+    # Carry across chunks, per vehicle in chunk order.
+    wk = Window.partitionBy(F.col(f"{PART}.k")).orderBy(F.col(f"{PART}.c"))
     prior = wk.rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = [F.col(key), F.col(CHUNK)]
+    carry_cols = [F.col(PART)]
     if with_next:
         carry_cols.append(F.lead("_fs_first_speed").over(wk).alias("_fs_cx_speed"))
     if with_last:
-        c_row = F.when(
-            F.col("_fs_c_t").isNotNull(), F.struct(F.col("_fs_c_t").alias("t"), F.col("_fs_c_id").alias("id"))
-        )
-        carry_cols += [
-            F.last(c_row, ignorenulls=True).over(prior).alias("_fs_cl"),
-            F.max("_fs_c_mmid").over(prior).alias("_fs_cmmid"),
-        ]
-    carry = summary.select(*carry_cols)
-    carry = carry.select(F.struct(F.col(key).alias("k"), F.col(CHUNK).alias("c")).alias(PART), *carry.columns[2:])
+        c_row = F.when(F.col("_fs_c_t").isNotNull(), F.struct(F.col("_fs_c_t").alias("t"), F.col("_fs_c_id").alias("id")))
+        carry_cols += [F.last(c_row, ignorenulls=True).over(prior).alias("_fs_cl"), F.max("_fs_c_mmid").over(prior).alias("_fs_cmmid")]
+    joined = scanned.join(summary.select(*carry_cols), PART, "inner")
 
-    # 4. Join back on the window's own partitioning key.
-    joined = scanned.join(carry, [PART], "inner")
-    result = []
+    result = [F.col(f"{PART}.k").alias(key) if c == key else F.col(c) for c in out_cols]
     if with_next:
-        result.append(
-            F.when(F.col(NX_T).isNotNull(), F.col(NX_SPEED)).otherwise(F.col("_fs_cx_speed")).alias("next_speed")
-        )
+        result.append(F.when(F.col("_fs_has_next"), F.col(NX_SPEED)).otherwise(F.col("_fs_cx_speed")).alias("next_speed"))
     if with_last:
         lm = F.coalesce(F.col("_fs_lm"), F.col("_fs_cl"))
         result += [
@@ -236,9 +144,9 @@ def history_scan(
             lm["id"].alias("last_moving_id"),
             F.greatest(F.col("_fs_mmid"), F.col("_fs_cmmid")).alias("max_moving_id"),
         ]
-    return joined.select(*keep_cols, *result)
+    return joined.select(*result)
 
 
 def stop_end_candidates(speed: str = "speed") -> Column:
-    """``keep`` filter for stop ends: stopped now, and not followed inside the chunk by a non-moving reading."""
+    """``keep`` filter for stop ends: stopped now, and not followed inside the piece by a non-moving reading."""
     return (F.col(speed) == 0) & (F.col(NX_T).isNull() | (F.col(NX_SPEED) > 0))

@@ -1,7 +1,7 @@
 """Stop detection: next speed, stop ends, last moving time, stop length, long stops.
 
 All of them run on :func:`fleetstops.operators.scan.history_scan`, one shuffle
-by (vehicle, time chunk), instead of the per-vehicle range join
+by (vehicle, calendar chunk), instead of the per-vehicle range join
 ``stopped ⋈ moving ON same vehicle AND earlier`` (which meets every stop end
 with every earlier moving reading of its vehicle).
 
@@ -13,25 +13,24 @@ Exactness of the window form against the join form:
   the bound, and when *no* earlier moving reading has an id inside the bound
   (``max_moving_id`` check) the stop has no match; both are exact. Only when
   ids of a vehicle fall while time rises can m* fail while an older reading
-  passes. Such rows are answered exactly by
-  :func:`fleetstops.operators.gap_resolve.resolve_undecided` (id blocks + the
-  same scan, no reading pairs). The rows are found with one count over the
-  checkpointed stop ends, so tables whose ids follow time (see
-  :func:`ids_follow_time`) never pay for that step.
+  passes. Such open rows meet the moving readings of their own chunk and the one
+  before (where stops longer than ``max_s`` don't count, so that no older reading
+  matters; those readings come from the scan's own shuffle), or else are answered by
+  :func:`fleetstops.operators.gap_resolve.resolve_undecided` (id blocks and the same
+  scan, no reading pairs). Both are part of the plan and start no job of their own:
+  where ids follow time, the open side is empty, which Spark finds at run time.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_CHUNK_SECONDS, LONG_STOP_MAX_S, LONG_STOP_MIN_S, MAX_ID_GAP
-from ..functions.time import stop_length_rounded, stop_length_seconds, stop_length_trunc
-from ..session import ensure_checkpoint_dir
-from .gap_resolve import resolve_undecided
-from .scan import CHUNK, history_scan, stop_end_candidates
+from ..constants import LONG_STOP_MAX_S, LONG_STOP_MIN_S, MAX_ID_GAP
+from ..functions.time import stop_length_seconds
+from ..tuning import CHUNK_SECONDS
+from .gap_resolve import resolve_in_chunks, resolve_undecided
+from .scan import deal, history_scan, stop_end_candidates
 
 
 def next_speed(
@@ -41,7 +40,7 @@ def next_speed(
     time: str = "report_time",
     speed: str = "speed",
     rid: str = "reading_id",
-    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
     """Every reading with the speed of the vehicle's next reading (NULL for the last one)."""
     return history_scan(
@@ -56,7 +55,7 @@ def find_last_stopped(
     time: str = "report_time",
     speed: str = "speed",
     rid: str = "reading_id",
-    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
     """readings that end a stop: speed = 0 and the next reading's speed > 0."""
     scanned = history_scan(
@@ -89,7 +88,7 @@ def last_moving_window(
     time: str = "report_time",
     speed: str = "speed",
     rid: str = "reading_id",
-    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
     """For every speed-0 reading, the latest earlier moving time of its vehicle (NULL if none)."""
     scanned = history_scan(
@@ -119,42 +118,27 @@ def _ambiguous(rid: str, max_id_gap: int | None):
     )
 
 
-def _exact_gap(
-    ends: DataFrame,
-    moving: DataFrame,
-    gap: int,
-    *,
-    key: str,
-    time: str,
-    rid: str,
-    chunk_seconds: int,
-) -> DataFrame:
-    """Keep decided rows, answer undecided ones exactly; drop rows without an answer.
+def _answered(flagged: DataFrame, resolve, *, key: str, time: str, rid: str) -> DataFrame:
+    """One row per (vehicle, time) of ``flagged`` stops that has a last moving time, the latest.
 
-    ``ends`` holds the scan output (``last_moving_time``, ``last_moving_id``,
-    ``max_moving_id``). It is checkpointed to the shared checkpoint folder (only
-    stop ends, a small part of the readings), so that deciding whether any row is
-    undecided and using the rows do not scan twice.
+    ``flagged`` holds decided rows and, marked ``_fs_amb``, open ones, which ``resolve(rows)`` answers with rows
+    (key, time, found). The columns come from the stop's reading (the largest by all columns where several share
+    vehicle and time).
     """
-    ok, amb = _gap_ok(rid, gap), _ambiguous(rid, gap)
-    flagged = ends.filter(ok | amb).withColumn("_fs_amb", amb).drop("last_moving_id", "max_moving_id")
-    # The stop ends are checkpointed once to the shared checkpoint folder (measured
-    # faster than a Parquet write for this table, which is read back whole); the
-    # undecided rows are counted by that same job (observed metric, counted in the
-    # result stage), so no second pass is needed to decide.
-    ensure_checkpoint_dir(flagged.sparkSession)
-    seen = Observation(f"undecided-{uuid.uuid4().hex}")
-    fixed = flagged.observe(seen, F.count_if(F.col("_fs_amb")).alias("n")).checkpoint(eager=True)
-    n_undecided = int(seen.get["n"] or 0)
-    decided = fixed.filter(~F.col("_fs_amb")).drop("_fs_amb")
-    if n_undecided == 0:
-        return decided
-    undecided = fixed.filter(F.col("_fs_amb")).drop("_fs_amb")
-    answers = resolve_undecided(
-        undecided, moving, gap, n_undecided=n_undecided, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds
-    )
-    resolved = undecided.drop("last_moving_time").join(answers, [key, time, rid], "inner")
-    return decided.unionByName(resolved)
+    others = [c for c in flagged.columns if c not in (key, time, "_fs_amb", "last_moving_time", "last_moving_id", "max_moving_id")]
+    amb = F.col("_fs_amb")
+    decided = F.max(F.when(~amb, F.struct(F.col("last_moving_time").alias("lm"), *others))).alias("_fs_d")
+    is_open = F.min(F.when(amb, F.struct(F.col(rid).alias("low"), *others))).alias("_fs_o")
+    per = flagged.groupBy(key, time).agg(decided, is_open)
+    # Each side looks at both aggregates (the second conditions always hold), so that the groups are made once.
+    d = per.filter(F.col("_fs_d").isNotNull() & (F.col("_fs_o").isNull() | (F.col("_fs_o.low") >= F.lit(-(1 << 63)))))
+    o = per.filter(F.col("_fs_o").isNotNull() & (F.col("_fs_d").isNull() | F.col("_fs_d.lm").isNotNull()))
+    d = d.select(key, time, "_fs_d")
+    found = resolve(o.select(key, time, F.col("_fs_o.low").alias(rid)))
+    o = o.select(key, time, "_fs_o").join(found, [key, time])
+    o = o.select(key, time, F.struct(F.col("found").alias("lm"), *[F.col(f"_fs_o.{c}") for c in others]).alias("_fs_d"))
+    best = d.unionByName(o).groupBy(key, time).agg(F.max("_fs_d").alias("r"))
+    return best.select(key, time, *[F.col(f"r.{c}") for c in others], F.col("r.lm").alias("last_moving_time"))
 
 
 def last_moving_time(
@@ -165,24 +149,20 @@ def last_moving_time(
     key: str = "vehicle_tag",
     time: str = "report_time",
     rid: str = "reading_id",
-    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
-    exact: bool = True,
+    chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
     """For each stopped reading, the latest earlier moving time of the same vehicle.
 
-    Inner semantics: stopped readings without such a moving reading are left
-    out. With ``max_id_gap`` only moving readings whose id is less than that far
-    below the stopped reading's id count. One row per (vehicle, time).
-
-    When both inputs come from one readings table, measure that table once
-    (``scan.choose_chunk_seconds(readings)``) and pass the result as
-    ``chunk_seconds`` to every stage: measuring a derived input would run its plan.
+    Inner semantics: stopped readings without such a moving reading, or without
+    vehicle or time, are left out. With ``max_id_gap`` only moving readings whose
+    id is less than that far below the stopped reading's id count. One row per
+    (vehicle, time).
     """
-    q = stopped.select(F.col(key), F.col(time), F.col(rid), F.lit(False).alias("_fs_is_mv"))
-    m = moving.select(F.col(key), F.col(time), F.col(rid), F.lit(True).alias("_fs_is_mv"))
-    both = q.unionByName(m)
+    known = F.col(key).isNotNull() & F.col(time).isNotNull()
+    q = stopped.filter(known).select(F.col(key), F.col(time), F.col(rid), F.lit(False).alias("_fs_is_mv"))
+    m = moving.filter(known).select(F.col(key), F.col(time), F.col(rid), F.lit(True).alias("_fs_is_mv"))
     scanned = history_scan(
-        both,
+        q.unionByName(m),
         key=key,
         time=time,
         speed=None,
@@ -191,19 +171,18 @@ def last_moving_time(
         keep=~F.col("_fs_is_mv"),
         with_next=False,
         chunk_seconds=chunk_seconds,
-        keep_chunk=True,
-    )
-    if max_id_gap is not None and exact:
-        rows = _exact_gap(
-            scanned.drop(CHUNK), m.drop("_fs_is_mv"), max_id_gap, key=key, time=time, rid=rid,
-            chunk_seconds=chunk_seconds,
-        )
-        return rows.groupBy(key, time).agg(F.max("last_moving_time").alias("last_moving_time"))
-    matched = scanned.filter(_gap_ok(rid, max_id_gap))
-    # Group by (vehicle, chunk, time): same groups as (vehicle, time), and no new shuffle.
-    return matched.groupBy(key, CHUNK, time).agg(F.max("last_moving_time").alias("last_moving_time")).select(
-        key, time, "last_moving_time"
-    )
+    ).drop("_fs_is_mv")
+    if max_id_gap is None:
+        matched = scanned.filter(_gap_ok(rid, None))
+        return matched.groupBy(key, time).agg(F.max("last_moving_time").alias("last_moving_time"))
+    amb = _ambiguous(rid, max_id_gap)
+    flagged = scanned.filter(_gap_ok(rid, max_id_gap) | amb).withColumn("_fs_amb", amb)
+
+    def resolve(rows):
+        answers = resolve_undecided(rows, m.drop("_fs_is_mv"), max_id_gap, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds)
+        return answers.select(key, time, F.col("last_moving_time").alias("found"))
+
+    return _answered(flagged, resolve, key=key, time=time, rid=rid).select(key, time, "last_moving_time")
 
 
 def last_moving_time_unbounded(stopped: DataFrame, moving: DataFrame, **kw) -> DataFrame:
@@ -215,21 +194,24 @@ def stop_ends_with_last_moving(
     readings: DataFrame,
     *,
     max_id_gap: int | None = MAX_ID_GAP,
+    max_s: int | None = None,
     key: str = "vehicle_tag",
     time: str = "report_time",
     speed: str = "speed",
     rid: str = "reading_id",
-    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int = CHUNK_SECONDS,
     with_ambiguous: bool = False,
-    exact: bool = True,
 ) -> DataFrame:
     """F3 + J1 in one scan: stop-end readings (all columns) with ``next_speed`` and ``last_moving_time``.
 
-    Stop ends without a qualifying earlier moving reading are left out (inner
-    join semantics). With an id bound and ``exact`` (default) undecided rows are
-    answered exactly (see module doc); with ``with_ambiguous`` they are returned
-    as the window form leaves them, flagged in column ``ambiguous``.
+    Stop ends without a qualifying earlier moving reading, or without vehicle or
+    time, are left out (inner join semantics). Without an id bound there is one row per
+    stop-end reading; with one, one row per (vehicle, time). ``max_s``: the caller
+    drops stops of that many seconds or more, so an id-bounded answer that old need not be found.
+    With ``with_ambiguous`` open rows are returned as the window form leaves them, flagged in column ``ambiguous``.
     """
+    readings = readings.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    dealt = deal(readings, key=key, time=time, chunk_seconds=chunk_seconds)
     scanned = history_scan(
         readings,
         key=key,
@@ -238,16 +220,24 @@ def stop_ends_with_last_moving(
         rid=rid,
         keep=stop_end_candidates(speed),
         chunk_seconds=chunk_seconds,
+        dealt=dealt,
     )
     ends = scanned.filter((F.col(speed) == 0) & (F.col("next_speed") > 0))
-    ok = _gap_ok(rid, max_id_gap)
+    ok, amb = _gap_ok(rid, max_id_gap), _ambiguous(rid, max_id_gap)
     if with_ambiguous:
-        amb = _ambiguous(rid, max_id_gap)
         return ends.filter(ok | amb).withColumn("ambiguous", amb)
-    if max_id_gap is not None and exact:
+    if max_id_gap is None:
+        return ends.filter(ok).drop("last_moving_id", "max_moving_id")
+    flagged = ends.filter(ok | amb).withColumn("_fs_amb", amb)
+
+    def resolve(rows):
+        if max_s is not None:
+            return resolve_in_chunks(rows, dealt.filter(F.col(speed) > 0), max_id_gap, max_s, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds)
         moving = readings.filter(F.col(speed) > 0).select(key, time, rid)
-        return _exact_gap(ends, moving, max_id_gap, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds)
-    return ends.filter(ok).drop("last_moving_id", "max_moving_id")
+        answers = resolve_undecided(rows, moving, max_id_gap, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds)
+        return answers.select(key, time, F.col("last_moving_time").alias("found"))
+
+    return _answered(flagged, resolve, key=key, time=time, rid=rid)
 
 
 def calculate_stop_length(df: DataFrame, end: str = "report_time", start: str = "last_moving_time") -> DataFrame:
@@ -255,18 +245,6 @@ def calculate_stop_length(df: DataFrame, end: str = "report_time", start: str =
     return df.withColumn("stopped_for", stop_length_seconds(end, start))
 
 
-def calculate_stop_length_trunc(df: DataFrame, end: str = "report_time", start: str = "last_moving_time") -> DataFrame:
-    """T2 as a column ``stopped_for``."""
-    return df.withColumn("stopped_for", stop_length_trunc(end, start, df.schema[end].dataType))
-
-
-def calculate_stop_length_rounded(
-    df: DataFrame, end: str = "report_time", start: str = "last_moving_time"
-) -> DataFrame:
-    """T3 as a column ``stopped_for`` (int)."""
-    return df.withColumn("stopped_for", stop_length_rounded(end, start, df.schema[end].dataType))
-
-
 def long_stops(df: DataFrame, min_s: int = LONG_STOP_MIN_S, max_s: int = LONG_STOP_MAX_S) -> DataFrame:
     """report_time, vehicle_tag, stopped_for of stops strictly between ``min_s`` and ``max_s`` seconds."""
     return df.select("report_time", "vehicle_tag", "stopped_for").filter(

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CURRENT_MAP_ROWS, CURRENT_TABLE_ROWS, DEFAULT_CHUNK_SECONDS
+from ..constants import CURRENT_MAP_ROWS, CURRENT_TABLE_ROWS
 from ..functions.time import display_time, empty_if_null, look_back_start, minutes_stopped, stop_length_rounded
 from ..operators.reports import top_rows
 from ..operators.stops import stop_ends_with_last_moving
 from .checks import check_limit, check_look_back, check_query_time
+from ..tuning import CHUNK_SECONDS
 
 
 def list_stopped_vehicles(
-    readings: DataFrame, query_time, look_back: int, *, chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS
+    readings: DataFrame, query_time, look_back: int, *, chunk_seconds: int = CHUNK_SECONDS
 ) -> DataFrame:
     """Vehicles whose stop ended within ``look_back`` minutes before ``query_time``, longest first.
 
@@ -50,7 +51,7 @@ def current_stops(
     look_back: int,
     limit: int = CURRENT_TABLE_ROWS,
     *,
-    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
     """Display rows of :func:`list_stopped_vehicles`, first ``limit`` (0 = all).
 
@@ -76,7 +77,7 @@ def map_points(
     look_back: int,
     limit: int = CURRENT_MAP_ROWS,
     *,
-    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
     """Map markers of the longest current stops: tag, lat, lng, minutes."""
     limit = check_limit(limit)

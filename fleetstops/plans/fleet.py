@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_CHUNK_SECONDS, LONG_STOP_MAX_S, LONG_STOP_MIN_S, MAX_ID_GAP
+from ..constants import LONG_STOP_MAX_S, LONG_STOP_MIN_S, MAX_ID_GAP
 from ..functions.time import hour_of_day, stop_length_rounded, stop_length_seconds
 from ..operators.readings import between_times
 from ..operators.stops import long_stops, stop_ends_with_last_moving
+from ..tuning import CHUNK_SECONDS
 
 _SCAN_COLS = ["reading_id", "vehicle_tag", "report_time", "speed"]
 
@@ -22,7 +23,7 @@ def stopped_vehicles(
     max_id_gap: int | None = MAX_ID_GAP,
     min_s: int = LONG_STOP_MIN_S,
     max_s: int = LONG_STOP_MAX_S,
-    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
     """Which vehicles stood still for more than 5 minutes and less than 2 hours, when, how long.
 
@@ -33,12 +34,12 @@ def stopped_vehicles(
     r = readings.select(*_SCAN_COLS)
     if lower is not None or upper is not None:
         r = between_times(r, lower, upper)
-    ends = stop_ends_with_last_moving(r, max_id_gap=max_id_gap, chunk_seconds=chunk_seconds)
-    # One row per (vehicle, time), latest moving time, as the grouped join defines it; this only
-    # matters for readings that share a time (not deduplicated) and runs over stop ends only.
-    per_key = ends.groupBy("vehicle_tag", "report_time").agg(F.max("last_moving_time").alias("last_moving_time"))
+    ends = stop_ends_with_last_moving(r, max_id_gap=max_id_gap, max_s=max_s, chunk_seconds=chunk_seconds)
+    if max_id_gap is None:
+        # One row per (vehicle, time), latest moving time, as the grouped join defines it.
+        ends = ends.groupBy("vehicle_tag", "report_time").agg(F.max("last_moving_time").alias("last_moving_time"))
     return long_stops(
-        per_key.withColumn("stopped_for", stop_length_seconds("report_time", "last_moving_time")), min_s, max_s
+        ends.withColumn("stopped_for", stop_length_seconds("report_time", "last_moving_time")), min_s, max_s
     )
 
 
@@ -50,7 +51,7 @@ def stops_detail(
     max_id_gap: int | None = MAX_ID_GAP,
     min_s: int = LONG_STOP_MIN_S,
     max_s: int = LONG_STOP_MAX_S,
-    chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS,
+    chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
     """Long stops with hour of day and the stop-end reading's coordinates.
 
@@ -60,7 +61,7 @@ def stops_detail(
     r = readings.select(*_SCAN_COLS, "latitude", "longitude")
     if lower is not None or upper is not None:
         r = between_times(r, lower, upper)
-    ends = stop_ends_with_last_moving(r, max_id_gap=max_id_gap, chunk_seconds=chunk_seconds)
+    ends = stop_ends_with_last_moving(r, max_id_gap=max_id_gap, max_s=max_s, chunk_seconds=chunk_seconds)
     s = ends.withColumn("stopped_for", stop_length_seconds("report_time", "last_moving_time"))
     s = s.filter((F.col("stopped_for") > F.lit(int(min_s))) & (F.col("stopped_for") < F.lit(int(max_s))))
     return s.select(
@@ -74,7 +75,7 @@ def stops_detail(
 
 
 def stop_times(
-    readings: DataFrame, *, with_location: bool = False, chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS
+    readings: DataFrame, *, with_location: bool = False, chunk_seconds: int = CHUNK_SECONDS
 ) -> DataFrame:
     """Every stop end of every vehicle with the last moving time before it (no id bound).
 
@@ -94,7 +95,7 @@ def stop_times(
     )
 
 
-def stops_in_window(readings: DataFrame, lower, upper, *, chunk_seconds: int | str | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def stops_in_window(readings: DataFrame, lower, upper, *, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Stop times that ended between two times, with coordinates, longest first.
 
     The time filter applies to finished stops (their last moving time may lie

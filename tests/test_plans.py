@@ -1,21 +1,22 @@
 """Plan-shape checks: the properties that matter at scale stay true as the code changes.
 
 * filters and column pruning reach the Parquet scan;
-* the unsplit scan shuffles the readings exactly once (by vehicle);
-* the split scan shuffles the readings once by (vehicle, chunk); the carry side
-  is the only other input of the join (the big side is not shuffled again);
+* the scan reads and shuffles the readings once, by (vehicle, chunk);
+* building a question starts no job;
 * stop lengths are positive and there is one row per (vehicle, stop end).
 """
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetstops.operators import scan as S
-from fleetstops.operators import stops as ST
 from fleetstops.operators.readings import between_times
+from fleetstops.registry import QUERIES
+from fleetstops.sources import bindings
 from fleetstops.sources.bindings import readings
-from tests.conftest import SF_MID
+from tests.conftest import SF_MID, SF_SMALL
 
 
 def plan_of(df):
@@ -26,35 +27,59 @@ def exchanges(plan):
     return re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)\(?([^,\]]*)", plan)
 
 
+def ran(df):
+    """The plan that ran, after its rows were taken."""
+    df.collect()
+    return plan_of(df).split("== Initial Plan ==")[0]
+
+
 def test_scan_pushes_filters_and_prunes_columns(spark):
     r = between_times(readings(spark, SF_MID), "2024-01-05 00:00:00", "2024-01-20 00:00:00")
-    out = S.history_scan(r.select("reading_id", "vehicle_tag", "report_time", "speed"), chunk_seconds=None)
-    plan = plan_of(out)
-    assert "PushedFilters: [IsNotNull(user_id), GreaterThanOrEqual(ts" in plan
+    plan = plan_of(S.history_scan(r.select("reading_id", "vehicle_tag", "report_time", "speed")))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,2024-01-05[^\]]*LessThanOrEqual\(ts,2024-01-20", plan)
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert sorted(f.split(":")[0] for f in schema.split(",")) == ["event_id", "event_type", "ts", "user_id", "value"]
-    ex = exchanges(plan)
-    assert len(ex) == 1 and ex[0][0] == "hashpartitioning" and "vehicle_tag" in ex[0][1]
 
 
-def test_split_scan_shuffles_readings_once(spark):
+@pytest.mark.parametrize("question", ["stopped_vehicles", "stops_detail", "stop_times", "next_speed", "last_moving_window", "list_stopped_vehicles", "ids_follow_time"])
+def test_readings_are_read_and_shuffled_once(spark, question):
+    """Both uses of the (vehicle, chunk) shuffle are one exchange over one scan of the source."""
+    plan = ran(QUERIES[question](spark, SF_MID))
+    assert len(re.findall("FileScan", plan)) == 1
+    assert len(re.findall(r"(?<!\], )Exchange hashpartitioning\(_fs_part#\d+, \d+\), REPARTITION_BY_COL", plan)) == 1
+    assert "ReusedExchange" in plan
+
+
+def test_window_and_join_share_the_deal(spark):
     r = readings(spark, SF_MID).select("reading_id", "vehicle_tag", "report_time", "speed")
-    out = S.history_scan(r, chunk_seconds=3600, keep=S.stop_end_candidates())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the sort-merge form to inspect it
     try:
-        plan = plan_of(out)
+        plan = plan_of(S.history_scan(r, keep=S.stop_end_candidates()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    ex = exchanges(plan)
-    # readings by (vehicle, chunk) for the window; chunk summaries (after partial aggregation);
-    # summaries by vehicle for the carry window; carry rows by (vehicle, chunk) for the join.
-    assert len(ex) == 4, ex
-    assert "SortMergeJoin" in plan
-    # Between the join and the in-chunk window: no exchange and no sort (the window's
-    # (vehicle, chunk, time) order already satisfies the join).
+    # Between the join and the in-piece window: no exchange and no sort (the window's order already satisfies the join).
     between = plan.split("SortMergeJoin", 1)[1].split("Window [", 1)[0]
     assert "Exchange" not in between and "Sort [" not in between
-    assert plan.count("partial_min_by") == 1  # map-side combine of the chunk summary
+
+
+@pytest.mark.parametrize("question", sorted(QUERIES))
+def test_building_a_question_starts_no_job(spark, question, monkeypatch):
+    """Nothing runs before the action, apart from reading a table's Parquet footer when it is opened."""
+    opened = {n: spark.read.parquet(f"{SF_SMALL}/{n}.parquet") for n in ("events", "supplier", "orders")}
+    monkeypatch.setattr(bindings, "table", lambda _spark, _dir, name: opened[name])
+    sc = spark.sparkContext
+    group = f"build-{question}"
+    sc.setJobGroup(group, "plan building")
+    try:
+        QUERIES[question](spark, SF_SMALL)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sc.statusTracker().getJobIdsForGroup(group)
+    assert not jobs or question in RUNS_WHEN_BUILT
+
+
+#: Comparisons by position fix the order of their rows first; a keyed one checks that its key is unique.
+RUNS_WHEN_BUILT = {"content_diff_ordered", "approx_diff", "approx_diff_special", "default_sort", "diff_with", "dense_ids", "ingest_then_stops"}
 
 
 def test_stop_times_properties(spark):
@@ -66,18 +91,6 @@ def test_stop_times_properties(spark):
     assert st.filter(F.col("stopped_since") >= F.col("stopped_at")).count() == 0
 
 
-def test_flagship_checkpoints_only_stop_ends(spark):
-    from fleetstops.plans.fleet import stopped_vehicles
-
-    r = readings(spark, SF_MID)
-    out = stopped_vehicles(r)
-    plan = plan_of(out)
-    # the final plan starts from the checkpointed stop ends, not from the readings
-    assert "Scan ExistingRDD" in plan and "events.parquet" not in plan
-    n_ends = ST.find_last_stopped(r.select("reading_id", "vehicle_tag", "report_time", "speed")).count()
-    assert out.count() <= n_ends < r.count()
-
-
 def test_recommended_conf_scales_shuffle_partitions():
     from fleetstops.session import recommended_conf
 
@@ -87,12 +100,8 @@ def test_recommended_conf_scales_shuffle_partitions():
     assert int(big["spark.sql.shuffle.partitions"]) == 416000 and int(big["spark.sql.shuffle.partitions"]) % 8000 == 0
 
 
-def test_split_scan_reshuffles_vehicle_partitioned_input(spark):
+def test_scan_deals_vehicle_partitioned_input_anew(spark):
     """An input already hash-partitioned by vehicle must not stand in for the (vehicle, chunk) split."""
     r = readings(spark, SF_MID).select("reading_id", "vehicle_tag", "report_time", "speed").repartition(16, "vehicle_tag")
-    split = plan_of(S.history_scan(r, chunk_seconds=3600, keep=S.stop_end_candidates()))
-    window_input = split.split("Window [", 1)[1]
-    assert re.search(r"Exchange hashpartitioning\(_fs_part", window_input)
-    unsplit = plan_of(S.history_scan(r, chunk_seconds=None))
-    # without a split the existing vehicle partitioning is reused: only the requested repartition remains
-    assert len(exchanges(unsplit)) == 1 and "REPARTITION_BY_NUM" in unsplit
+    plan = plan_of(S.history_scan(r, chunk_seconds=3600, keep=S.stop_end_candidates()))
+    assert re.search(r"(?<!\], )Exchange hashpartitioning\(_fs_part", plan.split("Window [", 1)[1])

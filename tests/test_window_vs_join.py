@@ -81,8 +81,7 @@ def test_next_speed_matches_lead_over_whole_vehicle(spark, seed, chunk):
     rows = make_rows(seed)
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r.reading_id: r.next_speed for r in ST.next_speed(df, chunk_seconds=chunk).collect()}
-    want = {k: v for k, v in brute_next_speed([r for r in rows if r[1] is not None]).items()}
-    assert got == want
+    assert got == brute_next_speed(rows)
 
 
 @pytest.mark.parametrize("seed,chunk", [(5, 60), (6, 900), (7, 13)])
@@ -183,52 +182,49 @@ def test_gap_bounded_is_exact_when_ids_do_not_follow_time(spark, seed, chunk, ga
     assert fused == want
 
 
-def test_auto_chunking_splits_hot_vehicle_and_stays_exact(spark):
-    """A vehicle above the target row count gets time chunks; results do not change."""
-    from fleetstops.operators.scan import choose_chunk_seconds
-
+@pytest.mark.parametrize("chunk", [60, 3600, 86_400])
+def test_any_chunk_length_gives_the_same_answers(spark, chunk):
+    """The split changes cost, never results, also with one vehicle that holds most readings."""
     rows = make_rows(16, n=3000)
     df = spark.createDataFrame(rows, SCHEMA)
-    assert choose_chunk_seconds(df) is None  # small vehicles: one window per vehicle
-    cs = choose_chunk_seconds(df, target_rows=100)
-    assert cs is not None and cs < 6 * 3600
     got = {
         (r.vehicle_tag, r.report_time): r.last_moving_time
-        for r in ST.stop_ends_with_last_moving(df, max_id_gap=None, chunk_seconds=cs).collect()
+        for r in ST.stop_ends_with_last_moving(df, max_id_gap=None, chunk_seconds=chunk).collect()
     }
     ends = [(r.reading_id, r.vehicle_tag, r.report_time, r.speed) for r in ST.find_last_stopped(df).collect()]
     assert got == brute_last_moving(rows, ends, None)
 
 
-def test_exact_gap_shuffle_branch(spark, monkeypatch):
-    """Above the counted broadcast bound the resolver shuffles instead; same answers."""
-    from fleetstops.operators import gap_resolve
-
-    monkeypatch.setattr(gap_resolve, "BROADCAST_MAX_ROWS", 0)
-    rows = make_rows(17, ids_follow_time=False)
+@pytest.mark.parametrize("seed,gap,max_s,shift", [(17, 1500, 900, 0), (18, 3000, 300, -10_000), (19, 300, 7200, 0)])
+def test_open_rows_within_a_stop_length_limit(spark, seed, gap, max_s, shift):
+    """With a limit on the stop length, open rows are answered from two chunks; every younger answer is found."""
+    rows = [(r[0] + shift, *r[1:]) for r in make_rows(seed, ids_follow_time=False)]
     df = spark.createDataFrame(rows, SCHEMA)
     ends = [(r.reading_id, r.vehicle_tag, r.report_time, r.speed) for r in ST.find_last_stopped(df).collect()]
-    got = {
-        (r.vehicle_tag, r.report_time): r.last_moving_time
-        for r in ST.stop_ends_with_last_moving(df, max_id_gap=1500).collect()
-    }
-    assert got == brute_last_moving(rows, ends, 1500)
+    want = {k: t for k, t in brute_last_moving(rows, ends, gap).items() if (k[1] - t).total_seconds() < max_s}
+    for chunk in (max_s, 86_400):
+        got = {
+            (r.vehicle_tag, r.report_time): r.last_moving_time
+            for r in ST.stop_ends_with_last_moving(df, max_id_gap=gap, max_s=max_s, chunk_seconds=chunk).collect()
+        }
+        assert {k: t for k, t in got.items() if (k[1] - t).total_seconds() < max_s} == want
 
 
-def test_auto_chunks_bound_the_hot_vehicle(spark):
-    """With the chosen chunk length no (vehicle, chunk) piece is far above the target."""
-    from pyspark.sql import functions as F
+def test_ids_may_be_negative(spark):
+    rows = [(r[0] - 2_000, *r[1:]) for r in make_rows(20, ids_follow_time=False)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ends = [(r.reading_id, r.vehicle_tag, r.report_time, r.speed) for r in ST.find_last_stopped(df).collect()]
+    got = {(r.vehicle_tag, r.report_time): r.last_moving_time for r in ST.stop_ends_with_last_moving(df, max_id_gap=800).collect()}
+    assert got == brute_last_moving(rows, ends, 800)
 
-    from fleetstops.operators.scan import choose_chunk_seconds
 
-    rows = make_rows(18, n=4000)
+def test_rows_without_vehicle_or_time_stay(spark):
+    """A window keeps rows without key or time; a join on the key drops them."""
+    t = [T0 + dt.timedelta(seconds=60 * i) for i in range(4)]
+    rows = [(1, None, t[0], 0.0), (2, None, t[1], 5.0), (3, "v", None, 0.0), (4, "v", t[0], 3.0), (5, "v", t[2], 0.0), (6, "v", t[3], 2.0), (7, None, None, 4.0)]
     df = spark.createDataFrame(rows, SCHEMA)
-    whole = df.groupBy("vehicle_tag").count().agg(F.max("count")).first()[0]
-    cs = choose_chunk_seconds(df, target_rows=200)
-    biggest = (
-        df.groupBy("vehicle_tag", F.floor(F.unix_timestamp("report_time") / cs))
-        .count()
-        .agg(F.max("count"))
-        .first()[0]
-    )
-    assert whole > 1000 and biggest <= 3 * 200
+    assert {r.reading_id: r.next_speed for r in ST.next_speed(df).collect()} == {7: 0.0, 1: 5.0, 2: None, 3: 3.0, 4: 0.0, 5: 2.0, 6: None}
+    assert sorted(r.reading_id for r in ST.find_last_stopped(df).collect()) == [1, 3, 5]
+    assert {r.reading_id: r.last_moving_time for r in ST.last_moving_window(df).collect()} == {1: None, 3: None, 5: t[0]}
+    assert [r.reading_id for r in ST.stop_ends_with_last_moving(df, max_id_gap=None).collect()] == [5]
+    assert [r.report_time for r in ST.last_moving_time(ST.filter_stopped(df), ST.filter_moving(df)).collect()] == [t[2]]
