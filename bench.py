@@ -29,6 +29,8 @@ HEADLINE = [
     "next_speed",
     "dedupe_readings",
     "content_diff",
+    "ingest_then_stops",
+    "last_moving_window",
 ]
 
 

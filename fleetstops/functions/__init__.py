@@ -13,7 +13,6 @@ from .time import (
     empty_if_null,
     epoch_micros,
     floor_div,
-    from_epoch_micros,
     hour_of_day,
     look_back_start,
     minutes_stopped,

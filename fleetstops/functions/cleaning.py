@@ -36,21 +36,18 @@ def _session_zone_has_gaps() -> bool:
     return not (tz in _GAP_FREE_ZONES or re.fullmatch(r"(UTC|GMT)?[+-]\d{1,2}(:?\d{2})?", tz) is not None)
 
 
-def parse_report_time(c, fmt: str = RAW_TIME_FORMAT, lenient: bool = True) -> Column:
-    """P5: 'MM/dd/yyyy HH:mm:ss' text to timestamp_ntz.
+def parse_report_time(c, fmt: str = RAW_TIME_FORMAT) -> Column:
+    """P5: 'MM/dd/yyyy HH:mm:ss' text to timestamp_ntz; unparsable text gives NULL.
 
-    ``lenient`` (default): unparsable text gives NULL. The fast built-in parser
+    The fast built-in parser
     decides every row it parses when the session time zone has no local-time
     gaps (UTC and fixed offsets, the usual cluster setting). Otherwise a row
     whose parse does not print back to its own text (a wall-clock time inside a
     daylight-saving gap) is rebuilt too. Rebuilding takes the fields in ISO order
     (one-digit fields allowed) and casts to timestamp_ntz; only rows that need it
-    evaluate that branch. ``lenient=False``: malformed text raises, as the
-    original database conversion does.
+    evaluate that branch.
     """
     c = _col(c)
-    if not lenient:
-        return F.to_timestamp_ntz(c, F.lit(fmt))
     fast = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
     if fmt != RAW_TIME_FORMAT:
         return fast
@@ -60,6 +57,13 @@ def parse_report_time(c, fmt: str = RAW_TIME_FORMAT, lenient: bool = True) -> Co
     return F.when(fast.isNotNull() & (F.date_format(fast, fmt) == c), fast).otherwise(exact)
 
 
+def parse_report_time_strict(c, fmt: str = RAW_TIME_FORMAT) -> Column:
+    """P5 as the original database conversion: NULL stays NULL, malformed text raises."""
+    c = _col(c)
+    wrong = F.raise_error(F.concat(F.lit("malformed report time: "), c)).cast("timestamp_ntz")
+    return F.coalesce(parse_report_time(c, fmt), F.when(c.isNotNull(), wrong))
+
+
 def empty_to_null_double(c) -> Column:
     """P6: '' becomes NULL, other text is cast to double (malformed text raises under ANSI)."""
     c = _col(c)

@@ -26,14 +26,6 @@ def epoch_micros(c, dtype: T.DataType | None = None) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), c)
 
 
-def from_epoch_micros(c, dtype: T.DataType | None = None) -> Column:
-    """Inverse of :func:`epoch_micros`."""
-    c = _col(c)
-    if isinstance(dtype, T.TimestampType):
-        return F.timestamp_micros(c)
-    return F.timestamp_add("MICROSECOND", c, F.expr(_EPOCH_NTZ))
-
-
 def floor_div(c, n: int) -> Column:
     """Exact floor division of a long Column by a positive constant."""
     c = _col(c)

@@ -108,25 +108,42 @@ def content_diff(a: DataFrame, b: DataFrame, ordered: bool = False) -> DataFrame
     Ordered: rows are numbered in their current order and compared position by
     position (``row_index`` is added to the output).
     """
-    if [f.name for f in a.schema.fields] != [f.name for f in b.schema.fields]:
-        b = b.toDF(*a.columns)
+    require_same_schema(a, b)
     cols = a.columns
     if not ordered:
         both = a.select(*cols, F.lit(1).alias("_fs_d")).unionByName(b.select(*cols, F.lit(-1).alias("_fs_d")))
         net = both.groupBy(*cols).agg(F.sum("_fs_d").alias("_fs_net")).filter(F.col("_fs_net") != 0)
-        return net.select(
-            *cols,
-            F.when(F.col("_fs_net") > 0, F.lit("a")).otherwise(F.lit("b")).alias("side"),
-            F.explode(F.sequence(F.lit(1), F.abs(F.col("_fs_net")).cast("int"))).alias("_fs_copy"),
-        ).drop("_fs_copy")
+        side = F.when(F.col("_fs_net") > 0, F.lit("a")).otherwise(F.lit("b")).alias("side")
+        return _repeat(net.select(*cols, side, F.abs("_fs_net").alias("_fs_times")), "_fs_times")
     ia = with_row_index(a, "row_index")
     ib = with_row_index(b, "row_index")
     sa = ia.select("row_index", F.struct(*cols).alias("_fs_a"))
     sb = ib.select("row_index", F.struct(*cols).alias("_fs_b"))
     j = sa.join(sb, "row_index", "full_outer").filter(~F.col("_fs_a").eqNullSafe(F.col("_fs_b")))
-    side_a = j.filter(F.col("_fs_a").isNotNull()).select("row_index", "_fs_a.*", F.lit("a").alias("side"))
-    side_b = j.filter(F.col("_fs_b").isNotNull()).select("row_index", "_fs_b.*", F.lit("b").alias("side"))
-    return side_a.unionByName(side_b)
+    sides = [F.struct(F.lit(k).alias("side"), F.col(f"_fs_{k}").alias("row")) for k in ("a", "b")]
+    both = j.select("row_index", F.explode(F.array(*sides)).alias("_fs_s")).filter(F.col("_fs_s.row").isNotNull())
+    return both.select("row_index", *[F.col(f"_fs_s.row.`{c}`").alias(c) for c in cols], F.col("_fs_s.side").alias("side"))
+
+
+# Most copies one array of positions stands for.
+_BLOCK = 1 << 16
+
+
+def _repeat(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its (long) column ``times`` says, which goes; by blocks of blocks of blocks of copies, so
+    that no array is longer than a block, up to 2^48 copies."""
+    cols = [c for c in df.columns if c != times]
+    for unit in (_BLOCK * _BLOCK, _BLOCK, 1):
+        here = F.ceil(F.col(times) / F.lit(unit)).cast("long") if unit > 1 else F.col(times)
+        part = F.explode(F.sequence(F.lit(0).cast("long"), here - 1)).alias("_fs_k")
+        df = df.select(*cols, times, part).select(*cols, F.least(F.lit(unit).cast("long"), F.col(times) - F.col("_fs_k") * F.lit(unit)).alias(times))
+    return df.drop(times)
+
+
+def require_same_schema(a: DataFrame, b: DataFrame) -> None:
+    """Content is compared only under equal names and types, as schemas are compared first; else ValueError."""
+    if not schemas_equal(a, b, ignore_nullable=True):
+        raise ValueError(f"schemas differ: {a.schema.simpleString()} and {b.schema.simpleString()}")
 
 
 def _require_unique_key(a: DataFrame, b: DataFrame, key: list[str]) -> None:
@@ -152,7 +169,8 @@ def _close(x: Column, y: Column, dtype: T.DataType, tol: float) -> Column:
     one_null = x.isNull() != y.isNull()
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         nan_x, nan_y = F.isnan(x), F.isnan(y)
-        same = (nan_x & nan_y) | (~nan_x & ~nan_y & (F.abs(x - y) <= F.lit(tol)))
+        # Equal values first: two infinities of one sign have no finite difference.
+        same = (x == y) | (nan_x & nan_y) | (~nan_x & ~nan_y & (F.abs(x - y) <= F.lit(tol)))
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         ms = lambda c: F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), c.cast("timestamp_ntz"))
         same = F.abs(ms(x) - ms(y)) <= F.lit(tol)
@@ -167,6 +185,7 @@ def approx_diff(a: DataFrame, b: DataFrame, tol: float, key: list[str] | None =
     Output: the key, ``side`` ('both' when the key is on both sides but values
     differ, else 'a' or 'b'), and ``columns`` = the differing column names joined by ','.
     """
+    require_same_schema(a, b)
     if key is None:
         a, b, key = with_row_index(a), with_row_index(b), ["row_index"]
     else:

@@ -34,9 +34,9 @@ def dedupe_readings(
 ) -> DataFrame:
     """Keep, for each key, only the reading with the largest id.
 
-    A grouped ``max`` over a struct led by the id: partial aggregation combines
-    duplicates on the map side, so even a key holding a large share of the rows
-    never reaches one task whole.
+    One shuffle by key and one sort: a reading stays if no other stands before it in its key's descending id order
+    (``lag``; a rank would be turned into a limit with a second sort before the shuffle, which combines nothing as keys
+    are nearly unique). A key with very many copies streams through one task's window and holds no rows back.
     """
     keys = list(keys)
     others = [c for c in readings.columns if c not in keys and c != rid]
@@ -46,9 +46,9 @@ def dedupe_readings(
     for k in keys:
         any_null = any_null | F.col(k).isNull()
     tagged = readings.withColumn("_fs_solo", F.when(any_null, F.monotonically_increasing_id()))
-    best = F.max(F.struct(F.col(rid), *[F.col(c) for c in others])).alias("_fs_best")
-    out = tagged.groupBy(*keys, "_fs_solo").agg(best)
-    return out.select(*[F.col(f"_fs_best.{c}").alias(c) if c not in keys else F.col(c) for c in readings.columns])
+    w = Window.partitionBy(*keys, "_fs_solo").orderBy(F.col(rid).desc_nulls_last(), *[F.col(c).desc() for c in others])
+    first = tagged.withColumn("_fs_above", F.lag(F.lit(True)).over(w)).filter(F.col("_fs_above").isNull())
+    return first.select(*readings.columns)
 
 
 def duplicate_keys(readings: DataFrame, keys=("vehicle_tag", "report_time")) -> DataFrame:

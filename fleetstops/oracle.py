@@ -19,6 +19,7 @@ from .registry import (
     HOUR_MAX_S,
     HOUR_MIN_S,
     LOOK_BACK_MIN,
+    PAGE_ROWS,
     QUERY_TIME,
     RANGE_LOWER,
     RANGE_UPPER,
@@ -103,6 +104,47 @@ def _t(tmpl: str, a: str, b: str) -> str:
 
 IN_RANGE = f"report_time BETWEEN TIMESTAMP '{DATA_LOWER}' AND TIMESTAMP '{DATA_UPPER}'"
 
+def _fleet(src: str) -> str:
+    """Long stops of table ``src``, all of it."""
+    return f"""{ENDS.format(src=src)},
+{LM_GAP.format(src=src)},
+stops AS (
+  SELECT report_time, vehicle_tag, stopped_for FROM (
+    SELECT *, {_t(T1, 'report_time', 'last_moving_time')} AS stopped_for FROM lm)
+  WHERE stopped_for > 300 AND stopped_for < 7200)"""
+
+
+#: The fleet's long stops without time bounds.
+FLEET_ALL = f"WITH {READINGS},\n{_fleet('readings')}"
+
+#: Raw lines ingested without given ids: numbered in the order of time and then of the other columns.
+INGESTED = f"""{RAW},
+typed AS (SELECT * EXCLUDE (reading_id) FROM promoted),
+numbered AS (
+  SELECT row_number() OVER (ORDER BY report_time, rev, vehicle_tag, speed NULLS FIRST, heading, train_assignment, predictable,
+                                     latitude, longitude) AS reading_id, * FROM typed),
+ingested AS (
+  SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY vehicle_tag, report_time ORDER BY reading_id DESC) = 1)"""
+
+#: Readings of which some lack vehicle or time.
+NULLED = """nulled AS (
+  SELECT reading_id, CASE WHEN reading_id % 50 <> 7 THEN vehicle_tag END AS vehicle_tag,
+         CASE WHEN NOT (reading_id = min(reading_id) OVER (PARTITION BY vehicle_tag) AND reading_id % 50 = 3) THEN report_time END AS report_time,
+         speed FROM readings)"""
+NEXT_NULLED = "lead(speed) OVER (PARTITION BY vehicle_tag ORDER BY report_time NULLS FIRST) AS next_speed"
+
+#: All stop times with hour and place (the history pages without the id bound).
+ALL_DETAIL = f"""WITH {READINGS},
+{ENDS.format(src='readings')},
+{LM_ALL.format(src='readings')},
+detail AS (
+  SELECT s.report_time, s.vehicle_tag, s.stopped_for, CAST(hour(s.report_time) AS INTEGER) AS hour_of_day, a.latitude, a.longitude
+  FROM (SELECT *, {_t(T1, 'report_time', 'last_moving_time')} AS stopped_for FROM lm) s
+  JOIN readings a ON s.vehicle_tag = a.vehicle_tag AND s.report_time = a.report_time
+  WHERE s.stopped_for > 300 AND s.stopped_for < 7200)"""
+
+SPECIAL = """CASE reading_id % 7 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE WHEN 3 THEN NULL ELSE {s} END"""
+
 FLEET = f"""WITH {READINGS},
 r AS (SELECT * FROM readings WHERE {IN_RANGE}),
 {ENDS.format(src='r')},
@@ -229,7 +271,10 @@ FROM staging""",
     "make_point": f"""WITH {RAW}
 SELECT rev, CAST(latitude AS DOUBLE) AS lat, CAST(longitude AS DOUBLE) AS lon FROM staging""",
     "substring_tail": f"""WITH {RAW}
-SELECT substring(value, {len(RAW_HEADER) + 1}) AS value FROM nonblank WHERE starts_with(value, '{RAW_HEADER}')""",
+SELECT substring(value, {len(RAW_HEADER) + 1}) AS value FROM nonblank""",
+    "drop_last_char": f"WITH {RAW} SELECT substring(value, 1, length(value) - 1) AS value FROM raw",
+    "dense_ids": f"WITH {INGESTED} SELECT reading_id, rev, report_time, vehicle_tag FROM numbered",
+    "ingest_then_stops": f"WITH {INGESTED},\n{_fleet('ingested')} SELECT * FROM stops",
     # filters
     "filter_moving": f"WITH {READINGS} SELECT reading_id, vehicle_tag, report_time, speed FROM readings WHERE speed > 0",
     "filter_stopped": f"WITH {READINGS} SELECT reading_id, vehicle_tag, report_time, speed FROM readings WHERE speed = 0",
@@ -273,7 +318,7 @@ lmi AS (
   FROM v s JOIN v m ON s.report_time > m.report_time WHERE s.speed = 0 AND m.speed > 0 GROUP BY s.report_time)
 SELECT e.reading_id, e.report_time, i.last_moving_time, {_t(T2, 'i.report_time', 'i.last_moving_time')} AS stopped_for
 FROM ends e JOIN lmi i ON e.report_time = i.report_time""",
-    "attach_location": f"""{FLEET}
+    "attach_location": f"""{FLEET_ALL}
 SELECT s.vehicle_tag, s.report_time, s.stopped_for, a.latitude, a.longitude
 FROM stops s JOIN readings a ON s.vehicle_tag = a.vehicle_tag AND s.report_time = a.report_time""",
     "dedupe_readings": f"""WITH {READINGS}, {HOUR_KEYS}
@@ -291,7 +336,7 @@ FROM readings""",
   SELECT CAST('37.' || CAST(700 + s_suppkey % 137 AS VARCHAR) AS DOUBLE) AS stop_lat,
          CAST('-122.' || CAST(540 - s_suppkey % 173 AS VARCHAR) AS DOUBLE) AS stop_lon FROM supplier)
 SELECT min(stop_lat) AS min_lat, max(stop_lat) AS max_lat, min(stop_lon) AS min_lon, max(stop_lon) AS max_lon FROM s""",
-    "hourly_stop_stats": f"""{FLEET}
+    "hourly_stop_stats": f"""{FLEET_ALL}
 SELECT CAST(hour(report_time) AS INTEGER) AS hour_of_day, count(*) AS stops, avg(stopped_for) AS avg_stopped_for
 FROM stops GROUP BY 1 ORDER BY 1""",
     "distinct_vehicles": f"WITH {READINGS} SELECT DISTINCT vehicle_tag FROM readings",
@@ -320,9 +365,32 @@ SELECT reading_id, vehicle_tag, report_time, last_moving_time FROM (
            PARTITION BY vehicle_tag ORDER BY report_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
          AS last_moving_time
   FROM readings) WHERE speed = 0""",
+    "next_speed_nulls": f"WITH {READINGS}, {NULLED} SELECT *, {NEXT_NULLED} FROM nulled",
+    "find_last_stopped_nulls": f"""WITH {READINGS}, {NULLED}
+SELECT * FROM (SELECT *, {NEXT_NULLED} FROM nulled) WHERE speed = 0 AND next_speed > 0""",
     # order / top-k
+    "default_sort": f"""WITH {READINGS}
+SELECT row_number() OVER (ORDER BY reading_id, report_time, vehicle_tag) - 1 AS place, vehicle_tag, report_time, reading_id FROM readings""",
+    "stop_order": f"""{FLEET_ALL}
+SELECT row_number() OVER (ORDER BY stopped_for DESC, vehicle_tag, report_time) - 1 AS place, * FROM stops""",
+    "hour_order": f"""{FLEET_ALL}
+SELECT row_number() OVER (ORDER BY hour_of_day) - 1 AS place, * FROM (
+  SELECT CAST(hour(report_time) AS INTEGER) AS hour_of_day, count(*) AS stops FROM stops GROUP BY 1)""",
+    "current_stops_page": f"""{LOOK_BACK}
+SELECT veh_tag AS vehicle_tag, coalesce(train_asng, '') AS train_assignment,
+       strftime(stopped_at, '%Y-%m-%d %H:%M:%S') AS stopped_at, round(stopped_for / 60.0::DOUBLE, 1) AS minutes,
+       lat AS latitude, lon AS longitude
+FROM listed ORDER BY stopped_for DESC, veh_tag, listed.stopped_at LIMIT {PAGE_ROWS}""",
+    "history_page": f"""{ALL_DETAIL}
+SELECT vehicle_tag, report_time, stopped_for, round(stopped_for / 60.0::DOUBLE, 1) AS minutes, hour_of_day, latitude, longitude
+FROM detail WHERE hour_of_day = {HOUR} AND stopped_for >= {MIN_LEN} AND stopped_for <= {MAX_LEN}
+ORDER BY stopped_for DESC, vehicle_tag, report_time LIMIT {PAGE_ROWS}""",
+    "heat_page": f"""{ALL_DETAIL}
+SELECT latitude AS lat, longitude AS lng FROM detail
+WHERE hour_of_day = {HOUR} AND stopped_for >= {MIN_LEN} AND stopped_for <= {MAX_LEN}
+ORDER BY stopped_for DESC, vehicle_tag, report_time LIMIT {PAGE_ROWS}""",
     "list_vehicles": f"WITH {READINGS} SELECT DISTINCT vehicle_tag FROM readings ORDER BY vehicle_tag",
-    "top_stopped": f"{FLEET} SELECT * FROM stops ORDER BY stopped_for DESC, vehicle_tag, report_time LIMIT {TOP_K}",
+    "top_stopped": f"{FLEET_ALL} SELECT * FROM stops ORDER BY stopped_for DESC, vehicle_tag, report_time LIMIT {TOP_K}",
     # scalar functions
     "stop_length_seconds": f"""WITH {READINGS}, {ENDS.format(src='readings')}, {LM_ALL.format(src='readings')}
 SELECT vehicle_tag, report_time, last_moving_time, {_t(T1, 'report_time', 'last_moving_time')} AS stopped_for FROM lm""",
@@ -330,19 +398,11 @@ SELECT vehicle_tag, report_time, last_moving_time, {_t(T1, 'report_time', 'last_
 SELECT vehicle_tag, report_time, last_moving_time, {_t(T2, 'report_time', 'last_moving_time')} AS stopped_for FROM lm""",
     "stop_length_rounded": f"""WITH {READINGS}, {ENDS.format(src='readings')}, {LM_ALL.format(src='readings')}
 SELECT vehicle_tag, report_time, last_moving_time, {_t(T3, 'report_time', 'last_moving_time')} AS stopped_for FROM lm""",
-    "hour_of_day": f"{FLEET} SELECT *, CAST(hour(report_time) AS INTEGER) AS hour_of_day FROM stops",
+    "hour_of_day": f"{FLEET_ALL} SELECT *, CAST(hour(report_time) AS INTEGER) AS hour_of_day FROM stops",
     "look_back_start": f"""WITH {READINGS}
 SELECT reading_id, vehicle_tag, report_time FROM readings WHERE report_time BETWEEN {_BEGIN} AND {_QT}""",
-    "minutes_stopped": f"{FLEET} SELECT *, round(stopped_for / 60.0::DOUBLE, 1) AS minutes FROM stops",
+    "minutes_stopped": f"{FLEET_ALL} SELECT *, round(stopped_for / 60.0::DOUBLE, 1) AS minutes FROM stops",
     # comparison
-    "schema_diff": f"""WITH {READINGS},
-shifted AS (SELECT reading_id, rev, report_time, vehicle_tag, speed + 0.0001 AS speed, heading, train_assignment,
-                   predictable, latitude, longitude FROM readings),
-da AS (SELECT row_number() OVER () AS position, column_name, column_type FROM (DESCRIBE SELECT * FROM readings)),
-db AS (SELECT row_number() OVER () AS position, column_name, column_type FROM (DESCRIBE SELECT * FROM shifted))
-SELECT CAST(da.position AS INTEGER) AS position, da.column_name AS name_a, db.column_name AS name_b,
-       da.column_name = db.column_name AS same_name, da.column_type = db.column_type AS same_type
-FROM da JOIN db ON da.position = db.position""",
     "count_diff": f"""WITH {READINGS}, {HOUR_KEYS}, {DEDUPED}
 SELECT (SELECT count(*) FROM readings) AS count_a, (SELECT count(*) FROM dd) AS count_b,
        (SELECT count(*) FROM readings) = (SELECT count(*) FROM dd) AS equal""",
@@ -369,4 +429,17 @@ b AS (SELECT reading_id, speed + 0.0001 AS speed FROM readings)
 SELECT a.reading_id, 'both' AS side, 'speed' AS columns
 FROM readings a JOIN b ON a.reading_id = b.reading_id
 WHERE abs(a.speed - b.speed) > {APPROX_TOL}""",
+    "approx_diff_special": f"""WITH {READINGS},
+a AS (SELECT reading_id, {SPECIAL.format(s='speed')} AS speed FROM readings),
+b AS (SELECT reading_id, CASE WHEN reading_id % 35 = 0 THEN -({SPECIAL.format(s='speed + 0.0001')})
+                              ELSE {SPECIAL.format(s='speed + 0.0001')} END AS speed FROM readings)
+SELECT a.reading_id, 'both' AS side, 'speed' AS columns FROM a JOIN b ON a.reading_id = b.reading_id
+WHERE (a.speed IS NULL) <> (b.speed IS NULL)
+   OR (a.speed <> b.speed AND (isinf(a.speed) OR isinf(b.speed) OR isnan(a.speed) <> isnan(b.speed) OR abs(a.speed - b.speed) > {APPROX_TOL}))""",
+    "content_diff_repeated": f"""WITH {READINGS},
+r AS (SELECT train_assignment, speed > 0 AS moves FROM readings)
+SELECT *, 'a' AS side FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM r WHERE moves)
+UNION ALL SELECT *, 'b' AS side FROM (SELECT * FROM r WHERE moves EXCEPT ALL SELECT * FROM r)""",
+    "diff_with": f"""WITH {READINGS}
+SELECT reading_id, 'both' AS side FROM readings WHERE abs(latitude - (latitude + (reading_id % 3) * 0.05::DOUBLE)) >= 0.075::DOUBLE""",
 }

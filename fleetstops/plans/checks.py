@@ -9,31 +9,28 @@ imposed: they belong to the page, not to the question.
 from __future__ import annotations
 
 import datetime as dt
-import re
-
-_QUERY_TIME = re.compile(r"^\d{4}-[01]\d-[0-3]\d [0-2]\d:[0-5]\d:[0-5]\d$")
 
 
 def _int(value, what: str) -> int:
     if isinstance(value, bool):
         raise ValueError(f"{what} must be an integer")
     try:
-        return int(value)
+        whole = int(value)
     except (TypeError, ValueError):
         raise ValueError(f"{what} must be an integer") from None
+    if not isinstance(value, str) and whole != value:
+        raise ValueError(f"{what} must be an integer")
+    return whole
 
 
 def check_query_time(query_time) -> str:
-    """A 'YYYY-MM-DD hh:mm:ss' text (or a datetime) naming an existing time."""
+    """A 'YYYY-MM-DD hh:mm:ss' text naming an existing time, or a datetime, which keeps its parts of a second."""
     if isinstance(query_time, dt.datetime):
-        return query_time.strftime("%Y-%m-%d %H:%M:%S")
-    if not isinstance(query_time, str) or not _QUERY_TIME.match(query_time):
-        raise ValueError("query time must be in the format YYYY-MM-DD hh:mm:ss")
+        return query_time.replace(tzinfo=None).isoformat(sep=" ")
     try:
-        dt.datetime.strptime(query_time, "%Y-%m-%d %H:%M:%S")
-    except ValueError:
-        raise ValueError("query time is not a valid date and time") from None
-    return query_time
+        return dt.datetime.strptime(query_time, "%Y-%m-%d %H:%M:%S").isoformat(sep=" ")
+    except (TypeError, ValueError):
+        raise ValueError("query time must be an existing time in the format YYYY-MM-DD hh:mm:ss") from None
 
 
 def check_look_back(look_back) -> int:

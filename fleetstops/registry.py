@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .constants import CURRENT_MAP_ROWS, CURRENT_TABLE_ROWS, HISTORY_HEAT_ROWS, HISTORY_TABLE_ROWS, RAW_HEADER
@@ -41,6 +41,7 @@ VEHICLE = "7"
 WINDOW_LOWER = "2024-01-10 00:00:00"
 WINDOW_UPPER = "2024-01-20 00:00:00"
 TOP_K = 25
+PAGE_ROWS = 6
 APPROX_TOL = 0.00005
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,8 +167,21 @@ def q_make_point(spark, sf):
 
 def q_substring_tail(spark, sf):
     raw = ING.drop_blank_lines(B.raw_lines(spark, sf))
-    with_header = raw.filter(F.col("value").startswith(RAW_HEADER))
-    return with_header.select(C.substring_tail("value", len(RAW_HEADER)).alias("value"))
+    return raw.select(C.substring_tail("value", len(RAW_HEADER)).alias("value"))
+
+
+def q_drop_last_char(spark, sf):
+    return B.raw_lines(spark, sf).select(C.drop_last_char("value").alias("value"))
+
+
+def q_dense_ids(spark, sf):
+    """Ids in the order of time over typed readings that come without one."""
+    return ING.promote_readings(_staging(spark, sf)).select("reading_id", "rev", "report_time", "vehicle_tag")
+
+
+def q_ingest_then_stops(spark, sf):
+    """Z1 then Z2: raw lines ingested without given ids, and the fleet's long stops among them."""
+    return FL.stopped_vehicles(IN.ingest_avl(B.raw_lines(spark, sf)))
 
 
 # --- F: filters ---------------------------------------------------------------
@@ -238,7 +252,7 @@ def q_attach_by_time(spark, sf):
 
 def q_attach_location(spark, sf):
     r = _r(spark, sf)
-    stops = FL.stopped_vehicles(r, DATA_LOWER, DATA_UPPER)
+    stops = FL.stopped_vehicles(r)
     return RP.attach_location(stops, r)
 
 
@@ -266,7 +280,7 @@ def q_transit_stop_bounds(spark, sf):
 
 
 def q_hourly_stop_stats(spark, sf):
-    return RP.hourly_stop_stats(FL.stopped_vehicles(_r(spark, sf), DATA_LOWER, DATA_UPPER))
+    return RP.hourly_stop_stats(FL.stopped_vehicles(_r(spark, sf)))
 
 
 def q_distinct_vehicles(spark, sf):
@@ -309,7 +323,7 @@ def q_list_vehicles(spark, sf):
 
 
 def q_top_stopped(spark, sf):
-    stops = FL.stopped_vehicles(_r(spark, sf), DATA_LOWER, DATA_UPPER)
+    stops = FL.stopped_vehicles(_r(spark, sf))
     return RP.top_rows(stops, TOP_K, [F.col("stopped_for").desc(), F.col("vehicle_tag"), F.col("report_time")])
 
 
@@ -329,7 +343,7 @@ def q_stop_length_rounded(spark, sf):
 
 
 def q_hour_of_day(spark, sf):
-    stops = FL.stopped_vehicles(_r(spark, sf), DATA_LOWER, DATA_UPPER)
+    stops = FL.stopped_vehicles(_r(spark, sf))
     return RP.with_hour_of_day(stops)
 
 
@@ -342,19 +356,13 @@ def q_look_back_start(spark, sf):
 
 
 def q_minutes_stopped(spark, sf):
-    stops = FL.stopped_vehicles(_r(spark, sf), DATA_LOWER, DATA_UPPER)
+    stops = FL.stopped_vehicles(_r(spark, sf))
     return stops.withColumn("minutes", TM.minutes_stopped("stopped_for"))
 
 
 # --- C: comparison -------------------------------------------------------------------
 
 
-def q_schema_diff(spark, sf):
-    return CMP.schema_diff(_r(spark, sf), B.readings_speed_shifted(spark, sf)).select(
-        "position", "name_a", "name_b", "same_name", "same_type"
-    )
-
-
 def _deduped_hour_keys(spark, sf):
     """Comparison partner: the readings after hour truncation and dedupe (whole table)."""
     return RD.dedupe_readings(B.readings_hour_keys(spark, sf))
@@ -379,6 +387,92 @@ def q_approx_diff(spark, sf):
     return CMP.approx_diff(_r(spark, sf), B.readings_speed_shifted(spark, sf), APPROX_TOL, key=["reading_id"])
 
 
+def _special(df):
+    """Readings with infinite, missing and NaN speeds among the others."""
+    k = F.col("reading_id") % 7
+    inf = F.lit(float("inf"))
+    return df.withColumn("speed", F.when(k == 0, inf).when(k == 1, -inf).when(k == 2, F.lit(float("nan"))).when(k != 3, F.col("speed")))
+
+
+def q_approx_diff_special(spark, sf):
+    """C5 over infinities, NaN and NULL: speeds shifted where they are finite, a sign turned on every 35th reading."""
+    r = _r(spark, sf).select("reading_id", "vehicle_tag", "speed")
+    a = _special(r)
+    b = _special(r.withColumn("speed", F.col("speed") + F.lit(0.0001)))
+    b = b.withColumn("speed", F.when(F.col("reading_id") % 35 == 0, -F.col("speed")).otherwise(F.col("speed")))
+    return CMP.approx_diff(a, b, APPROX_TOL, key=["reading_id"])
+
+
+def q_content_diff_repeated(spark, sf):
+    """C4 where one row is repeated very often: assignments and speeds' signs alone, against the moving ones."""
+    r = _r(spark, sf).select("train_assignment", (F.col("speed") > 0).alias("moves"))
+    return CMP.content_diff(r, r.filter("moves"))
+
+
+def q_diff_with(spark, sf):
+    """U4: readings whose coordinates differ by more than a tenth from the same vehicle position of the next id."""
+    r = _r(spark, sf).select("reading_id", "latitude", "speed")
+    b = r.withColumn("latitude", F.col("latitude") + (F.col("reading_id") % 3) * 0.05)
+    near = lambda x, y: F.abs(x["latitude"] - y["latitude"]) < 0.075
+    return CMP.diff_with(r, b, near, key=["reading_id"])
+
+
+def _ranked(df):
+    """The place of each row in the order that it comes in, where the order is the answer."""
+    return CMP.with_row_index(df, "place")
+
+
+def q_default_sort(spark, sf):
+    return _ranked(CMP.default_sort(_r(spark, sf).select("vehicle_tag", "report_time", "reading_id")))
+
+
+def q_stop_order(spark, sf):
+    """O1/O3: places of all fleet stops, longest first."""
+    stops = FL.stopped_vehicles(_r(spark, sf))
+    return _ranked(stops.orderBy(F.col("stopped_for").desc(), "vehicle_tag", "report_time"))
+
+
+def q_hour_order(spark, sf):
+    """O3: the hours of the day with their places."""
+    return _ranked(RP.hourly_stop_stats(FL.stopped_vehicles(_r(spark, sf))).select("hour_of_day", "stops"))
+
+
+def q_current_stops_page(spark, sf):
+    """A page smaller than the answer."""
+    return CUR.current_stops(_r(spark, sf), QUERY_TIME, LOOK_BACK_MIN, PAGE_ROWS)
+
+
+def q_history_page(spark, sf):
+    """O5/Z9 over all stop times: a page smaller than the answer."""
+    detail = FL.stops_detail(_r(spark, sf), max_id_gap=None)
+    return HI.historical_stops(detail, HOUR, HIST_MIN_MIN, HIST_MAX_MIN, PAGE_ROWS)
+
+
+def q_heat_page(spark, sf):
+    """Heat points of a page smaller than the answer."""
+    detail = FL.stops_detail(_r(spark, sf), max_id_gap=None)
+    return HI.heat_points(detail, HOUR, HIST_MIN_MIN, HIST_MAX_MIN, PAGE_ROWS)
+
+
+def _with_nulls(df):
+    """Readings of which some have no vehicle and others no time."""
+    k = F.col("reading_id") % 50
+    vehicle = F.when(k != 7, F.col("vehicle_tag"))
+    # One reading a vehicle at most without a time, so that the order among them is no question.
+    first = F.col("reading_id") == F.min("reading_id").over(Window.partitionBy("vehicle_tag"))
+    return df.withColumn("report_time", F.when(~(first & (k == 3)), F.col("report_time"))).withColumn("vehicle_tag", vehicle)
+
+
+def q_next_speed_nulls(spark, sf):
+    """W1 with readings that lack vehicle or time."""
+    return ST.next_speed(_with_nulls(_r(spark, sf).select("reading_id", "vehicle_tag", "report_time", "speed")))
+
+
+def q_find_last_stopped_nulls(spark, sf):
+    """F3 with readings that lack vehicle or time."""
+    return ST.find_last_stopped(_with_nulls(_r(spark, sf).select("reading_id", "vehicle_tag", "report_time", "speed")))
+
+
 QUERIES: dict[str, Query] = {
     # composite questions
     "stopped_vehicles": q_stopped_vehicles,
@@ -403,6 +497,9 @@ QUERIES: dict[str, Query] = {
     "promote_readings": q_promote_readings,
     "make_point": q_make_point,
     "substring_tail": q_substring_tail,
+    "drop_last_char": q_drop_last_char,
+    "dense_ids": q_dense_ids,
+    "ingest_then_stops": q_ingest_then_stops,
     # filters
     "filter_moving": q_filter_moving,
     "filter_stopped": q_filter_stopped,
@@ -433,9 +530,17 @@ QUERIES: dict[str, Query] = {
     "next_speed": q_next_speed,
     "next_speed_one_vehicle": q_next_speed_one_vehicle,
     "last_moving_window": q_last_moving_window,
+    "next_speed_nulls": q_next_speed_nulls,
+    "find_last_stopped_nulls": q_find_last_stopped_nulls,
     # order / top-k
     "list_vehicles": q_list_vehicles,
     "top_stopped": q_top_stopped,
+    "default_sort": q_default_sort,
+    "stop_order": q_stop_order,
+    "hour_order": q_hour_order,
+    "current_stops_page": q_current_stops_page,
+    "history_page": q_history_page,
+    "heat_page": q_heat_page,
     # scalar functions
     "stop_length_seconds": q_stop_length_seconds,
     "stop_length_trunc": q_stop_length_trunc,
@@ -444,9 +549,11 @@ QUERIES: dict[str, Query] = {
     "look_back_start": q_look_back_start,
     "minutes_stopped": q_minutes_stopped,
     # comparison
-    "schema_diff": q_schema_diff,
     "count_diff": q_count_diff,
     "content_diff": q_content_diff,
     "content_diff_ordered": q_content_diff_ordered,
     "approx_diff": q_approx_diff,
+    "approx_diff_special": q_approx_diff_special,
+    "content_diff_repeated": q_content_diff_repeated,
+    "diff_with": q_diff_with,
 }

@@ -2,12 +2,7 @@
 
 from pyspark.sql import types as T
 
-from .constants import RAW_FIELDS, TRANSIT_STOP_DOUBLE_FIELDS, TRANSIT_STOP_FIELDS, TRIP_FIELDS
-
-RAW_TEXT = T.StructType([T.StructField("value", T.StringType())])
-
-# Staging table: nine text columns, one per raw field.
-STAGING = T.StructType([T.StructField(c, T.StringType()) for c in RAW_FIELDS])
+from .constants import TRANSIT_STOP_DOUBLE_FIELDS, TRANSIT_STOP_FIELDS, TRIP_FIELDS
 
 # Typed readings.
 READINGS = T.StructType(
@@ -34,14 +29,6 @@ TRANSIT_STOPS = T.StructType(
 
 TRIPS = T.StructType([T.StructField(c, T.StringType()) for c in TRIP_FIELDS])
 
-VEHICLE_STOPS = T.StructType(
-    [
-        T.StructField("report_time", T.TimestampNTZType()),
-        T.StructField("vehicle_tag", T.StringType()),
-        T.StructField("stopped_for", T.LongType()),
-    ]
-)
-
 STOP_TIMES = T.StructType(
     [
         T.StructField("vehicle_tag", T.StringType()),
@@ -51,13 +38,3 @@ STOP_TIMES = T.StructType(
     ]
 )
 
-STOPS_DETAIL = T.StructType(
-    [
-        T.StructField("report_time", T.TimestampNTZType()),
-        T.StructField("vehicle_tag", T.StringType()),
-        T.StructField("stopped_for", T.LongType()),
-        T.StructField("hour_of_day", T.IntegerType()),
-        T.StructField("latitude", T.DoubleType()),
-        T.StructField("longitude", T.DoubleType()),
-    ]
-)

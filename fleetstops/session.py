@@ -8,7 +8,6 @@ folder of our own is set only when the setting is missing (local tests).
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,14 +36,20 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if none is set."""
+    """The shared checkpoint folder of ``spark.checkpoint.dir``.
+
+    Where none is set: a scratch folder in local mode (one machine), an error on a cluster, whose executors could not
+    see a folder of the driver's machine.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="fleetstops-ckpt-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = os.path.join("/tmp/checkpoints", uuid.uuid4().hex)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

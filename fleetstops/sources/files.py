@@ -18,11 +18,11 @@ def read_raw_text(
     Compressed files (gzip) cannot be split: such a file is read by one task. With
     ``spread`` the lines are then dealt round-robin into that many partitions, so
     the cleaning and everything after it do not stay in the reading task.
-    With ``with_file_name`` the source file's name is kept (``_metadata`` column).
+    With ``with_file_name`` the source file's full path is kept (``_metadata`` column).
     """
     df = spark.read.text(path_or_glob)
     if with_file_name:
-        df = df.select("value", F.col("_metadata.file_name").alias("file_name"))
+        df = df.select("value", F.col("_metadata.file_path").alias("file_name"))
     if spread:
         df = df.repartition(int(spread))
     return df

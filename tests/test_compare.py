@@ -50,6 +50,32 @@ def test_ordered_content_diff(spark):
     assert idx.filter(F.col("row_index") != F.col("id")).count() == 0
 
 
+def test_content_diff_repeats_a_row_as_often_as_it_is_in_surplus(spark):
+    n = 150_000  # more than one block of copies
+    a = spark.range(n).select(F.lit(1).alias("v")).unionByName(spark.range(3).select(F.lit(2).alias("v")))
+    b = spark.range(2).select(F.lit(2).alias("v"))
+    got = {(r.v, r.side): r["count"] for r in C.content_diff(a, b).groupBy("v", "side").count().collect()}
+    assert got == {(1, "a"): n, (2, "a"): 1}
+
+
+def test_content_is_compared_under_equal_schemas_only(spark):
+    import pytest
+
+    a = spark.createDataFrame([(1,)], "v long")
+    for b in (a.withColumn("v", F.col("v").cast("string")), a.withColumnRenamed("v", "w"), a.withColumn("w", F.lit(1))):
+        for compare in (lambda x, y: C.content_diff(x, y), lambda x, y: C.content_diff(x, y, ordered=True), lambda x, y: C.approx_diff(x, y, 0.1)):
+            with pytest.raises(ValueError, match="schemas differ"):
+                compare(a, b)
+
+
+def test_approx_diff_of_infinities(spark):
+    inf, nan = float("inf"), float("nan")
+    a = spark.createDataFrame([(1, inf), (2, -inf), (3, inf), (4, nan), (5, inf), (6, None)], "id long, d double")
+    b = spark.createDataFrame([(1, inf), (2, -inf), (3, -inf), (4, nan), (5, 1.0), (6, None)], "id long, d double")
+    assert C.approx_diff(a, a, 0.1, key=["id"]).count() == 0
+    assert sorted(r.id for r in C.approx_diff(a, b, 0.1, key=["id"]).collect()) == [3, 5]
+
+
 def test_approx_diff(spark):
     a = df_ab(spark)
     b = a.withColumn("d", F.col("d") + 0.001).withColumn("t", F.col("t") + F.expr("INTERVAL 2 MILLISECONDS"))

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetstops.constants import RAW_HEADER
@@ -79,12 +81,60 @@ def test_ingest_files_with_log_records_each_file(spark, workdir):
         reading_id_from="rev",
     )
     got = {r.file_name: r.readings for r in manifest.collect()}
-    assert got == {"positions_01012013.csv": 3, "positions_01022013.csv": 2}
+    path = lambda name: "file:" + os.path.join(d, name)
+    assert got == {path("positions_01012013.csv"): 3, path("positions_01022013.csv"): 2}
+
+
+def test_manifest_logs_files_without_readings_and_equal_names(spark, workdir):
+    d = os.path.join(workdir, "raw")
+    day = line("1", "01/01/2013 10:00:00", "B1", "-122.4", "37.7", "0", "90", "KT", "1") + "\n"
+    for name, text in (("a/day.csv", day), ("b/day.csv", day + day.replace("10:00:00", "10:01:00")), ("b/empty.csv", ""), ("b/blank.csv", "\n\n")):
+        os.makedirs(os.path.dirname(os.path.join(d, name)), exist_ok=True)
+        write(os.path.join(d, name), text)
+    manifest = IN.ingest_files_with_log(spark, os.path.join(d, "*", "*.csv"), os.path.join(workdir, "r"), os.path.join(workdir, "m"))
+    got = {r.file_name.removeprefix("file:" + d): r.readings for r in manifest.collect()}
+    assert got == {"/a/day.csv": 1, "/b/day.csv": 2, "/b/empty.csv": 0, "/b/blank.csv": 0}
+
+
+def test_default_ids_are_dense_and_follow_time(spark, workdir):
+    """Files whose order is not the order of time, in many partitions: ids are those of one sorted table."""
+    d = os.path.join(workdir, "raw")
+    os.makedirs(d)
+    rnd = random.Random(4)
+    rows = []
+    for k in range(8):
+        lines = []
+        for i in range(60):
+            t = dt.datetime(2013, 1, 1 + (7 - k) % 3, 10) + dt.timedelta(seconds=rnd.randrange(0, 9000))
+            lines.append(line(f"{k}-{i}", t.strftime("%m/%d/%Y %H:%M:%S"), f"V{i % 5}", "-122.4", "37.7", "0", "0", "X", "1"))
+            rows.append((t, f"{k}-{i}"))
+        write(os.path.join(d, f"f{k}.csv"), "\n".join(lines) + "\n")
+    raw = read_raw_text(spark, os.path.join(d, "*.csv")).repartition(13)
+    out = IN.ingest_avl(raw, dedupe=False)
+    assert {r.reading_id: r.rev for r in out.collect()} == {i + 1: rev for i, (_, rev) in enumerate(sorted(rows))}
+
+
+def test_ingest_then_stops_does_not_depend_on_the_files(spark, workdir):
+    from fleetstops.plans.fleet import stopped_vehicles
+    from fleetstops.sources.bindings import raw_lines
+    from tests.conftest import SF_SMALL
+
+    raw = raw_lines(spark, SF_SMALL)
+    want = sorted(stopped_vehicles(IN.ingest_avl(raw)).collect())
+    dealt = raw.repartition(23)
+    assert want and sorted(stopped_vehicles(IN.ingest_avl(dealt)).collect()) == want
+
+
+def test_rejects_are_counted(spark, workdir):
+    d = make_files(workdir)
+    staging = ING.clean_raw_lines(read_raw_text(spark, os.path.join(d, "*.csv")))
+    r = ING.count_rejects(staging, "rev").first()
+    assert (r.lines, r.rejected, r.bad_report_time, r.bad_rev, r.bad_speed) == (7, 2, 1, 1, 0)
 
 
 def test_default_ids_are_unique(spark, workdir):
     d = make_files(workdir)
-    out = IN.ingest_files(spark, os.path.join(d, "*.csv"), dedupe=False)
+    out = IN.ingest_files(spark, os.path.join(d, "*.csv"), dedupe=False, lenient=True)
     assert out.select("reading_id").distinct().count() == out.count() == 7
 
 
@@ -129,21 +179,27 @@ def test_parse_report_time_keeps_wall_clock(spark):
 
 
 def test_parse_report_time_strict_raises(spark):
-    import pytest
-
-    from fleetstops.functions.cleaning import parse_report_time
-
-    df = spark.createDataFrame([("13/45/2024 10:00:00",)], "s string")
+    from fleetstops.functions.cleaning import parse_report_time_strict
+
+    for text in ("13/45/2024 10:00:00", "", "short"):
+        with pytest.raises(Exception, match="malformed report time"):
+            spark.createDataFrame([(text,)], "s string").select(parse_report_time_strict("s")).collect()
+    good = spark.createDataFrame([("1/2/2024 3:04:05",), (None,)], "s string").select(parse_report_time_strict("s").alias("t"))
+    assert [r.t for r in good.collect()] == [dt.datetime(2024, 1, 2, 3, 4, 5), None]
+
+
+def test_assign_reading_id(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(str(i), t0 + dt.timedelta(seconds=i * 37 % 300 * 1000) if i % 9 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "x string, report_time timestamp_ntz").repartition(5)
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or t0, r[0]))
+    got = {r.reading_id: r.x for r in ING.assign_reading_id(df).collect()}
+    assert got == {i + 1: r[0] for i, r in enumerate(want)}
+    assert ING.assign_reading_id(df, "x").filter("reading_id = 77").first().x == "77"
+    odd = spark.createDataFrame([("7",), ("x7",)], "x string")
     with pytest.raises(Exception):
-        df.select(parse_report_time("s", lenient=False)).collect()
-
-
-def test_assign_reading_id_dense_and_sparse(spark):
-    df = spark.range(0, 500, 1, 5).withColumnRenamed("id", "x")
-    dense = ING.assign_reading_id(df, dense=True)
-    assert sorted(r.reading_id for r in dense.collect()) == list(range(500))
-    sparse = ING.assign_reading_id(df)
-    assert sparse.select("reading_id").distinct().count() == 500
+        ING.assign_reading_id(odd, "x").collect()
+    assert sorted((r.reading_id or 0) for r in ING.assign_reading_id(odd, "x", lenient=True).collect()) == [0, 7]
 
 
 def test_gzip_file_is_spread_after_reading(spark, workdir):
@@ -161,10 +217,8 @@ def test_gzip_file_is_spread_after_reading(spark, workdir):
 
 
 def test_malformed_numbers_strict_and_lenient(spark):
-    import pytest
-
     bad = spark.createDataFrame([("1,01/01/2013 10:00:00,B1,-122.4,37.7,fast,0,X,1",)], "value string")
     with pytest.raises(Exception):
         IN.ingest_avl(bad, reading_id_from="rev").collect()
-    row = IN.ingest_avl(bad, reading_id_from="rev", lenient_numbers=True).first()
+    row = IN.ingest_avl(bad, reading_id_from="rev", lenient=True).first()
     assert row.speed is None and row.latitude == 37.7

@@ -96,7 +96,7 @@ def test_question_arguments_are_checked(spark):
     for bad in ("2024-13-01 00:00:00", "2024-01-01", "yesterday", None):
         with pytest.raises(ValueError):
             CUR.list_stopped_vehicles(r, bad, 60)
-    for bad in (0, -5, "x", 2.5j):
+    for bad in (0, -5, "x", 2.5j, 16.7):
         with pytest.raises(ValueError):
             CUR.current_stops(r, "2024-01-15 12:00:00", bad)
     with pytest.raises(ValueError):
@@ -109,6 +109,16 @@ def test_question_arguments_are_checked(spark):
     assert CUR.list_stopped_vehicles(r, dt.datetime(2024, 1, 15, 12), "4320").count() == 20
 
 
+def test_query_time_keeps_parts_of_a_second(spark):
+    from fleetstops.plans import current as CUR
+
+    t = dt.datetime(2024, 1, 15, 12, 0, 0, 700_000)
+    rows = [(1, "v", t - dt.timedelta(seconds=90), 4.0), (2, "v", t - dt.timedelta(seconds=60), 0.0), (3, "v", t - dt.timedelta(milliseconds=100), 6.0)]
+    r = spark.createDataFrame([(*x, "X", 1.0, 2.0) for x in rows], "reading_id long, vehicle_tag string, report_time timestamp_ntz, speed double, train_assignment string, latitude double, longitude double")
+    assert CUR.list_stopped_vehicles(r, t, 10).count() == 1
+    assert CUR.list_stopped_vehicles(r, t.replace(microsecond=0), 10).count() == 0
+
+
 def test_time_range_with_one_open_bound(spark):
     from fleetstops.operators.readings import between_times
     from fleetstops.plans.fleet import stopped_vehicles

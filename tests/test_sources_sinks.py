@@ -41,6 +41,8 @@ def test_jdbc_write_read_query_partitioned_copy(spark):
     assert part.count() == r.count()  # bounds set the stride only; nothing is filtered away
     num = J.read_jdbc_partitioned(spark, url, "avl", "reading_id", 0, 1000, 4, DERBY)
     assert num.rdd.getNumPartitions() == 4 and num.count() == r.count()
+    J.copy_table(spark, url, "avl", "avl_copy", DERBY, by="report_time", lower="2024-01-01 00:00:00", upper="2024-01-31 00:00:00", num_partitions=4)
+    assert J.read_jdbc(spark, url, "avl_copy", DERBY).count() == r.count()
     J.copy_table(spark, url, "avl", "avl_copy", DERBY)
     assert J.read_jdbc(spark, url, "avl_copy", DERBY).count() == r.count()
     # overwrite replaces
@@ -102,11 +104,11 @@ def test_streaming_ingest_picks_up_new_files(spark, workdir):
 
     src = make_files(workdir)
     out, man, ck = (os.path.join(workdir, x) for x in ("readings", "manifest", "ckpt"))
-    q = start_ingest_stream(spark, src, out, man, checkpoint=ck, max_files_per_trigger=2, reading_id_from="rev")
+    q = start_ingest_stream(spark, src, out, man, checkpoint=ck, max_files_per_trigger=2, reading_id_from="rev", lenient=True)
     q.awaitTermination(120)
     first = spark.read.parquet(out)
     assert first.count() == 7
-    m = {r.file_name: r.readings for r in spark.read.parquet(man).collect()}
+    m = {os.path.basename(r.file_name): r.readings for r in spark.read.parquet(man).collect()}
     assert m["positions_01012013.csv"] == 3 and m["positions_01022013.csv"] == 2
     # a new daily file arrives: only it is processed on restart from the same checkpoint
     with open(os.path.join(src, "positions_01052013.csv"), "w") as f:
@@ -144,6 +146,22 @@ def test_ingest_job(spark, workdir):
     assert spark.read.parquet(os.path.join(workdir, "m")).count() == 2
 
 
+def test_reference_job_writes_both_tables(spark, workdir):
+    from fleetstops.plans.jobs import main
+
+    stops, trips = os.path.join(workdir, "stops.txt"), os.path.join(workdir, "trips.txt")
+    with open(stops, "w") as f:
+        f.write("stop_lat,stop_code,stop_lon,stop_url,stop_id,stop_desc,stop_name,location_type,zone_id\n37.7,1,-122.4,,100,,Main St,0,\n")
+    with open(trips, "w") as f:
+        f.write("block_id,route_id,original_trip_id,direction_id,trip_headsign,shape_id,service_id,trip_id\nb,r,o,1,h,s,c,t1\nb,r,o,0,h,s,c,t2\n")
+    main(["reference", stops, trips, f"parquet:{workdir}/tables"])
+    assert spark.read.parquet(f"{workdir}/tables/transit_stops").first().stop_id == "100"
+    assert sorted(r.trip_id for r in spark.read.parquet(f"{workdir}/tables/trips").collect()) == ["t1", "t2"]
+    url = derby_url()
+    main(["reference", stops, trips, "jdbc:", "--jdbc-url", url, "--jdbc-driver", DERBY["driver"]])
+    assert J.read_jdbc(spark, url, "trips", DERBY).count() == 2 and J.read_jdbc(spark, url, "transit_stops", DERBY).count() == 1
+
+
 def test_stop_times_and_detail_jobs(spark, workdir):
     from fleetstops.plans.jobs import main
 
@@ -178,11 +196,11 @@ def test_streaming_ingest_ids_unique_across_batches(spark, workdir):
 
     src = make_files(workdir)
     out, man, ck = (os.path.join(workdir, x) for x in ("readings", "manifest", "ckpt"))
-    q = start_ingest_stream(spark, src, out, man, checkpoint=ck, max_files_per_trigger=1)
+    q = start_ingest_stream(spark, src, out, man, checkpoint=ck, max_files_per_trigger=1, lenient=True)
     q.awaitTermination(120)
     r = spark.read.parquet(out)
     assert r.select("batch_id").distinct().count() >= 3  # one file per micro-batch
-    assert r.count() == 7 and r.select("reading_id").distinct().count() == 7
+    assert r.count() == 7 and sorted(x.reading_id for x in r.collect()) == list(range(1, 8))
 
 
 def test_sql_questions_over_registered_views(spark):

@@ -53,7 +53,7 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_extracts_the_last_stopped_record(spark):
+def test_stop_ends_of_the_fixture(spark):
     df = spark.createDataFrame(READINGS, READ_SCHEMA)
     out = ST.find_last_stopped(df, chunk_seconds=60)
     assert [f.name for f in out.schema.fields] == [f.name for f in STOPPED_SCHEMA.fields]
@@ -61,14 +61,14 @@ def test_extracts_the_last_stopped_record(spark):
     assert rows(out) == sorted(STOPPED)
 
 
-def test_includes_readings_where_vehicles_are_moving(spark):
+def test_moving_readings_of_the_fixture(spark):
     df = spark.createDataFrame(READINGS, READ_SCHEMA)
     out = ST.filter_moving(df)
     assert out.schema == READ_SCHEMA
     assert rows(out) == sorted(MOVING)
 
 
-def test_calculates_the_last_moving_time(spark):
+def test_last_moving_times_of_the_fixture(spark):
     stopped = spark.createDataFrame(STOPPED, STOPPED_SCHEMA)
     moving = spark.createDataFrame(MOVING, READ_SCHEMA)
     out = ST.last_moving_time(stopped, moving, chunk_seconds=60)
@@ -76,14 +76,14 @@ def test_calculates_the_last_moving_time(spark):
     assert rows(out) == sorted(LAST_MOVING)
 
 
-def test_calculates_the_stop_lengths(spark):
+def test_stop_lengths_of_the_fixture(spark):
     lm = spark.createDataFrame(LAST_MOVING, LAST_MOVING_SCHEMA)
     out = ST.calculate_stop_length(lm)
     assert [(f.name, f.dataType) for f in out.schema.fields] == [(f.name, f.dataType) for f in STOP_LENGTH_SCHEMA]
     assert rows(out) == sorted(STOP_LENGTH)
 
 
-def test_prepares_data_for_the_database_table(spark):
+def test_long_stops_of_the_fixture(spark):
     sl = spark.createDataFrame(STOP_LENGTH, STOP_LENGTH_SCHEMA)
     out = ST.long_stops(sl)
     assert out.columns == ["report_time", "vehicle_tag", "stopped_for"]

@@ -2,8 +2,8 @@
 
 Builds readings from ``events`` repeated ``copies`` times; the first ``hot``
 copies all belong to one vehicle (times shifted by the copy number in
-microseconds so keys stay unique). Then runs the fleet question with the chunk
-length the probe picks and with no split, checks both give the same rows, and
+microseconds so keys stay unique). Then runs the fleet question split by day, as by default, and
+in pieces of a century (every vehicle one piece), checks both give the same rows, and
 prints the timings as one JSON line.
 
     python tools/skew_check.py [sf_dir] [copies] [hot]
@@ -18,6 +18,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+WHOLE = 100 * 365 * 86_400
+
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
@@ -25,7 +27,6 @@ def main() -> None:
     hot = int(sys.argv[3]) if len(sys.argv) > 3 else 24
     from pyspark.sql import functions as F
 
-    from fleetstops.operators.scan import choose_chunk_seconds
     from fleetstops.plans.fleet import stopped_vehicles
     from fleetstops.session import build_session, materialize
     from fleetstops.sources.bindings import readings
@@ -54,26 +55,22 @@ def main() -> None:
         rows = f().collect()
         return time.perf_counter() - t0, rows
 
-    t_probe0 = time.perf_counter()
-    chunk = choose_chunk_seconds(data)
-    t_probe = time.perf_counter() - t_probe0
-    # alternate the two plans and keep the best of two runs each (the first run also warms the JVM)
-    runs = {"split": [], "plain": []}
+    # Alternate the two lengths and keep the best of two runs each (the first run also warms the JVM).
+    runs = {"day": [], "whole": []}
     for _ in range(2):
-        t, a = timed(lambda: stopped_vehicles(data, chunk_seconds=chunk))
-        runs["split"].append(t)
-        t, b = timed(lambda: stopped_vehicles(data, chunk_seconds=None))
-        runs["plain"].append(t)
-    t_split, t_plain = min(runs["split"]), min(runs["plain"])
+        t, a = timed(lambda: stopped_vehicles(data))
+        runs["day"].append(t)
+        t, b = timed(lambda: stopped_vehicles(data, chunk_seconds=WHOLE))
+        runs["whole"].append(t)
+    largest = data.groupBy("vehicle_tag", F.to_date("report_time")).count().agg(F.max("count")).first()[0]
     print(
         json.dumps(
             {
                 "rows": data.count(),
                 "hot_rows": data.filter("vehicle_tag = 'HOT'").count(),
-                "chunk_seconds": chunk,
-                "probe_s": round(t_probe, 3),
-                "split_s": round(t_split, 3),
-                "unsplit_s": round(t_plain, 3),
+                "largest_piece": largest,
+                "day_s": round(min(runs["day"]), 3),
+                "whole_s": round(min(runs["whole"]), 3),
                 "same_result": sorted(a) == sorted(b),
                 "stops": len(a),
             }
