@@ -3,9 +3,9 @@
 A logistic model over sparse word features is trained in numpy from confirmed toxic documents and from unlabelled
 text; labels of "not toxic" are never read as such. With the class prior p, the risk of calling unlabelled text toxic
 is corrected by the positives it must hold: R = p R+(positives) + max(0, R-(unlabelled) - p R-(positives)). While the
-second part is negative, which only over-fitting can make it, steps go back along its gradient.
+second part is negative, which only chance or over-fitting can make it, it pulls at nothing.
 
-Features of a text: its lower-cased words and their beginnings of 3 to 8 letters, each at the levels "at least 1, 2
+Features of a text: its lower-cased words and their beginnings of 4 to 7 letters, each at the levels "at least 1, 2
 and 4 times", hashed. L1 shrinkage leaves some hundreds of them with a weight, so the model is small.
 
 Training reads a bounded sample (POSITIVES and UNLABELLED documents, chosen by hash of doc_id over the whole table);
@@ -37,11 +37,14 @@ POSITIVES, UNLABELLED = 1500, 4000
 #: A document is predicted toxic from this score on.
 CUT = 0.3
 #: Features: letters of word beginnings, levels of their counts, number of hash values, least positives with one.
-PREFIXES, LEVELS, SPACE, LEAST = range(3, 9), (1, 2, 4), 1 << 20, 3
+PREFIXES, LEVELS, SPACE, LEAST = (4, 5, 6, 7), (1, 2, 4), 1 << 22, 5
 #: Training: steps, first learning rate, L1 shrinkage (divided by the root of the number of positives).
-STEPS, RATE, SHRINK = 300, 0.1, 0.02
+STEPS, RATE, SHRINK = 150, 0.1, 0.03
+#: The loss of calling a text clean stops growing at this score (log-odds): an unlabelled sample's share of positives
+#: differs from the prior by chance, and an unbounded loss would multiply that difference.
+MARGIN = 4.0
 #: Words whose features a worker remembers before it starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 400_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -51,21 +54,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _parts(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
+def _bases(word: str) -> list[int]:
+    """Hashes of a word and of its beginnings; those start from another value, so a word and a beginning differ."""
+    whole, letters = word.encode("utf-8", "replace"), len(word)
+    found = [zlib.crc32(whole) % SPACE]
+    plain = len(whole) == letters
+    for k in PREFIXES:
+        if k >= letters:
+            break
+        found.append(zlib.crc32(whole[:k] if plain else word[:k].encode("utf-8", "replace"), 1) % SPACE)
+    return found
 
 
-def _hashed(part: str, level: int) -> int:
-    return zlib.crc32(f"{level} {part}".encode("utf-8", "replace")) % SPACE
+def _hashed(base: int, level: int) -> int:
+    """The feature of a base at a level: an exchange of bits, so a feature leads back to its base."""
+    return base ^ (level * 0x9E3779B1) % SPACE
 
 
 def features(text: str | None) -> np.ndarray:
     """Hashes of all features of a text, sorted."""
     counts: Counter = Counter()
     for word, times in Counter(_WORD.findall((text or "").lower())).items():
-        for part in _parts(word):
-            counts[part] += times
-    found = {_hashed(part, level) for part, times in counts.items() for level in LEVELS if times >= level}
+        for base in _bases(word):
+            counts[base] += times
+    found = {_hashed(base, level) for base, times in counts.items() for level in LEVELS if times >= level}
     return np.array(sorted(found), dtype=np.int32)
 
 
@@ -109,9 +121,12 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     for step in range(1, STEPS + 1):
         zp = np.bincount(rp, w[ip], n_p) + w[-1]
         zu = np.bincount(ru, w[iu], n_u) + w[-1]
-        up, down = -prior * _sigmoid(-zp) / n_p, -prior * _sigmoid(zp) / n_p
-        excess = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-        gp, gu = (up + down, _sigmoid(zu) / n_u) if excess >= 0 else (-down, -_sigmoid(zu) / n_u)
+        up = -prior * _sigmoid(-zp) / n_p
+        excess = np.mean(_loss(zu)) - prior * np.mean(_loss(zp))
+        if excess >= 0:
+            gp, gu = up - prior * _slope(zp) / n_p, _slope(zu) / n_u
+        else:
+            gp, gu = up, np.zeros(n_u)
         g = np.append(np.bincount(ip, gp[rp], size) + np.bincount(iu, gu[ru], size), gp.sum() + gu.sum())
         mean, spread = 0.9 * mean + 0.1 * g, 0.999 * spread + 0.001 * g * g
         rate = RATE * (0.5 + 0.5 * np.cos(np.pi * step / STEPS)) + 1e-4
@@ -122,6 +137,14 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     return Model(float(w[-1]), dict(zip(kept[used].tolist(), w[used].tolist(), strict=True)))
 
 
+def _loss(z):
+    return np.logaddexp(0, np.minimum(z, MARGIN))
+
+
+def _slope(z):
+    return np.where(z < MARGIN, _sigmoid(z), 0.0)
+
+
 def _sample(ids: DataFrame, most: int) -> DataFrame:
     """At most ``most`` ids, the least by hash: each task sends at most so many."""
     return ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -146,8 +169,11 @@ def _features(docs: DataFrame, ids: DataFrame, kept: np.ndarray | None) -> list[
     """Features of the documents of a bounded sample (those in ``kept``), in the order of doc_id."""
 
     def run(batch):
+        wanted = np.full(SPACE, kept is None)
+        if kept is not None:
+            wanted[kept] = True
         rows = (features(t) for t in batch.column("text").to_pylist())
-        return {"doc_id": batch.column("doc_id"), "f": [x if kept is None else x[np.isin(x, kept)] for x in rows]}
+        return {"doc_id": batch.column("doc_id"), "f": [x[wanted[x]] for x in rows]}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The sample's ids: a proven bound for the broadcast.
@@ -157,38 +183,35 @@ def _features(docs: DataFrame, ids: DataFrame, kept: np.ndarray | None) -> list[
 
 
 class Scorer:
-    """Scores texts; per word it keeps which of its parts have a weight at any level."""
+    """Scores texts; per word it keeps the bases of those parts that have a weight at some level."""
 
     def __init__(self, base: float, weights: tuple):
-        self._base, self._weights = base, dict(weights)
-        self._parts: dict[str, tuple[str, ...]] = {}
-        self._levels: dict[str, list[tuple[int, float]]] = {}
-
-    def _of(self, word: str) -> tuple[str, ...]:
+        self._start, self._weights = base, dict(weights)
+        self._parts: dict[str, tuple[int, ...]] = {}
+        # The bases that have a weight at some level, each with those levels.
+        self._levels: dict[int, list[tuple[int, int]]] = {}
+        for feature in self._weights:
+            for level in LEVELS:
+                self._levels.setdefault(_hashed(feature, level), []).append((level, feature))
+
+    def _of(self, word: str) -> tuple[int, ...]:
         if len(self._parts) > WORDS_KEPT:
             self._parts.clear()
-        kept = []
-        for part in _parts(word):
-            if part not in self._levels:
-                own = [(level, w) for level in LEVELS if (w := self._weights.get(_hashed(part, level)))]
-                if not own:
-                    continue
-                self._levels[part] = own
-            kept.append(part)
-        self._parts[word] = tuple(kept)
-        return self._parts[word]
+        levels = self._levels
+        self._parts[word] = kept = tuple([b for b in _bases(word) if b in levels])
+        return kept
 
     def score(self, text: str | None) -> float:
         counts: Counter = Counter()
         known = self._parts
         for word in _WORD.findall((text or "").lower()):
-            parts = known.get(word)
-            if parts is None:
-                parts = self._of(word)
-            for part in parts:
-                counts[part] += 1
-        hashes = {_hashed(part, level): w for part, n in counts.items() for level, w in self._levels[part] if n >= level}
-        return float(_sigmoid(self._base + sum(hashes.values())))
+            bases = known.get(word)
+            if bases is None:
+                bases = self._of(word)
+            for base in bases:
+                counts[base] += 1
+        found = {feature for base, n in counts.items() for level, feature in self._levels[base] if n >= level}
+        return float(_sigmoid(self._start + sum(map(self._weights.__getitem__, sorted(found)))))
 
 
 @functools.lru_cache(2)
