@@ -336,6 +336,11 @@ FROM readings""",
   SELECT CAST('37.' || CAST(700 + s_suppkey % 137 AS VARCHAR) AS DOUBLE) AS stop_lat,
          CAST('-122.' || CAST(540 - s_suppkey % 173 AS VARCHAR) AS DOUBLE) AS stop_lon FROM supplier)
 SELECT min(stop_lat) AS min_lat, max(stop_lat) AS max_lat, min(stop_lon) AS min_lon, max(stop_lon) AS max_lon FROM s""",
+    "transit_stops": """SELECT CAST(s_suppkey AS VARCHAR) AS stop_id, s_name AS stop_name,
+  CAST('37.' || CAST(700 + s_suppkey % 137 AS VARCHAR) AS DOUBLE) AS stop_lat,
+  CAST('-122.' || CAST(540 - s_suppkey % 173 AS VARCHAR) AS DOUBLE) AS stop_lon, CAST(s_nationkey AS VARCHAR) AS zone_id FROM supplier""",
+    "trips": """SELECT CAST(o_orderkey AS VARCHAR) AS trip_id, o_orderpriority AS route_id, CAST(o_custkey AS VARCHAR) AS block_id,
+  o_orderstatus AS direction_id FROM orders""",
     "hourly_stop_stats": f"""{FLEET_ALL}
 SELECT CAST(hour(report_time) AS INTEGER) AS hour_of_day, count(*) AS stops, avg(stopped_for) AS avg_stopped_for
 FROM stops GROUP BY 1 ORDER BY 1""",

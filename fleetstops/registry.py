@@ -279,6 +279,14 @@ def q_transit_stop_bounds(spark, sf):
     return RD.coordinate_bounds(B.transit_stops(spark, sf), lat="stop_lat", lon="stop_lon")
 
 
+def q_transit_stops(spark, sf):
+    return B.transit_stops(spark, sf).select("stop_id", "stop_name", "stop_lat", "stop_lon", "zone_id")
+
+
+def q_trips(spark, sf):
+    return B.trips(spark, sf).select("trip_id", "route_id", "block_id", "direction_id")
+
+
 def q_hourly_stop_stats(spark, sf):
     return RP.hourly_stop_stats(FL.stopped_vehicles(_r(spark, sf)))
 
@@ -521,6 +529,8 @@ QUERIES: dict[str, Query] = {
     "speed_bounds": q_speed_bounds,
     "coordinate_bounds": q_coordinate_bounds,
     "transit_stop_bounds": q_transit_stop_bounds,
+    "transit_stops": q_transit_stops,
+    "trips": q_trips,
     "hourly_stop_stats": q_hourly_stop_stats,
     "distinct_vehicles": q_distinct_vehicles,
     "distinct_assignments": q_distinct_assignments,

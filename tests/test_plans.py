@@ -91,6 +91,11 @@ def test_stop_times_properties(spark):
     assert st.filter(F.col("stopped_since") >= F.col("stopped_at")).count() == 0
 
 
+def test_dedupe_sorts_once(spark):
+    plan = plan_of(QUERIES["dedupe_readings"](spark, SF_MID))
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1 and "WindowGroupLimit" not in plan
+
+
 def test_recommended_conf_scales_shuffle_partitions():
     from fleetstops.session import recommended_conf
 
