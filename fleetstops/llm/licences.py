@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import map_rows, sample_keys, table
 
 #: Families and what states them (names and opening words of public licenses and usual notices).
 TEMPLATES = {
@@ -230,11 +230,12 @@ def train(rows: list[tuple[str, list[str]]]) -> Model:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, paragraphs: int = SAMPLE_PARAGRAPHS) -> Model:
-    """Train with the paragraphs of at most ``sample_docs`` documents, the least by hash of doc_id and text."""
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lines = texts.withColumn("h", F.xxhash64("text")).orderBy("h").limit(sample_docs).select("h", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.filter(F.length("line").between(10, 2000)).select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(paragraphs)
-    return train(examples([r["line"] for r in lines.collect()]))
+    """Train with the paragraphs of at most ``sample_docs`` different texts, the least by hash."""
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    # The sample's hashes: a proven bound for the broadcast.
+    own = texts.join(F.broadcast(sample_keys(texts.select("h"), sample_docs)), "h")
+    lines = own.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line").between(10, 2000))
+    return train(examples(sorted(r["line"] for r in sample_keys(lines, paragraphs).collect())))
 
 
 def paragraphs_of(text: str):

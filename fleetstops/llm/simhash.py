@@ -14,9 +14,9 @@ drops points once reached: a dense group costs one pass, and only the edges of a
 with more than ``cell`` points is split: its points get one of s salts, and each pair of salts is a cell of its own,
 so that every two points still meet. The stars are joined to components by alternating stars on Spark.
 
-The two halves of the code (radius 1, 15.5 anchors a point and block on average with three blocks of 21 or 22 bits)
-keep a cell at about 1/9,000 of all points. Two blocks of 32 bits send a point to more anchors and keep cells far
-smaller; that is the setting for more than some billions of different fingerprints.
+With three blocks of 21 or 22 bits a point goes to about 45 anchors, and a cell holds about 1/9,000 of all points. Two
+blocks of 32 bits send a point to about 690 anchors and keep cells some ninety times smaller; that is the setting for
+more than some billions of different fingerprints.
 
 Cases: null or wordless text has fingerprint zero, linked like any other; fewer words than a shingle make one shingle
 of all; repeated rows and ids all get a row; a null doc_id is never a component's id unless it has no other (then the

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fresh, map_rows, q, table
+from .common import fresh, map_rows, q, sample_keys, table
 
 #: Bounds of the training sample, in documents.
 POSITIVES, UNLABELLED = 1500, 4000
@@ -145,11 +145,6 @@ def _slope(z):
     return np.where(z < MARGIN, _sigmoid(z), 0.0)
 
 
-def _sample(ids: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` ids, the least by hash: each task sends at most so many."""
-    return ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Train on documents whose doc_id isn't held out.
 
@@ -159,10 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     if prior is None:
         prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    toxic = _sample(own.join(known.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi"), positives)
+    toxic = sample_keys(own.join(known.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi"), positives)
     found = _features(docs, toxic, None)
     # Of unlabelled documents only the features that can get a weight come to the driver.
-    return train(found, _features(docs, _sample(own, unlabelled), frequent(found)), prior)
+    return train(found, _features(docs, sample_keys(own, unlabelled), frequent(found)), prior)
 
 
 def _features(docs: DataFrame, ids: DataFrame, kept: np.ndarray | None) -> list[np.ndarray]:
