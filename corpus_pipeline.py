@@ -20,7 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row, against a new digest index."""
-    return exact_dedup.keep_new(docs, exact_dedup.open_index(spark, shared_path(spark, "digest-index")))
+    buckets = exact_dedup.session_buckets(spark)
+    return exact_dedup.keep_new(docs, exact_dedup.open_index(spark, shared_path(spark, "digest-index"), buckets), buckets)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,10 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, keep_rows, materialize, shared_path, table
 
-#: Buckets of a new index: a bucket of the index should fit a task's memory.
+#: Buckets of a new index, where its maker states none. A bucket should fit a task's memory, and with no fewer buckets
+#: than shuffle partitions Spark moves the batch to the index's buckets and leaves the index where it is.
 BUCKETS = 32
 
 
+def session_buckets(spark: SparkSession) -> int:
+    """Buckets for a new index that match the session's shuffles."""
+    return max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def digest(text: Column) -> Column:
     """SHA-256 (hex) of the normalised text."""
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", " ").cast("binary"), 256)
@@ -105,8 +111,8 @@ def keep_new(docs: DataFrame, index: str, buckets: int = BUCKETS) -> DataFrame:
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents against a new index."""
-    index = open_index(spark, shared_path(spark, "digest-index"))
-    return dedup(table(spark, sf_dir, "documents"), index)
+    index = open_index(spark, shared_path(spark, "digest-index"), buckets := session_buckets(spark))
+    return dedup(table(spark, sf_dir, "documents"), index, buckets)
 
 
 OP6_SQL = r"""
