@@ -26,7 +26,7 @@ readings is ever formed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tuning import CHUNK_SECONDS
@@ -34,23 +34,24 @@ from .scan import PART, chunk_of, history_scan
 
 
 def resolve_in_chunks(
-    undecided: DataFrame, dealt: DataFrame, gap: int, max_s: int, *, key: str, time: str, rid: str, chunk_seconds: int
+    undecided: DataFrame, dealt: DataFrame, gap: int, max_s: int, *, counts: Column, key: str, time: str, rid: str, chunk_seconds: int
 ) -> DataFrame:
     """(key, time, found) for each open stop end with an answer younger than ``max_s`` seconds.
 
-    ``dealt``: the moving readings as :func:`fleetstops.operators.scan.deal` gives them.
+    ``dealt``: readings as :func:`fleetstops.operators.scan.deal` gives them; ``counts`` says which are moving. It is
+    asked of joined pairs only: pushed down, it would make another shuffle of what the scan has dealt already.
     """
     chunk = chunk_of(F.col(time), chunk_seconds)
     before = chunk_of(F.col(time) - F.make_dt_interval(secs=F.lit(max_s).cast("decimal(18,6)")), chunk_seconds)
     asked = undecided.withColumn("_g_c", F.explode(F.sequence(before, chunk)))
-    asked = asked.select(F.struct(F.col(key).alias("k"), F.col("_g_c").alias("c")).alias(PART), F.col(key), F.col(time), F.col(rid))
-    near = dealt.select(PART, F.col(time).alias("_g_t"), F.col(rid).alias("_g_id"))
-    met = asked.join(near, PART).filter(
-        (F.col("_g_t") < F.col(time))
-        & (F.col("_g_t") > F.col(time) - F.make_dt_interval(secs=F.lit(max_s + 1).cast("decimal(18,6)")))
-        & (F.col("_g_id") > F.col(rid) - F.lit(int(gap)))
+    asked = asked.select(F.struct(F.col(key).alias("k"), F.col("_g_c").alias("c")).alias(PART), F.col(key), F.col(time).alias("_g_end"), F.col(rid).alias("_g_of"))
+    near = (
+        (F.col(time) < F.col("_g_end"))
+        & (F.col(time) > F.col("_g_end") - F.make_dt_interval(secs=F.lit(max_s + 1).cast("decimal(18,6)")))
+        & (F.col(rid) > F.col("_g_of") - F.lit(int(gap)))
     )
-    return met.groupBy(key, time).agg(F.max("_g_t").alias("found"))
+    met = asked.join(dealt, PART).filter(F.when(near, counts))
+    return met.groupBy(F.col(key), F.col("_g_end").alias(time)).agg(F.max(F.col(time)).alias("found"))
 
 
 MAX_LEVEL = 62
@@ -58,36 +59,45 @@ MAX_LEVEL = 62
 
 def resolve_undecided(
     undecided: DataFrame,
-    moving: DataFrame,
+    dealt: DataFrame,
     gap: int,
     *,
+    counts: Column,
     key: str = "vehicle_tag",
     time: str = "report_time",
     rid: str = "reading_id",
     chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
-    """(key, time, rid, last_moving_time) for each open stop end that has an answer."""
-    q = undecided.select(F.col(key).alias("_g_v"), F.col(time).alias("_g_t"), F.col(rid).alias("_g_id"), (F.col(rid) - F.lit(int(gap))).alias("_g_lm1"))
-    stats = q.groupBy("_g_v").agg(F.min("_g_lm1").alias("_g_minl"), F.max("_g_lm1").alias("_g_maxl"), F.max("_g_t").alias("_g_maxt"))
-    q = q.join(stats.select("_g_v", "_g_minl"), "_g_v").withColumn("_g_from", F.col("_g_lm1") - F.col("_g_minl"))
+    """(key, time, found) for each open stop end that has an answer; ``dealt`` and ``counts`` as above.
 
-    m = moving.select(F.col(key).alias("_g_v"), F.col(time).alias("_g_t"), F.col(rid).alias("_g_id"))
-    m = m.join(stats, "_g_v").filter((F.col("_g_id") > F.col("_g_minl")) & (F.col("_g_t") < F.col("_g_maxt")))
-    # Ids above every threshold pass alike: they count as the first id above the highest.
-    m = m.withColumn("_g_off", F.least(F.col("_g_id"), F.col("_g_maxl") + 1) - F.col("_g_minl"))
+    The open stop ends are dealt by vehicle once; all three uses of them need the same columns, so that Spark makes
+    them once.
+    """
+    q = undecided.select(F.col(key).alias("_g_v"), F.col(time).alias("_g_t"), (F.col(rid) - F.lit(int(gap))).alias("_g_lm1")).repartition(F.col("_g_v"))
+    bounds = {"_g_minl": F.min("_g_lm1"), "_g_maxl": F.max("_g_lm1"), "_g_maxt": F.max("_g_t")}
+    stats = q.groupBy("_g_v").agg(*[f.alias(c) for c, f in bounds.items()])
+    each = Window.partitionBy("_g_v")
+    q = q.select("*", *[f.over(each).alias(c) for c, f in bounds.items() if c != "_g_maxt"])
+    # As many levels as the range of thresholds has bits.
     levels = F.sequence(F.lit(0), F.least(F.floor(F.log2(F.col("_g_maxl") - F.col("_g_minl") + 1)).cast("int") + 1, F.lit(MAX_LEVEL)))
-    mb = m.select("_g_v", "_g_t", "_g_id", "_g_off", F.explode(levels).alias("_g_k")).withColumn("_g_b", F.expr("shiftright(_g_off, _g_k)"))
     qb = (
-        q.join(stats.select("_g_v", "_g_maxl"), "_g_v")
-        .select("_g_v", "_g_t", "_g_id", "_g_from", F.explode(levels).alias("_g_k"))
+        q.select("_g_v", "_g_t", "_g_lm1", (F.col("_g_lm1") - F.col("_g_minl")).alias("_g_from"), F.explode(levels).alias("_g_k"))
         .filter(F.expr("shiftright(_g_from, _g_k)") % 2 == 0)
         .withColumn("_g_b", F.expr("shiftright(_g_from, _g_k)") + 1)
     )
-    wanted = qb.select("_g_v", "_g_k", "_g_b").distinct()
-    mb = mb.join(wanted, ["_g_v", "_g_k", "_g_b"], "left_semi")
 
-    blk = F.struct(F.col("_g_v"), F.col("_g_k"), F.col("_g_b")).alias("_g_blk")
-    both = qb.select(blk, "_g_t", "_g_id", F.lit(False).alias("_g_mv")).unionByName(
+    # Null-safe only so that no "is not null" is pushed down, which would make another shuffle of the dealt readings.
+    m = dealt.join(stats, F.col(f"{PART}.k").eqNullSafe(F.col("_g_v")))
+    m = m.filter(F.when((F.col(rid) > F.col("_g_minl")) & (F.col(time) < F.col("_g_maxt")), counts))
+    # Ids above every threshold pass alike: they count as the first id above the highest.
+    offset = F.least(F.col(rid), F.col("_g_maxl") + 1) - F.col("_g_minl")
+    mb = m.select("_g_v", F.col(time).alias("_g_t"), F.col(rid).alias("_g_id"), offset.alias("_g_off"), F.explode(levels).alias("_g_k"))
+    mb = mb.withColumn("_g_b", F.expr("shiftright(_g_off, _g_k)"))
+    wanted = qb.groupBy("_g_v", "_g_k", "_g_b").agg(F.max("_g_t").alias("_g_until"))
+    mb = mb.join(wanted, ["_g_v", "_g_k", "_g_b"]).filter(F.col("_g_t") < F.col("_g_until"))
+
+    blk = F.struct("_g_v", "_g_k", "_g_b").alias("_g_blk")
+    both = qb.select(blk, "_g_t", F.col("_g_lm1").alias("_g_id"), F.lit(False).alias("_g_mv")).unionByName(
         mb.select(blk, "_g_t", "_g_id", F.lit(True).alias("_g_mv"))
     )
     scanned = history_scan(
@@ -101,8 +111,5 @@ def resolve_undecided(
         with_next=False,
         chunk_seconds=chunk_seconds,
     )
-    scanned = scanned.withColumn("_g_v", F.col("_g_blk._g_v"))
-    best = scanned.groupBy("_g_v", "_g_t", "_g_id").agg(F.max("last_moving_time").alias("last_moving_time"))
-    return best.filter(F.col("last_moving_time").isNotNull()).select(
-        F.col("_g_v").alias(key), F.col("_g_t").alias(time), F.col("_g_id").alias(rid), "last_moving_time"
-    )
+    found = scanned.filter(F.col("last_moving_time").isNotNull())
+    return found.groupBy(F.col("_g_blk._g_v").alias(key), F.col("_g_t").alias(time)).agg(F.max("last_moving_time").alias("found"))

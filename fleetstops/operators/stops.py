@@ -161,8 +161,11 @@ def last_moving_time(
     known = F.col(key).isNotNull() & F.col(time).isNotNull()
     q = stopped.filter(known).select(F.col(key), F.col(time), F.col(rid), F.lit(False).alias("_fs_is_mv"))
     m = moving.filter(known).select(F.col(key), F.col(time), F.col(rid), F.lit(True).alias("_fs_is_mv"))
+    both = q.unionByName(m)
+    dealt = deal(both, key=key, time=time, chunk_seconds=chunk_seconds)
     scanned = history_scan(
-        q.unionByName(m),
+        both,
+        dealt=dealt,
         key=key,
         time=time,
         speed=None,
@@ -179,8 +182,7 @@ def last_moving_time(
     flagged = scanned.filter(_gap_ok(rid, max_id_gap) | amb).withColumn("_fs_amb", amb)
 
     def resolve(rows):
-        answers = resolve_undecided(rows, m.drop("_fs_is_mv"), max_id_gap, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds)
-        return answers.select(key, time, F.col("last_moving_time").alias("found"))
+        return resolve_undecided(rows, dealt, max_id_gap, counts=F.col("_fs_is_mv"), key=key, time=time, rid=rid, chunk_seconds=chunk_seconds)
 
     return _answered(flagged, resolve, key=key, time=time, rid=rid).select(key, time, "last_moving_time")
 
@@ -231,11 +233,10 @@ def stop_ends_with_last_moving(
     flagged = ends.filter(ok | amb).withColumn("_fs_amb", amb)
 
     def resolve(rows):
+        how = {"counts": F.col(speed) > 0, "key": key, "time": time, "rid": rid, "chunk_seconds": chunk_seconds}
         if max_s is not None:
-            return resolve_in_chunks(rows, dealt.filter(F.col(speed) > 0), max_id_gap, max_s, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds)
-        moving = readings.filter(F.col(speed) > 0).select(key, time, rid)
-        answers = resolve_undecided(rows, moving, max_id_gap, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds)
-        return answers.select(key, time, F.col("last_moving_time").alias("found"))
+            return resolve_in_chunks(rows, dealt, max_id_gap, max_s, **how)
+        return resolve_undecided(rows, dealt, max_id_gap, **how)
 
     return _answered(flagged, resolve, key=key, time=time, rid=rid)
 
