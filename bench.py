@@ -3,7 +3,7 @@
 Runs each query at $BENCH_SF_DIR (default /root/testdata/sf0.1) on
 local[$BENCH_CPUS] and prints one JSON line. Every query is executed to the
 end with the ``noop`` sink (all rows produced, nothing collected); the time
-per query is the best of $BENCH_RUNS runs after one warm-up of the flagship.
+per query is the best of $BENCH_RUNS runs after three warm-up runs of the flagship.
 ``stopped_vehicles_x10`` runs the flagship over ten copies of the readings
 (distinct vehicles, generated inside the tasks) to show how the time grows.
 """
@@ -37,7 +37,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     from fleetstops.plans.fleet import stopped_vehicles
     from fleetstops.registry import QUERIES
     from fleetstops.sources.bindings import readings_scaled
@@ -53,7 +53,8 @@ def main() -> None:
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    run(HEADLINE[0])  # warm-up: JIT, file listing cache
+    for _ in range(3):
+        run(HEADLINE[0])  # warm-up: JIT, file listing cache
     times = {}
     for name in HEADLINE + list(extra):
         times[name] = round(min(run(name) for _ in range(runs)), 3)
