@@ -1,14 +1,16 @@
 """License scans by a trained paragraph classifier.
 
-Paragraphs are lines, and windows of a line longer than WINDOW words (half overlapping). A softmax regression over
+Paragraphs are lines, and windows of a line longer than WINDOW words (half overlapping); notices are often wrapped, so
+windows over the words of a whole run of lines (up to a line without words) are looked at too. A softmax regression over
 sparse word 1- to 3-grams, trained in numpy, says which license family a paragraph states, or "unknown". It learns
 from the templates and variants of them (words dropped, other words around them) and, as unknown, from a bounded
 sample of the table's own paragraphs that match no template and from sentences that use license words otherwise. A
-third of the examples is held out to fit the temperature that calibrates the probabilities. A prediction counts once
-its family's template confirms it: at least SIMILARITY of the word pairs of one of its templates stand in the paragraph.
+third of the examples is held out to fit the temperature that calibrates the probabilities. A family is confirmed, be
+it the likeliest or not, where its probability is at least FLOOR and at least SIMILARITY of the word pairs of one of its
+templates stand; a template whose pairs there are all pairs of a fuller one (CC BY in CC BY-NC) does not count.
 
 Only n-grams seen in training have weights, so a paragraph without any word whose presence can raise a family over
-unknown is unknown for sure, and is passed over.
+unknown is unknown for sure, and is passed over unless a template stands in it.
 
 Cases: null or empty text has no paragraphs and no licenses; a text of any length is scanned whole, window by window;
 repeated rows are scanned alike; an empty table trains on the templates and fixed sentences alone and gives no rows.
@@ -20,6 +22,7 @@ import functools
 import json
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,7 @@ TEMPLATES = {
     "agpl": [
         "This program is licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
@@ -69,6 +73,7 @@ TEMPLATES = {
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -103,11 +108,13 @@ OTHERWISE = [
 
 UNKNOWN = "unknown"
 #: Bounds and parameters: documents whose paragraphs are learned from, paragraphs, words of a window, variants of a
-#: template, least share of a template's word pairs, training steps and rate.
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS, WINDOW, VARIANTS, SIMILARITY = 1000, 4000, 64, 12, 0.8
+#: template, least share of a template's word pairs, least probability of a confirmed family, training steps and rate.
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS, WINDOW, VARIANTS, SIMILARITY, FLOOR = 1000, 4000, 64, 12, 0.8, 0.001
 STEPS, RATE, SHRINK = 300, 0.1, 1e-3
 
 _WORD = re.compile(r"[^\W_]+")
+#: Comment marks that are words; all others are no words anyway.
+_MARK = re.compile(r"\s*(?:dnl|@?rem)\s", re.IGNORECASE)
 
 
 def words_of(text: str) -> list[str]:
@@ -131,6 +138,45 @@ def _template_pairs() -> dict[str, list[set]]:
     return {f: [set(zip(w, w[1:], strict=False)) for w in ts] for f, ts in split.items()}
 
 
+@functools.cache
+def _pair_templates() -> dict[tuple, list[tuple[str, int]]]:
+    """Word pair -> the templates (family, number) that hold it."""
+    out: dict[tuple, list] = {}
+    for family, templates in _template_pairs().items():
+        for k, pairs in enumerate(templates):
+            for pair in pairs:
+                out.setdefault(pair, []).append((family, k))
+    return out
+
+
+def marks_of(words: list[str]) -> list[int]:
+    """Places of the word pairs that some template holds."""
+    known = _pair_templates()
+    return [i for i, pair in enumerate(zip(words, words[1:], strict=False)) if pair in known]
+
+
+def stated(words: list[str], marks: list[int]) -> dict[tuple[str, int], tuple[float, set[int]]]:
+    """Templates that stand in words: share of their word pairs and the pairs' places."""
+    at: dict[tuple, set[int]] = {}
+    for i in marks:
+        for template in _pair_templates()[words[i], words[i + 1]]:
+            at.setdefault(template, set()).add(i)
+    out = {}
+    for (family, k), places in at.items():
+        size = len(_template_pairs()[family][k])
+        if len(places) < SIMILARITY * size:
+            continue
+        share = len({(words[i], words[i + 1]) for i in places}) / size
+        if share >= SIMILARITY:
+            out[family, k] = share, places
+    # Not what is part of a fuller notice; of two with the same pairs the larger share counts.
+    return {
+        t: (share, places)
+        for t, (share, places) in out.items()
+        if not any(places < more or places == more and (much, o) > (share, t) for o, (much, more) in out.items())
+    }
+
+
 def _draw(*what) -> int:
     return zlib.crc32("|".join(map(str, what)).encode())
 
@@ -163,12 +209,16 @@ class Model:
         self.signal = {max(g.split(), key=len) for g, w in rows.items() if (w[:-1] > w[-1]).any()}
         self.sure = bool((self.base[:-1] < self.base[-1]).all())
 
-    def predict(self, words: list[str]) -> tuple[str, float]:
-        """The likeliest family and its calibrated probability."""
+    def probabilities(self, words: list[str]) -> np.ndarray:
+        """The calibrated probability of each family."""
         found = [self._rows[g] for g in grams(words) if g in self._rows]
         z = (self.base + (np.sum(found, axis=0) / np.sqrt(len(found)) if found else 0)) / self.temperature
         p = np.exp(z - z.max())
-        p /= p.sum()
+        return p / p.sum()
+
+    def predict(self, words: list[str]) -> tuple[str, float]:
+        """The likeliest family and its calibrated probability."""
+        p = self.probabilities(words)
         k = int(p.argmax())
         return self.families[k], float(p[k])
 
@@ -238,36 +288,83 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, paragraphs: int = SAMPL
     return train(examples(sorted(r["line"] for r in sample_keys(lines, paragraphs).collect())))
 
 
-def paragraphs_of(text: str):
-    """(start, words) of each line, and of windows of long lines; start is the line's place in the text."""
-    at = 0
+def windows(n: int):
+    """(from, to) of the windows over n words."""
+    return [(0, n)] if n <= WINDOW else [(k, min(n, k + WINDOW)) for k in range(0, n - WINDOW // 2, WINDOW // 2)]
+
+
+def runs_of(text: str):
+    """Runs of lines with words: (start, words) of each line, start is the line's place in the text."""
+    at, run = 0, []
     for line in text.split("\n"):
-        words = words_of(line)
-        if len(words) <= WINDOW:
-            yield at, words
-        else:
-            for k in range(0, len(words) - WINDOW // 2, WINDOW // 2):
-                yield at, words[k : k + WINDOW]
+        words = words_of(line[m.end() :] if (m := _MARK.match(line)) else line)
+        if words:
+            run.append((at, words))
+        elif run:
+            yield run
+            run = []
         at += len(line) + 1
+    if run:
+        yield run
+
+
+def _scan_words(model: Model, start: int, words: list[str], hits: dict) -> list[dict]:
+    """What one paragraph, in which the templates ``hits`` stand, states: the likeliest family and all confirmed ones."""
+    if not hits and model.sure and model.signal.isdisjoint(words):
+        return []
+    near: dict[str, float] = {}
+    for (family, _), (share, _) in hits.items():
+        near[family] = max(share, near.get(family, 0.0))
+    p = model.probabilities(words)
+    best = model.families[int(p.argmax())]
+    of = {f: float(p[model.families.index(f)]) for f in (best, *near)}
+    out = [{"start": start, "family": f, "probability": of[f], "similarity": near[f], "confirmed": True} for f in near if of[f] >= FLOOR]
+    if best != UNKNOWN and best not in near:
+        out.append({"start": start, "family": best, "probability": of[best], "similarity": similarity(best, words), "confirmed": False})
+    return out
+
+
+def _hits(words: list[str], marks: list[int], a: int, b: int) -> dict:
+    """``stated`` of words[a:b], with places in words; marks are of words."""
+    own = marks[bisect_left(marks, a) : bisect_left(marks, b - 1)] if len(marks) > 1 else marks[:0]
+    if len(own) < 2:
+        return {}
+    return {t: (share, {i + a for i in places}) for t, (share, places) in stated(words[a:b], [i - a for i in own]).items()}
 
 
 def scan_text(model: Model, text: str | None) -> tuple[int, list[dict]]:
     """Number of paragraphs and what states a license: start, family, probability, similarity, confirmed."""
     n, found, text = 0, [], text or ""
-    seen = set()
-    for start, words in paragraphs_of(text):
-        n += bool(words)
-        if not words or model.sure and model.signal.isdisjoint(words):
-            continue
-        family, p = model.predict(words)
-        if family == UNKNOWN:
-            continue
-        near = similarity(family, words)
-        if (start, family) in seen:
+    for run in runs_of(text):
+        words = [w for _, own in run for w in own]
+        marks, at, seen = marks_of(words), 0, set()
+        # Places of the confirmed families' templates: a notice that a line or a window before states counts once.
+        had: dict[str, set[int]] = {}
+        for start, own in run:
+            for a, b in windows(len(own)):
+                n += 1
+                hits = _hits(words, marks, at + a, at + b)
+                for f in _scan_words(model, start, own[a:b], hits):
+                    if (start, f["family"]) not in seen:
+                        found.append(f)
+                    if f["confirmed"]:
+                        seen.add((start, f["family"]))
+                        had.setdefault(f["family"], set()).update(*(places for (family, _), (_, places) in hits.items() if family == f["family"]))
+            at += len(own)
+        if len(run) == 1 or len(marks) < 2:
             continue
-        if near >= SIMILARITY:
-            seen.add((start, family))
-        found.append({"start": start, "family": family, "probability": p, "similarity": near, "confirmed": near >= SIMILARITY})
+        line = [start for start, own in run for _ in own]
+        for a, b in windows(len(words)):
+            hits = _hits(words, marks, a, b)
+            p = model.probabilities(words[a:b]) if hits else None
+            for (family, _), (share, places) in hits.items():
+                own_p = float(p[model.families.index(family)])
+                if own_p < FLOOR:
+                    continue
+                before = had.setdefault(family, set())
+                if before.isdisjoint(places):
+                    found.append({"start": line[min(places)], "family": family, "probability": own_p, "similarity": share, "confirmed": True})
+                before |= places
     return n, found
 
 

@@ -66,3 +66,48 @@ def test_query_finds_the_notices(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in li.op5_license_scan(spark, sf).collect():
         assert r.families == ",".join(sorted({f for m, f in marks.items() if m in texts[r.doc_id]}))
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+APACHE = """Licensed under the Apache License,
+Version 2.0 (the "License"); you may not use this
+file except in compliance with the License.
+You may obtain a copy of the License at"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+LGPL = GPL.replace("program", "library").replace("GNU General", "GNU Lesser General")
+FILLER = "The first line of a story about rivers and boats.\n" * 20
+
+
+def confirmed(model, text):
+    return sorted(f["family"] for f in li.scan_text(model, text)[1] if f["confirmed"])
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", "dnl ", "REM "])
+@pytest.mark.parametrize("text, family", [(MIT, "mit"), (BSD, "bsd"), (APACHE, "apache"), (GPL, "gpl"), (AGPL, "agpl"), (LGPL, "lgpl")])
+def test_wrapped_notices_are_found(model, text, family, mark):
+    lines = "\n".join(mark + line for line in text.split("\n"))
+    assert confirmed(model, f"{mark}Copyright (c) 2020 Jo\n{mark}\n{lines}") == [family]
+    assert confirmed(model, FILLER + lines + "\n" + FILLER) == [family]
+    start = li.scan_text(model, FILLER + lines)[1][-1]["start"]
+    assert start == len(FILLER)
+
+
+def test_dual_notices_are_found(model):
+    assert confirmed(model, f"{APACHE}\n{MIT}") == ["apache", "mit"]
+    assert confirmed(model, f"{GPL}\n\n{MIT}") == ["gpl", "mit"]
+    assert confirmed(model, "Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["apache", "mit"]
+    assert confirmed(model, "Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.") == ["cc-by", "cc-by-nc"]
