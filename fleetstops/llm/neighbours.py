@@ -7,7 +7,7 @@ the axes), and what stands there is ranked by exact Euclidean distance in double
 
 Equal vectors are one point with its smallest ids (one more than neighbours asked for: no larger id can be among the
 nearest), found by a ranked window that keeps so many rows a task before it shuffles; so any number of copies is one
-point. A bucket with many points or queries is split into blocks that meet each other, block by block, and only a
+point. Points have numbers of their own, as different vectors may share their least id. A bucket with many points or queries is split into blocks that meet each other, block by block, and only a
 query's best points of each block leave it. A query that its buckets leave short of neighbours looks into all buckets
 of one table, which is an exact scan.
 
@@ -175,7 +175,7 @@ _NO_ID = np.iinfo(np.int64).max
 
 
 def _search(base: DataFrame, asked: DataFrame, how: tuple, nearest: int, scan: bool) -> DataFrame:
-    """(query, rep, ids, score): for each asked vector (column query its number) the best points of each block."""
+    """(query, point, rep, ids, score): for each asked vector (column query its number) the best points of each block."""
     own = materialize(_placed(base, how, None), "buckets")
     if scan:
         own = own.filter(F.col("cell").bitwiseAND((1 << 48) - 1) < (1 << 40))
@@ -183,16 +183,16 @@ def _search(base: DataFrame, asked: DataFrame, how: tuple, nearest: int, scan: b
     sizes = look.groupBy("cell").agg(F.count(F.lit(1)).alias("q")).join(own.groupBy("cell").agg(F.count(F.lit(1)).alias("p")), "cell")
     blocks = sizes.select("cell", F.ceil(F.col("p") / F.lit(BLOCK_POINTS)).cast("int").alias("ps"), F.ceil(F.col("q") / F.lit(BLOCK_QUERIES)).cast("int").alias("qs"))
     blocks = materialize(blocks, "blocks")
-    mine = {"p": F.pmod(F.xxhash64("rep"), F.col("ps")).cast("int"), "q": F.pmod(F.xxhash64("query"), F.col("qs")).cast("int")}
+    mine = {"p": F.pmod(F.xxhash64("point"), F.col("ps")).cast("int"), "q": F.pmod(F.xxhash64("query"), F.col("qs")).cast("int")}
     each = {k: F.explode(F.sequence(F.lit(0), F.col(f"{k}s") - 1)) for k in "pq"}
     a = own.join(blocks, "cell").withColumn("pb", mine["p"]).withColumn("qb", each["q"])
     b = look.join(blocks, "cell").withColumn("qb", mine["q"]).withColumn("pb", each["p"])
-    a = a.select("cell", "pb", "qb", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("query"), "rep", "vector", "ids")
-    b = b.select("cell", "pb", "qb", F.lit(0).alias("kind"), "query", F.lit(None).cast("long").alias("rep"), "vector", F.lit(None).cast("array<bigint>").alias("ids"))
+    a = a.select("cell", "pb", "qb", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("query"), "point", "rep", "vector", "ids")
+    b = b.select("cell", "pb", "qb", F.lit(0).alias("kind"), "query", *(F.lit(None).cast("long").alias(c) for c in ("point", "rep")), "vector", F.lit(None).cast("array<bigint>").alias("ids"))
     tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = a.unionByName(b).repartition(tasks, "cell", "pb", "qb").sortWithinPartitions("cell", "pb", "qb", "kind")
     ship(base.sparkSession)
-    schema = "query long, rep long, ids array<bigint>, score double"
+    schema = "query long, point long, rep long, ids array<bigint>, score double"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -207,7 +207,8 @@ def _search(base: DataFrame, asked: DataFrame, how: tuple, nearest: int, scan: b
                 at.append(places)
                 scores.append(exact)
             at = pa.array(np.concatenate(at))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(took)), part.column("rep").take(at), part.column("ids").take(at), pa.array(np.concatenate(scores))], schema=arrow)
+            own = [part.column(c).take(at) for c in ("point", "rep", "ids")]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(took)), *own, pa.array(np.concatenate(scores))], schema=arrow)
 
         for batch in batches:
             marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "pb", "qb", "kind")])
@@ -232,7 +233,7 @@ def _search(base: DataFrame, asked: DataFrame, how: tuple, nearest: int, scan: b
 
 def _best(found: DataFrame, nearest: int) -> DataFrame:
     """(query, score, vec_id, place): each query's nearest + 1 rows, ties to the smaller id."""
-    rows = found.groupBy("query", "rep").agg(F.min(F.struct("score", "ids")).alias("r")).select("query", "rep", "r.score", "r.ids")
+    rows = found.groupBy("query", "point").agg(F.min(F.struct("score", "rep", "ids")).alias("r")).select("query", "r.*")
     nearer = Window.partitionBy("query").orderBy("score", F.col("rep").asc_nulls_last())
     rows = rows.withColumn("n", F.row_number().over(nearer)).filter(F.col("n") <= nearest + 1)
     rows = rows.select("query", "score", F.explode("ids").alias("vec_id"))
@@ -246,7 +247,8 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, table
     Columns: query_id, rank (from 1), vec_id, score (Euclidean distance).
     """
     how = (tables, functions, probes, seed)
-    base = materialize(points(vectors.filter(usable(F.col("vector"))), nearest), "points")
+    base = points(vectors.filter(usable(F.col("vector"))), nearest)
+    base = materialize(base.withColumn("point", F.monotonically_increasing_id()), "points")
     rows = materialize(queries.filter(usable(F.col("vector"))).withColumn("row", F.monotonically_increasing_id()), "queries")
     # Equal query vectors are asked once, under the number of one of their rows.
     asked = rows.groupBy("vector").agg(F.min("row").alias("query"))

@@ -64,6 +64,20 @@ def test_short_answers_are_filled_by_an_exact_scan(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(brute(rows, rows[:2]))
 
 
+@pytest.mark.parametrize("probes", [16, 1])  # all buckets; an exact scan where they leave a query short
+def test_different_vectors_under_one_id_and_under_null(spark, probes, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK_POINTS", 7)
+    rng = random.Random(6)
+    ids = [0, 100, *[5] * 6, *[None] * 6, 0] if probes == 1 else [0, 100, *[5] * 30, *[None] * 30, 0, 100, *range(200, 205)]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in ids]
+    rows += [(None, rows[3][1]), (5, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    queries = [(i, v) for i, v in rows if i is not None and i % 100 == 0]
+    tables = 2 if probes == 16 else 1
+    got = nb.search(df, df.filter("vec_id % 100 = 0"), tables=tables, probes=probes).collect()
+    assert sorted(map(str, ((r.query_id, r.rank, r.vec_id, r.score) for r in got))) == sorted(map(str, brute(rows, queries)))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, vector array<float>")
     assert nb.search(df, df).count() == 0
