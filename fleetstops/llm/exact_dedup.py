@@ -3,7 +3,7 @@
 The index is an external Parquet table ``(digest, keep_id)`` bucketed and sorted by ``digest``. A batch is
 reduced to one row per digest (combined before the shuffle, so a text held by a third of all rows costs one row
 a task), joined with the index by a sort-merge anti-join in which only the batch moves, and what is new is
-appended to the index.
+appended to the index. The index's folder holds its number of buckets (in RECORD, which table reads pass over).
 
 Cases: null text counts as empty; texts are equal when they are after runs of white space become one space; of
 equal texts the row with the smallest doc_id stays (null ids last; among equal ids one row); a batch text that
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +23,23 @@ from .common import SPACE, keep_rows, materialize, shared_path, table
 #: Buckets of a new index, where its maker states none. A bucket should fit a task's memory, and with no fewer buckets
 #: than shuffle partitions Spark moves the batch to the index's buckets and leaves the index where it is.
 BUCKETS = 32
+RECORD = "_buckets"
 
 
-def session_buckets(spark: SparkSession) -> int:
-    """Buckets for a new index that match the session's shuffles."""
-    return max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def made_with(spark: SparkSession, path: str) -> int | None:
+    """The number of buckets that the index in folder ``path`` was made with; None where none is recorded."""
+    try:
+        rows = spark.read.schema("buckets int").parquet(f"{path.rstrip('/')}/{RECORD}").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows[0]["buckets"] if rows else None
+
+
+def session_buckets(spark: SparkSession, path: str | None = None) -> int:
+    """The buckets of the index in folder ``path``; for a new index, what matches the session's shuffles."""
+    return path and made_with(spark, path) or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def digest(text: Column) -> Column:
@@ -37,14 +50,24 @@ def digest(text: Column) -> Column:
 def open_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> str:
     """Register the index that lives (or will live) in folder ``path``; returns its table name.
 
-    The folder outlives the session; ``buckets`` must be what the index was made with.
+    The folder outlives the session; ``buckets`` must be what the index was made with, else a ValueError is raised.
     """
+    made = made_with(spark, path)
+    if made not in (None, int(buckets)):
+        raise ValueError(f"the index in {path} has {made} buckets, not {buckets}")
     name = f"digest_index_{uuid.uuid4().hex}"
     place = path.replace("'", "\\'")
     spark.sql(
         f"CREATE TABLE {name} (digest STRING, keep_id BIGINT) USING parquet "
         f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{place}'"
     )
+    if made is None:
+        if not spark.table(name).isEmpty():
+            spark.sql(f"DROP TABLE {name}")
+            raise ValueError(f"the index in {path} has rows but no number of buckets")
+        # An empty index: made here.
+        one = spark.range(0, 1, 1, 1).select(F.lit(int(buckets)).alias("buckets"))
+        one.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{RECORD}")
     return name
 
 

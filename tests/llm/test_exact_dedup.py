@@ -65,3 +65,29 @@ def test_anti_join_moves_the_batch_only(spark, odd, index):
 def test_empty(none, index):
     assert ed.dedup(none, index, 4).count() == 0
     assert ed.keep_new(none, index, 4).count() == 0
+
+
+def test_index_reopened_under_another_shuffle_setting(spark):
+    path, key = shared_path(spark, "index"), "spark.sql.shuffle.partitions"
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id long, text string")
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "40")
+        n = ed.session_buckets(spark)
+        assert ed.keep_new(docs, ed.open_index(spark, path, n), n).count() == 200
+        spark.conf.set(key, "61")
+        with pytest.raises(ValueError, match="40 buckets, not 61"):
+            ed.open_index(spark, path, ed.session_buckets(spark))
+        n = ed.session_buckets(spark, path)
+        index = ed.open_index(spark, path, n)
+        assert n == 40 and spark.table(index).count() == 200
+        assert ed.keep_new(docs, index, n).count() == 0
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_index_without_its_number_of_buckets_is_refused(spark):
+    path = shared_path(spark, "index")
+    spark.createDataFrame([("x", 1)], "digest string, keep_id long").write.parquet(path)
+    with pytest.raises(ValueError, match="no number of buckets"):
+        ed.open_index(spark, path, 4)
