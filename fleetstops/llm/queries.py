@@ -3,6 +3,7 @@
 from .byte_bpe import op7_byte_bpe
 from .chat import op1_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .licences import op5_license_scan
 from .mixing import OP2_SQL, op2_mix_sources
 from .neighbours import op8_neighbours
@@ -22,9 +23,11 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 SQL = {
     "op2_mix_sources": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
