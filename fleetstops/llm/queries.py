@@ -7,6 +7,7 @@ from .filter_audit import OP12_SQL, op12_filter_audit
 from .licences import op5_license_scan
 from .mixing import OP2_SQL, op2_mix_sources
 from .neighbours import op8_neighbours
+from .periodic import op13_periodic_runs
 from .simhash import op4_simhash
 from .token_counts import op10_token_counts
 from .token_files import op3_token_files
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
     "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL = {
