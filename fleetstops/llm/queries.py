@@ -9,6 +9,7 @@ from .mixing import OP2_SQL, op2_mix_sources
 from .neighbours import op8_neighbours
 from .periodic import op13_periodic_runs
 from .simhash import op4_simhash
+from .suffix_dedup import op11_suffix_dedup
 from .token_counts import op10_token_counts
 from .token_files import op3_token_files
 from .toxicity import op9_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_filter_audit": op12_filter_audit,
     "op13_periodic_runs": op13_periodic_runs,
 }
