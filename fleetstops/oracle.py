@@ -21,6 +21,7 @@ from .registry import (
     LOOK_BACK_MIN,
     PAGE_ROWS,
     QUERY_TIME,
+    QUERY_TIMES,
     RANGE_LOWER,
     RANGE_UPPER,
     TOP_K,
@@ -155,9 +156,8 @@ stops AS (
   WHERE stopped_for > 300 AND stopped_for < 7200)"""
 
 DETAIL = f"""WITH {READINGS},
-r AS (SELECT * FROM readings WHERE {IN_RANGE}),
-{ENDS.format(src='r')},
-{LM_GAP.format(src='r')},
+{ENDS.format(src='readings')},
+{LM_GAP.format(src='readings')},
 stops AS (
   SELECT report_time, vehicle_tag, stopped_for FROM (
     SELECT *, {_t(T1, 'report_time', 'last_moving_time')} AS stopped_for FROM lm)
@@ -177,15 +177,19 @@ stop_times AS (
 _QT = f"TIMESTAMP '{QUERY_TIME}'"
 _BEGIN = f"({_QT} - INTERVAL {LOOK_BACK_MIN} MINUTE)"
 
-LOOK_BACK = f"""WITH {READINGS},
+
+def _look_back(query_time: str) -> str:
+    """Stops listed at a query time (a SQL expression), from the look-back range alone."""
+    begin = f"({query_time} - INTERVAL {LOOK_BACK_MIN} MINUTE)"
+    return f"""WITH {READINGS},
 window_stop_ends AS (
   SELECT vehicle_tag, report_time FROM (
     SELECT vehicle_tag, report_time, speed,
            lead(speed, 1) OVER (PARTITION BY vehicle_tag ORDER BY report_time) AS next_speed
-    FROM readings WHERE report_time BETWEEN {_BEGIN} AND {_QT})
+    FROM readings WHERE report_time BETWEEN {begin} AND {query_time})
   WHERE speed = 0 AND next_speed > 0),
 window_moving AS (
-  SELECT vehicle_tag, report_time FROM readings WHERE report_time BETWEEN {_BEGIN} AND {_QT} AND speed > 0),
+  SELECT vehicle_tag, report_time FROM readings WHERE report_time BETWEEN {begin} AND {query_time} AND speed > 0),
 window_last_moving AS (
   SELECT s.vehicle_tag, s.report_time AS stopped_at, max(m.report_time) AS stopped_since
   FROM window_stop_ends s JOIN window_moving m ON s.vehicle_tag = m.vehicle_tag
@@ -194,7 +198,10 @@ listed AS (
   SELECT st.vehicle_tag AS veh_tag, avl.train_assignment AS train_asng, st.stopped_at,
          {_t(T3, 'st.stopped_at', 'st.stopped_since')} AS stopped_for, avl.latitude AS lat, avl.longitude AS lon
   FROM window_last_moving st JOIN readings avl ON st.vehicle_tag = avl.vehicle_tag AND st.stopped_at = avl.report_time
-  WHERE avl.report_time BETWEEN {_BEGIN} AND {_QT})"""
+  WHERE avl.report_time BETWEEN {begin} AND {query_time})"""
+
+
+LOOK_BACK = _look_back(_QT)
 
 VEH = f"""WITH {READINGS},
 v AS (SELECT * FROM readings WHERE vehicle_tag = '{VEHICLE}')"""
@@ -202,6 +209,8 @@ v AS (SELECT * FROM readings WHERE vehicle_tag = '{VEHICLE}')"""
 MIN_LEN = 60 * HIST_MIN_MIN
 MAX_LEN = 60 * HIST_MAX_MIN
 
+LISTED_AT = "\nUNION ALL\n".join(f"(SELECT {at} AS query_time, * FROM ({_look_back(at)} SELECT * FROM listed))" for at in (f"TIMESTAMP '{t}'" for t in QUERY_TIMES))
+
 SQL: dict[str, str] = {
     # composite questions
     "stopped_vehicles": f"{FLEET} SELECT * FROM stops",
@@ -254,6 +263,17 @@ vehicle_stops AS (
 SELECT sa.report_time, sa.latitude, sa.longitude, {_t(T3, 'vs.stopped_at', 'vs.stopped_since')} AS stopped_for
 FROM v sa JOIN vehicle_stops vs ON sa.report_time = vs.stopped_at
 ORDER BY stopped_for DESC""",
+    # functions called from SQL text
+    "sql_list_stopped_vehicles": f"{LOOK_BACK} SELECT * FROM listed",
+    "sql_stopped_at_times": LISTED_AT,
+    "sql_stops_between": f"""{STOP_TIMES}
+SELECT st.vehicle_tag, st.stopped_at, st.stopped_for, round(st.stopped_for / 60.0::DOUBLE, 1) AS minutes,
+       st.stopped_at - INTERVAL 30 MINUTE AS half_hour_before, 'vehicle ' || st.vehicle_tag AS label
+FROM stop_times st WHERE st.stopped_at BETWEEN TIMESTAMP '{WINDOW_LOWER}' AND TIMESTAMP '{WINDOW_UPPER}'""",
+    "sql_time_diff": f"""{STOP_TIMES}
+SELECT stopped_at, stopped_for AS exact, {_t(T1, 'stopped_at', 'stopped_since')} AS clock,
+       CAST({_t(T2, 'stopped_at', 'stopped_since')} AS BIGINT) AS truncated
+FROM stop_times WHERE vehicle_tag = '{VEHICLE}'""",
     # cleaning
     "drop_blank_lines": f"WITH {RAW} SELECT value FROM nonblank",
     "strip_header": f"WITH {RAW} SELECT value FROM cleaned",

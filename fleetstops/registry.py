@@ -24,6 +24,7 @@ from .plans import current as CUR
 from .plans import fleet as FL
 from .plans import history as HI
 from .plans import ingestion as IN
+from .plans import sql_functions as SF
 from .plans import vehicle as VH
 from .sources import bindings as B
 
@@ -33,6 +34,7 @@ DATA_UPPER = "2024-02-01 00:00:00"
 RANGE_LOWER = "2024-01-10 00:00:00"
 RANGE_UPPER = "2024-01-12 00:00:00"
 QUERY_TIME = "2024-01-15 12:00:00"
+QUERY_TIMES = ("2024-01-06 00:00:00", QUERY_TIME, "2024-01-25 18:30:00")
 LOOK_BACK_MIN = 4320
 HOUR = 16
 HOUR_MIN_S, HOUR_MAX_S = 600, 3600
@@ -56,7 +58,7 @@ def _staging(spark, sf):
 
 
 def _detail(spark, sf):
-    return FL.stops_detail(_r(spark, sf), DATA_LOWER, DATA_UPPER)
+    return FL.stops_detail(_r(spark, sf))
 
 
 def _stop_lengths(spark, sf, fn, dtype_arg: bool):
@@ -481,6 +483,41 @@ def q_find_last_stopped_nulls(spark, sf):
     return ST.find_last_stopped(_with_nulls(_r(spark, sf).select("reading_id", "vehicle_tag", "report_time", "speed")))
 
 
+# --- S15 / U1–U3: questions as SQL text over registered functions --------------------
+
+
+def q_sql_list_stopped_vehicles(spark, sf):
+    """The look-back question as a table function that SQL text calls."""
+    SF.register_functions(spark, _r(spark, sf))
+    return spark.sql(f"SELECT * FROM list_stopped_vehicles(TIMESTAMP_NTZ'{QUERY_TIME}', {LOOK_BACK_MIN})")
+
+
+def q_sql_stopped_at_times(spark, sf):
+    """U3 called once for each row of a table of query times."""
+    SF.register_functions(spark, _r(spark, sf))
+    times = ", ".join(f"(TIMESTAMP_NTZ'{t}')" for t in QUERY_TIMES)
+    return spark.sql(f"SELECT q.query_time, s.* FROM VALUES {times} AS q(query_time), LATERAL list_stopped_vehicles(q.query_time, {LOOK_BACK_MIN}) AS s")
+
+
+def q_sql_stops_between(spark, sf):
+    """Z5 as a table function, with the scalar functions over its rows."""
+    SF.register_functions(spark, _r(spark, sf))
+    return spark.sql(
+        "SELECT vehicle_tag, stopped_at, stopped_for, minutes_stopped(stopped_for) AS minutes, "
+        "look_back_start(stopped_at, 30) AS half_hour_before, kept_text(concat('vehicle ', vehicle_tag)) AS label "
+        f"FROM stops_between(TIMESTAMP_NTZ'{WINDOW_LOWER}', TIMESTAMP_NTZ'{WINDOW_UPPER}')"
+    )
+
+
+def q_sql_time_diff(spark, sf):
+    """The three stop lengths of one vehicle's stops, from SQL text."""
+    SF.register_functions(spark, _r(spark, sf))
+    return spark.sql(
+        "SELECT stopped_at, TimeDiff(stopped_since, stopped_at) AS exact, stop_seconds(stopped_since, stopped_at) AS clock, "
+        f"stop_seconds_truncated(stopped_since, stopped_at) AS truncated FROM stops_of_vehicle('{VEHICLE}')"
+    )
+
+
 QUERIES: dict[str, Query] = {
     # composite questions
     "stopped_vehicles": q_stopped_vehicles,
@@ -551,6 +588,11 @@ QUERIES: dict[str, Query] = {
     "current_stops_page": q_current_stops_page,
     "history_page": q_history_page,
     "heat_page": q_heat_page,
+    # functions called from SQL text
+    "sql_list_stopped_vehicles": q_sql_list_stopped_vehicles,
+    "sql_stopped_at_times": q_sql_stopped_at_times,
+    "sql_stops_between": q_sql_stops_between,
+    "sql_time_diff": q_sql_time_diff,
     # scalar functions
     "stop_length_seconds": q_stop_length_seconds,
     "stop_length_trunc": q_stop_length_trunc,

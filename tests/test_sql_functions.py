@@ -1,0 +1,106 @@
+"""Functions that SQL text calls: equal to the DataFrame forms, pushed filters, time zones, odd rows."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from fleetstops.functions import time as TM
+from fleetstops.plans.current import list_stopped_vehicles
+from fleetstops.plans.fleet import stop_times
+from fleetstops.plans.sql_functions import register_functions
+from fleetstops.sources import bindings as B
+
+from .conftest import SF_SMALL
+
+SCHEMA = "reading_id long, vehicle_tag string, train_assignment string, report_time timestamp_ntz, speed double, latitude double, longitude double"
+AT, BACK = "2024-01-15 12:00:00", 4320
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def readings(spark):
+    """Vehicles over three days: gaps over midnight, missing speeds, vehicles and times, fractions of seconds."""
+    rng, start, rows = random.Random(2), dt.datetime(2024, 1, 14, 3), []
+    for k in range(900):
+        at = start + dt.timedelta(seconds=k * 280 + rng.randint(0, 250), microseconds=rng.choice([0, 500_000, 1, 999_999]))
+        vehicle = None if k % 97 == 0 else f"v{rng.choice([0, 0, 0, 1, 2, 3])}"
+        rows.append((k, vehicle, rng.choice(["N", None]), None if k % 89 == 5 else at, rng.choice([0.0, 0.0, 0.0, 4.5, None]), 37.0 + k / 1e4, -122.0))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_list_stopped_vehicles_equals_the_dataframe_form(spark, readings):
+    register_functions(spark, readings)
+    want = rows_of(list_stopped_vehicles(readings, AT, BACK))
+    assert len(want) > 20
+    assert rows_of(spark.sql(f"SELECT * FROM list_stopped_vehicles(TIMESTAMP_NTZ'{AT}', {BACK})")) == want
+    assert spark.sql(f"SELECT * FROM list_stopped_vehicles(NULL, {BACK})").count() == 0
+    assert spark.sql(f"SELECT * FROM list_stopped_vehicles(TIMESTAMP_NTZ'{AT}', -5)").count() == 0
+
+
+def test_lateral_call_for_several_times(spark, readings):
+    register_functions(spark, readings, prefix="t_", view="t_readings")
+    times = ["2024-01-14 18:00:00", "2024-01-15 00:30:00", "2024-01-16 23:00:00"]
+    values = ", ".join(f"(TIMESTAMP_NTZ'{t}')" for t in times)
+    got = spark.sql(f"SELECT q.at, s.* FROM VALUES {values} AS q(at), LATERAL t_list_stopped_vehicles(q.at, 600) AS s")
+    want = [(dt.datetime.fromisoformat(t), *r) for t in times for r in rows_of(list_stopped_vehicles(readings, t, 600))]
+    assert want and rows_of(got) == sorted(want, key=repr)
+
+
+def test_whole_history_functions(spark, readings):
+    register_functions(spark, readings)
+    all_stops = stop_times(readings, with_location=True)
+    one = all_stops.filter("vehicle_tag = 'v1'").select("stopped_at", "stopped_since", "stopped_for", "latitude", "longitude")
+    assert rows_of(spark.sql("SELECT * FROM stops_of_vehicle('v1')")) == rows_of(one)
+    lo, hi = "2024-01-15 00:00:00", "2024-01-15 12:00:00"
+    part = all_stops.filter(F.col("stopped_at").between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")))
+    got = spark.sql(f"SELECT * FROM stops_between(TIMESTAMP_NTZ'{lo}', TIMESTAMP_NTZ'{hi}')")
+    assert rows_of(got) == rows_of(part.select("vehicle_tag", "stopped_at", "stopped_for", "latitude", "longitude"))
+
+
+def test_scalar_functions_equal_column_forms(spark, readings):
+    register_functions(spark, readings)
+    rng, base = random.Random(1), dt.datetime(2024, 3, 9)
+    pairs = [(base + dt.timedelta(microseconds=rng.randint(0, 3 * 86_400_000_000)), base + dt.timedelta(microseconds=rng.randint(0, 3 * 86_400_000_000))) for _ in range(300)]
+    pairs += [(base, base + dt.timedelta(seconds=k, microseconds=500_000)) for k in range(-3, 4)] + [(None, base)]
+    df = spark.createDataFrame(pairs, "a timestamp_ntz, b timestamp_ntz")
+    df.createOrReplaceTempView("pairs")
+    got = spark.sql("SELECT a, b, TimeDiff(a, b), stop_seconds(a, b), stop_seconds_truncated(a, b), minutes_stopped(stop_seconds(a, b)) FROM pairs")
+    kind = df.schema["a"].dataType
+    seconds = TM.stop_length_seconds("b", "a")
+    want = df.select("a", "b", TM.stop_length_rounded("b", "a", kind), seconds, TM.stop_length_trunc("b", "a", kind), TM.minutes_stopped(seconds))
+    assert rows_of(got) == rows_of(want)
+    text = spark.sql(f"SELECT kept_text(repeat('é', 60)), without_head('abcdef', 2), look_back_start(TIMESTAMP_NTZ'{AT}', 90)").first()
+    assert tuple(text) == ("é" * 49, "cdef", dt.datetime(2024, 1, 15, 10, 30))
+
+
+def test_results_do_not_depend_on_the_time_zone(spark):
+    """Over the night in which clocks change, wall-clock lengths stay."""
+    rows = [(1, "v", None, dt.datetime(2024, 3, 10, 1, 50), 5.0, 1.0, 1.0), (2, "v", None, dt.datetime(2024, 3, 10, 3, 10), 0.0, 1.0, 1.0), (3, "v", None, dt.datetime(2024, 3, 10, 3, 11), 5.0, 1.0, 1.0)]
+    readings = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            register_functions(spark, readings)
+            assert [r.stopped_for for r in spark.sql("SELECT * FROM stops_of_vehicle('v')").collect()] == [4800]
+            assert spark.sql("SELECT stop_seconds(TIMESTAMP_NTZ'2024-03-10 01:50:00', TIMESTAMP_NTZ'2024-03-10 03:10:00')").first()[0] == 4800
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_constant_arguments_reach_the_scan(spark):
+    register_functions(spark, B.readings(spark, SF_SMALL))
+    plan = spark.sql(f"SELECT * FROM list_stopped_vehicles(TIMESTAMP_NTZ'{AT}', {BACK})")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("GreaterThanOrEqual(ts,2024-01-12T12:00)") == plan.count("LessThanOrEqual(ts,2") == plan.count("FileScan") == 2
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "props" not in plan
+
+
+def test_empty_readings(spark):
+    register_functions(spark, spark.createDataFrame([], SCHEMA))
+    for call in (f"list_stopped_vehicles(TIMESTAMP_NTZ'{AT}', 5)", "stops_of_vehicle('v')", f"stops_between(TIMESTAMP_NTZ'{AT}', TIMESTAMP_NTZ'{AT}')"):
+        assert spark.sql(f"SELECT * FROM {call}").count() == 0
