@@ -3,34 +3,48 @@
 Question per open stop end s: the latest moving reading m of the same
 vehicle with ``m.time < s.time`` and ``m.id >= L`` where ``L = s.id - gap + 1``.
 
-Where only answers younger than ``max_s`` seconds matter, :func:`resolve_in_chunks` meets each open stop end with the
-moving readings of its vehicle's chunk and, near its beginning, of the chunk before: an equality join, at most two
-chunks of one vehicle for each open stop end.
-
-Without such a limit that is a two-sided (time, id) dominance query; answering it by joining each s
-with every earlier moving reading is exactly the quadratic join to avoid.
-:func:`resolve_undecided` instead cuts the id condition into aligned id blocks ("dyadic" decomposition):
-``id >= L`` is the union, over every bit k that is 0 in ``L - 1``, of the block
-of ids whose top bits equal ``((L - 1) >> k) + 1`` at level k. Every moving
-reading belongs to one block per level. Inside one (vehicle, level, block) the
-remaining question is one-sided — latest moving reading strictly earlier in
-time — which the chunked history scan answers. The answer for s is the maximum
-over its (at most 63) blocks. Ids are counted from the least ``L - 1`` of the vehicle's open stop ends, so
-they may be negative and the number of levels follows the range of ids, not their size.
-
-Work: each open stop end makes one row per level; each moving reading
-of an affected vehicle, inside the affected time and id range, makes one row per
-level, and only rows whose block some stop end asks for are kept. No pair of
-readings is ever formed.
+Of the scan's pieces (vehicle, chunk) at most two can hold the answer:
+
+* the piece of s itself;
+* outside it every moving reading of an earlier piece is earlier in time, so only ids count: the latest earlier piece
+  whose largest moving id reaches L holds an answer, and no older piece a later one. With a limit ``max_s`` on the
+  stop's length it is the piece ``max_s`` seconds before, or none.
+
+So each open stop end asks for one or two pieces, and meets their readings in an equality join on (vehicle, chunk)
+with the scan's own shuffle. The largest ids come from one summary row a piece, over the same shuffle. Where ids
+follow time nothing is open, which Spark finds at run time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tuning import CHUNK_SECONDS
-from .scan import PART, chunk_of, history_scan
+from .scan import PART, chunk_of
+
+
+def _asked(undecided: DataFrame, gap: int, *, key: str, time: str, rid: str, chunk_seconds: int) -> DataFrame:
+    return undecided.select(
+        F.col(key).alias("_g_v"),
+        F.col(time).alias("_g_end"),
+        (F.col(rid) - F.lit(int(gap))).alias("_g_below"),  # ids above this one count
+        chunk_of(F.col(time), chunk_seconds).alias("_g_c"),
+    )
+
+
+def _latest_in(asked: DataFrame, dealt: DataFrame, near: Column, counts: Column, *, key: str, time: str, rid: str) -> DataFrame:
+    """(key, time, found): the latest moving reading of the asked pieces that passes the id bound and ``near``.
+
+    ``counts`` is asked of joined pairs only: pushed down, it would make another shuffle of what the scan has dealt.
+    """
+    passes = (F.col(time) < F.col("_g_end")) & (F.col(rid) > F.col("_g_below")) & near
+    met = asked.join(dealt, PART).filter(F.when(passes, counts))
+    return met.groupBy(F.col(f"{PART}.k").alias(key), F.col("_g_end").alias(time)).agg(F.max(F.col(time)).alias("found"))
+
+
+def _part(chunk: Column) -> Column:
+    return F.struct(F.col("_g_v").alias("k"), chunk.alias("c")).alias(PART)
 
 
 def resolve_in_chunks(
@@ -38,23 +52,13 @@ def resolve_in_chunks(
 ) -> DataFrame:
     """(key, time, found) for each open stop end with an answer younger than ``max_s`` seconds.
 
-    ``dealt``: readings as :func:`fleetstops.operators.scan.deal` gives them; ``counts`` says which are moving. It is
-    asked of joined pairs only: pushed down, it would make another shuffle of what the scan has dealt already.
+    ``dealt``: readings as :func:`fleetstops.operators.scan.deal` gives them; ``counts`` says which are moving.
     """
-    chunk = chunk_of(F.col(time), chunk_seconds)
-    before = chunk_of(F.col(time) - F.make_dt_interval(secs=F.lit(max_s).cast("decimal(18,6)")), chunk_seconds)
-    asked = undecided.withColumn("_g_c", F.explode(F.sequence(before, chunk)))
-    asked = asked.select(F.struct(F.col(key).alias("k"), F.col("_g_c").alias("c")).alias(PART), F.col(key), F.col(time).alias("_g_end"), F.col(rid).alias("_g_of"))
-    near = (
-        (F.col(time) < F.col("_g_end"))
-        & (F.col(time) > F.col("_g_end") - F.make_dt_interval(secs=F.lit(max_s + 1).cast("decimal(18,6)")))
-        & (F.col(rid) > F.col("_g_of") - F.lit(int(gap)))
-    )
-    met = asked.join(dealt, PART).filter(F.when(near, counts))
-    return met.groupBy(F.col(key), F.col("_g_end").alias(time)).agg(F.max(F.col(time)).alias("found"))
-
-
-MAX_LEVEL = 62
+    asked = _asked(undecided, gap, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds)
+    ago = lambda s: F.col("_g_end") - F.make_dt_interval(secs=F.lit(s).cast("decimal(18,6)"))
+    pieces = F.explode(F.sequence(chunk_of(ago(max_s), chunk_seconds), F.col("_g_c")))
+    asked = asked.withColumn("_g_p", pieces).select(_part(F.col("_g_p")), "_g_end", "_g_below")
+    return _latest_in(asked, dealt, F.col(time) > ago(max_s + 1), counts, key=key, time=time, rid=rid)
 
 
 def resolve_undecided(
@@ -68,48 +72,15 @@ def resolve_undecided(
     rid: str = "reading_id",
     chunk_seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
-    """(key, time, found) for each open stop end that has an answer; ``dealt`` and ``counts`` as above.
-
-    The open stop ends are dealt by vehicle once; all three uses of them need the same columns, so that Spark makes
-    them once.
-    """
-    q = undecided.select(F.col(key).alias("_g_v"), F.col(time).alias("_g_t"), (F.col(rid) - F.lit(int(gap))).alias("_g_lm1")).repartition(F.col("_g_v"))
-    bounds = {"_g_minl": F.min("_g_lm1"), "_g_maxl": F.max("_g_lm1"), "_g_maxt": F.max("_g_t")}
-    stats = q.groupBy("_g_v").agg(*[f.alias(c) for c, f in bounds.items()])
-    each = Window.partitionBy("_g_v")
-    q = q.select("*", *[f.over(each).alias(c) for c, f in bounds.items() if c != "_g_maxt"])
-    # As many levels as the range of thresholds has bits.
-    levels = F.sequence(F.lit(0), F.least(F.floor(F.log2(F.col("_g_maxl") - F.col("_g_minl") + 1)).cast("int") + 1, F.lit(MAX_LEVEL)))
-    qb = (
-        q.select("_g_v", "_g_t", "_g_lm1", (F.col("_g_lm1") - F.col("_g_minl")).alias("_g_from"), F.explode(levels).alias("_g_k"))
-        .filter(F.expr("shiftright(_g_from, _g_k)") % 2 == 0)
-        .withColumn("_g_b", F.expr("shiftright(_g_from, _g_k)") + 1)
-    )
-
-    # Null-safe only so that no "is not null" is pushed down, which would make another shuffle of the dealt readings.
-    m = dealt.join(stats, F.col(f"{PART}.k").eqNullSafe(F.col("_g_v")))
-    m = m.filter(F.when((F.col(rid) > F.col("_g_minl")) & (F.col(time) < F.col("_g_maxt")), counts))
-    # Ids above every threshold pass alike: they count as the first id above the highest.
-    offset = F.least(F.col(rid), F.col("_g_maxl") + 1) - F.col("_g_minl")
-    mb = m.select("_g_v", F.col(time).alias("_g_t"), F.col(rid).alias("_g_id"), offset.alias("_g_off"), F.explode(levels).alias("_g_k"))
-    mb = mb.withColumn("_g_b", F.expr("shiftright(_g_off, _g_k)"))
-    wanted = qb.groupBy("_g_v", "_g_k", "_g_b").agg(F.max("_g_t").alias("_g_until"))
-    mb = mb.join(wanted, ["_g_v", "_g_k", "_g_b"]).filter(F.col("_g_t") < F.col("_g_until"))
-
-    blk = F.struct("_g_v", "_g_k", "_g_b").alias("_g_blk")
-    both = qb.select(blk, "_g_t", F.col("_g_lm1").alias("_g_id"), F.lit(False).alias("_g_mv")).unionByName(
-        mb.select(blk, "_g_t", "_g_id", F.lit(True).alias("_g_mv"))
-    )
-    scanned = history_scan(
-        both,
-        key="_g_blk",
-        time="_g_t",
-        speed=None,
-        rid="_g_id",
-        moving=F.col("_g_mv"),
-        keep=~F.col("_g_mv"),
-        with_next=False,
-        chunk_seconds=chunk_seconds,
-    )
-    found = scanned.filter(F.col("last_moving_time").isNotNull())
-    return found.groupBy(F.col("_g_blk._g_v").alias(key), F.col("_g_t").alias(time)).agg(F.max("last_moving_time").alias("found"))
+    """(key, time, found) for each open stop end that has an answer; ``dealt`` and ``counts`` as above."""
+    asked = _asked(undecided, gap, key=key, time=time, rid=rid, chunk_seconds=chunk_seconds)
+    # One row a piece. It looks at all columns (the hash), as the join below does, so that Spark makes the shuffle once.
+    rest = [F.col(c) for c in dealt.columns if c not in (PART, rid)]
+    tops = dealt.groupBy(PART).agg(F.max(F.when(counts, F.col(rid))).alias("_g_top"), F.max(F.hash(*rest)).alias("_g_same"))
+    tops = tops.filter(F.col("_g_same").isNotNull()).select(F.col(f"{PART}.k").alias("_g_k"), F.col(f"{PART}.c").alias("_g_t"), "_g_top")
+    reaches = (F.col("_g_t") < F.col("_g_c")) & (F.col("_g_top") > F.col("_g_below"))
+    earlier = asked.join(tops, (F.col("_g_v") == F.col("_g_k")) & (F.col("_g_t") <= F.col("_g_c")) & (reaches | (F.col("_g_t") == F.col("_g_c"))))
+    # The own piece is always among them, so that no open stop end is lost.
+    places = earlier.groupBy("_g_v", "_g_end", "_g_below", "_g_c").agg(F.max(F.when(reaches, F.col("_g_t"))).alias("_g_e"))
+    asked = places.withColumn("_g_p", F.explode(F.array_compact(F.array("_g_c", "_g_e")))).select(_part(F.col("_g_p")), "_g_end", "_g_below")
+    return _latest_in(asked, dealt, F.lit(True), counts, key=key, time=time, rid=rid)

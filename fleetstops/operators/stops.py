@@ -13,11 +13,9 @@ Exactness of the window form against the join form:
   the bound, and when *no* earlier moving reading has an id inside the bound
   (``max_moving_id`` check) the stop has no match; both are exact. Only when
   ids of a vehicle fall while time rises can m* fail while an older reading
-  passes. Such open rows meet the moving readings of their own chunk and the one
-  before (where stops longer than ``max_s`` don't count, so that no older reading
-  matters; those readings come from the scan's own shuffle), or else are answered by
-  :func:`fleetstops.operators.gap_resolve.resolve_undecided` (id blocks and the same
-  scan, no reading pairs). Both are part of the plan and start no job of their own:
+  passes. Such open rows meet the moving readings of their own chunk and of one
+  earlier chunk, which come from the scan's own shuffle
+  (:mod:`fleetstops.operators.gap_resolve`). That is part of the plan and starts no job:
   where ids follow time, the open side is empty, which Spark finds at run time.
 """
 
@@ -130,14 +128,12 @@ def _answered(flagged: DataFrame, resolve, *, key: str, time: str, rid: str) ->
     decided = F.max(F.when(~amb, F.struct(F.col("last_moving_time").alias("lm"), *others))).alias("_fs_d")
     is_open = F.min(F.when(amb, F.struct(F.col(rid).alias("low"), *others))).alias("_fs_o")
     per = flagged.groupBy(key, time).agg(decided, is_open)
-    # Each side looks at both aggregates (the second conditions always hold), so that the groups are made once.
-    d = per.filter(F.col("_fs_d").isNotNull() & (F.col("_fs_o").isNull() | (F.col("_fs_o.low") >= F.lit(-(1 << 63)))))
+    # Open groups look at both aggregates (the second condition always holds), so that the groups are made once.
     o = per.filter(F.col("_fs_o").isNotNull() & (F.col("_fs_d").isNull() | F.col("_fs_d.lm").isNotNull()))
-    d = d.select(key, time, "_fs_d")
     found = resolve(o.select(key, time, F.col("_fs_o.low").alias(rid)))
-    o = o.select(key, time, "_fs_o").join(found, [key, time])
-    o = o.select(key, time, F.struct(F.col("found").alias("lm"), *[F.col(f"_fs_o.{c}") for c in others]).alias("_fs_d"))
-    best = d.unionByName(o).groupBy(key, time).agg(F.max("_fs_d").alias("r"))
+    best = per.join(found, [key, time], "left")
+    from_open = F.when(F.col("found").isNotNull(), F.struct(F.col("found").alias("lm"), *[F.col(f"_fs_o.{c}") for c in others]))
+    best = best.select(key, time, F.greatest(F.col("_fs_d"), from_open).alias("r")).filter(F.col("r").isNotNull())
     return best.select(key, time, *[F.col(f"r.{c}") for c in others], F.col("r.lm").alias("last_moving_time"))
 
 
