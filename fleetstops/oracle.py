@@ -274,6 +274,17 @@ FROM stop_times st WHERE st.stopped_at BETWEEN TIMESTAMP '{WINDOW_LOWER}' AND TI
 SELECT stopped_at, stopped_for AS exact, {_t(T1, 'stopped_at', 'stopped_since')} AS clock,
        CAST({_t(T2, 'stopped_at', 'stopped_since')} AS BIGINT) AS truncated
 FROM stop_times WHERE vehicle_tag = '{VEHICLE}'""",
+    # tables kept batch by batch: as one pass gives them
+    "stop_times_by_batch": f"""{STOP_TIMES}
+SELECT st.*, r.latitude, r.longitude
+FROM stop_times st JOIN readings r ON st.vehicle_tag = r.vehicle_tag AND st.stopped_at = r.report_time""",
+    "stops_detail_by_batch": f"{DETAIL} SELECT * FROM detail",
+    "upsert_readings": f"WITH {READINGS}, {HOUR_KEYS}, {DEDUPED} SELECT * FROM dd",
+    "refresh_values": f"""WITH {READINGS}, {HOUR_KEYS}, {DEDUPED},
+v AS (
+  SELECT unnest(['vehicle_tag', 'train_assignment', 'heading']) AS "column",
+         unnest([vehicle_tag, train_assignment, CAST(heading AS VARCHAR)]) AS value FROM dd)
+SELECT "column", value, count(*) AS "rows" FROM v GROUP BY ALL""",
     # cleaning
     "drop_blank_lines": f"WITH {RAW} SELECT value FROM nonblank",
     "strip_header": f"WITH {RAW} SELECT value FROM cleaned",

@@ -26,6 +26,7 @@ from .plans import history as HI
 from .plans import ingestion as IN
 from .plans import sql_functions as SF
 from .plans import vehicle as VH
+from .registry_batches import QUERIES as BATCH_QUERIES
 from .sources import bindings as B
 
 # Bindings (FIXTURES.md §3).
@@ -608,4 +609,6 @@ QUERIES: dict[str, Query] = {
     "approx_diff_special": q_approx_diff_special,
     "content_diff_repeated": q_content_diff_repeated,
     "diff_with": q_diff_with,
+    # tables kept batch by batch
+    **BATCH_QUERIES,
 }

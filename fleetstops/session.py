@@ -72,6 +72,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads, in order; empty where there is no such folder."""
+    fs, where = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all below it, if it is there."""
+    fs, where = _folder(spark, path)
+    fs.delete(where, True)
+
+
 def recommended_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024**2) -> dict:
     """Settings sized for a given input (e.g. ~100 TB on a large cluster).
 
