@@ -19,6 +19,7 @@ from .registry import (
     HOUR_MAX_S,
     HOUR_MIN_S,
     LOOK_BACK_MIN,
+    NEAR_M,
     PAGE_ROWS,
     QUERY_TIME,
     QUERY_TIMES,
@@ -209,6 +210,12 @@ v AS (SELECT * FROM readings WHERE vehicle_tag = '{VEHICLE}')"""
 MIN_LEN = 60 * HIST_MIN_MIN
 MAX_LEN = 60 * HIST_MAX_MIN
 
+#: Transit stops, and a distance in metres between positions a and b, pair by pair.
+PLACES = f"""places AS (
+  SELECT CAST({LAT_TXT.replace('event_id', 's_suppkey')} AS DOUBLE) AS stop_lat, CAST({LON_TXT.replace('event_id', 's_suppkey')} AS DOUBLE) AS stop_lon FROM supplier)"""
+METRES = """2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(b.stop_lat - a.latitude) / 2), 2)
+  + cos(radians(a.latitude)) * cos(radians(b.stop_lat)) * pow(sin(radians(b.stop_lon - a.longitude) / 2), 2))))"""
+
 LISTED_AT = "\nUNION ALL\n".join(f"(SELECT {at} AS query_time, * FROM ({_look_back(at)} SELECT * FROM listed))" for at in (f"TIMESTAMP '{t}'" for t in QUERY_TIMES))
 
 SQL: dict[str, str] = {
@@ -263,6 +270,17 @@ vehicle_stops AS (
 SELECT sa.report_time, sa.latitude, sa.longitude, {_t(T3, 'vs.stopped_at', 'vs.stopped_since')} AS stopped_for
 FROM v sa JOIN vehicle_stops vs ON sa.report_time = vs.stopped_at
 ORDER BY stopped_for DESC""",
+    # places
+    "stops_away_from_transit": f"""{DETAIL}, {PLACES}
+SELECT * FROM detail a WHERE NOT EXISTS (SELECT 1 FROM places b WHERE {METRES} <= {NEAR_M})""",
+    "stops_near_transit": f"""{STOP_TIMES}, {PLACES},
+a AS (SELECT st.*, r.latitude, r.longitude FROM stop_times st JOIN readings r ON st.vehicle_tag = r.vehicle_tag AND st.stopped_at = r.report_time),
+pairs AS (SELECT vehicle_tag, stopped_at, {METRES} AS d FROM a, places b)
+SELECT vehicle_tag, stopped_at, count(*) AS places, CAST(round(min(d)) AS BIGINT) AS nearest
+FROM pairs WHERE d <= {NEAR_M} GROUP BY vehicle_tag, stopped_at""",
+    "readings_out_of_bounds": f"""WITH {READINGS}, {PLACES},
+bounds AS (SELECT min(stop_lat) AS a0, max(stop_lat) AS a1, min(stop_lon) AS o0, max(stop_lon) AS o1 FROM places)
+SELECT reading_id, latitude, longitude FROM readings, bounds WHERE NOT (latitude BETWEEN a0 AND a1 AND longitude BETWEEN o0 AND o1)""",
     # functions called from SQL text
     "sql_list_stopped_vehicles": f"{LOOK_BACK} SELECT * FROM listed",
     "sql_stopped_at_times": LISTED_AT,

@@ -17,6 +17,7 @@ from .functions import cleaning as C
 from .functions import time as TM
 from .operators import compare as CMP
 from .operators import ingest as ING
+from .operators import near as NR
 from .operators import readings as RD
 from .operators import reports as RP
 from .operators import stops as ST
@@ -44,6 +45,7 @@ VEHICLE = "7"
 WINDOW_LOWER = "2024-01-10 00:00:00"
 WINDOW_UPPER = "2024-01-20 00:00:00"
 TOP_K = 25
+NEAR_M = 250.0  # a stop this near to a transit stop is taken as one at it
 PAGE_ROWS = 6
 APPROX_TOL = 0.00005
 
@@ -484,6 +486,26 @@ def q_find_last_stopped_nulls(spark, sf):
     return ST.find_last_stopped(_with_nulls(_r(spark, sf).select("reading_id", "vehicle_tag", "report_time", "speed")))
 
 
+# --- places: stops near transit stops, out-of-range positions -------------------------
+
+
+def q_stops_away_from_transit(spark, sf):
+    """Long stops of the fleet that are not near a transit stop."""
+    return NR.near(_detail(spark, sf), B.transit_stops(spark, sf), NEAR_M, away=True)
+
+
+def q_stops_near_transit(spark, sf):
+    """All stop times near transit stops: how many are in reach, and the nearest one's distance in whole metres."""
+    stops = FL.stop_times(_r(spark, sf), with_location=True)
+    found = NR.near_counts(stops, B.transit_stops(spark, sf), NEAR_M, ["vehicle_tag", "stopped_at"])
+    return found.withColumn("nearest", F.round("nearest").cast("long"))
+
+
+def q_readings_out_of_bounds(spark, sf):
+    """Readings outside the bounds of all transit stops."""
+    return NR.inside_bounds(_r(spark, sf), B.transit_stops(spark, sf), outside=True).select("reading_id", "latitude", "longitude")
+
+
 # --- S15 / U1–U3: questions as SQL text over registered functions --------------------
 
 
@@ -589,6 +611,10 @@ QUERIES: dict[str, Query] = {
     "current_stops_page": q_current_stops_page,
     "history_page": q_history_page,
     "heat_page": q_heat_page,
+    # places
+    "stops_away_from_transit": q_stops_away_from_transit,
+    "stops_near_transit": q_stops_near_transit,
+    "readings_out_of_bounds": q_readings_out_of_bounds,
     # functions called from SQL text
     "sql_list_stopped_vehicles": q_sql_list_stopped_vehicles,
     "sql_stopped_at_times": q_sql_stopped_at_times,
