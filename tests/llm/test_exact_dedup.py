@@ -91,3 +91,55 @@ def test_index_without_its_number_of_buckets_is_refused(spark):
     spark.createDataFrame([("x", 1)], "digest string, keep_id long").write.parquet(path)
     with pytest.raises(ValueError, match="no number of buckets"):
         ed.open_index(spark, path, 4)
+
+
+def test_a_batch_that_is_run_again_gives_the_same_rows(spark, odd, index):
+    """Its result was lost after the index had its digests: nothing is lost, nothing is added twice."""
+    first = Counter(map(tuple, ed.dedup(odd, index, 4, "b1").collect()))
+    held = spark.table(index).count()
+    assert Counter(map(tuple, ed.dedup(odd, index, 4, "b1").collect())) == first
+    texts = Counter(r.text for r in ed.keep_new(odd, index, 4, "b1").collect())
+    assert sum(texts.values()) == sum(r[3] for r in first.elements()) > 0
+    assert spark.table(index).count() == held
+    later = ed.dedup(odd, index, 4, "b2").collect()
+    assert not any(r.kept for r in later) and spark.table(index).count() == held
+
+
+def test_a_half_written_append_is_completed(spark, index):
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(50)], "doc_id long, text string")
+    half = ed._groups(ed._narrow(docs)).filter("keep_id < 20")
+    ed.append(half, index, 4, "b1")
+    assert sum(r.kept for r in ed.dedup(docs, index, 4, "b1").collect()) == 50
+    assert spark.table(index).count() == spark.table(index).select("digest").distinct().count() == 50
+
+
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_ranges_through_one_index_equal_brute_force(spark, odd, index, batches):
+    norm, groups, keep = expected([(r.doc_id, r.text) for r in odd.collect()])
+    got = ed.dedup_in_batches(odd, index, 4, batches).collect()
+    want = Counter((i, keep[t], len(groups[t]), sha256(t.encode()).hexdigest()) for i, t in norm)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    kept = Counter(r.text_sha256 for r in got if r.kept)
+    assert set(kept.values()) == {1} and len(kept) == len(groups)
+    if batches > 1:
+        assert spark.table(index).select("batch").distinct().count() > 1
+
+
+def test_compaction_keeps_the_rows_in_one_file_a_bucket(spark):
+    path = shared_path(spark, "index")
+    docs = [spark.createDataFrame([(100 * b + k, f"t{k * (b + 1)}") for k in range(60)], "doc_id long, text string") for b in range(3)]
+    index = ed.open_index(spark, path, 4)
+    for b, part in enumerate(docs):
+        ed.dedup(part, index, 4, f"b{b}").collect()
+    before = Counter(map(tuple, spark.table(index).collect()))
+    assert len(spark.table(index).inputFiles()) > 4
+    small = ed.compact(spark, path, 4)
+    assert Counter(map(tuple, spark.table(small).collect())) == before and len(spark.table(small).inputFiles()) <= 4
+    # Opened anew it is the compacted one, appends go on there, and a second compaction replaces it.
+    index = ed.open_index(spark, path, 4)
+    more = spark.createDataFrame([(900, "t0"), (901, "new")], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in ed.dedup(more, index, 4, "b3").collect()} == {900: False, 901: True}
+    assert spark.table(ed.compact(spark, path, 4)).count() == sum(before.values()) + 1
+    assert spark.table(ed.open_index(spark, path, 4)).count() == sum(before.values()) + 1
+    plan = ed.new_digests(ed._groups(ed._narrow(more)), ed.open_index(spark, path, 4), "b4")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
