@@ -21,7 +21,9 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import re
 import struct
+import sys
 import unicodedata
 import uuid
 import zlib
@@ -65,14 +67,23 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.lru_cache(1)
+def _unassigned() -> re.Pattern:
+    """Matches a code point that this Python's Unicode data has not assigned: other tables may know it as a letter."""
+    known = [unicodedata.category(chr(c)) != "Cn" for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(1, len(known)) if known[c] != known[c - 1]] + [len(known)]
+    gaps = [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False) if not known[a]]
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in gaps) + "]")
+
+
 class WordTokenizer:
     """The ids of whole texts as little-endian 32-bit integers, as the tokenizers library gives them.
 
     A text is normalised and cut into pre-tokens as the file says; ids of words and pre-tokens met before come from
     tables of bounded size, new ones from the file's merges. Where ids rise in the order of the merges, as in the given file,
     those run as a rank table over bytes, a NUL byte standing for the end of a word: three times as fast as the
-    library's own. Texts that hold NUL or may hold a special token's string, and files of another kind, go whole
-    through the library.
+    library's own. Texts that hold NUL, may hold a special token's string or hold a code point that Python's Unicode data
+    doesn't know, and files of another kind, go whole through the library.
     """
 
     def __init__(self, path: str):
@@ -113,8 +124,14 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         return list(map(self._encode, texts))
 
-    def _encode(self, text: str) -> bytes:
+    def by_table(self, text: str) -> bool:
+        """Whether the rank table gives the library's ids for this text: proven for all other code points."""
         if not self._ranks or "\0" in text or any(t in text for t in self._special):
+            return False
+        return text.isascii() or not _unassigned().search(text)
+
+    def _encode(self, text: str) -> bytes:
+        if not self.by_table(text):
             ids = self._own.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         if not text.isascii():

@@ -38,6 +38,22 @@ def test_words_equal_library(library):
         assert own.encode([text]) == [struct.pack(f"<{len(ids)}I", *ids)], repr(text)
 
 
+def test_every_code_point_equals_library(library):
+    """Each code point alone, doubled, and beside letters and digits; those that Python's tables lack are not taken by the rank table."""
+    own = tf.WordTokenizer(tf.TOKENIZER)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    fast = [c for c in points if own.by_table(c)]
+    slow = set(points) - set(fast)
+    assert len(fast) > 250_000 and "\u0558" in slow and "\U00010d50" in slow
+    texts = [" ".join(f"a{c}b {c} 1{c} {c}{c} \u00e9{c}" for c in fast[k : k + 200]) for k in range(0, len(fast), 200)]
+    for text, got, want in zip(texts, own.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got == struct.pack(f"<{len(want.ids)}I", *want.ids), ascii(text[:60])
+    for c in ["\u0558", "\U00010d50", "\x00", "\u0378"]:
+        text = f"a{c}b {c} plain words"
+        want = library.encode(text, add_special_tokens=False).ids
+        assert own.encode([text]) == [struct.pack(f"<{len(want)}I", *want)]
+
+
 def test_rows(spark, odd, none, library):
     folder = shared_path(spark, "tokens")
     files = tf.write_files(odd, folder)
