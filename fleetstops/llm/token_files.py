@@ -76,6 +76,10 @@ def _unassigned() -> re.Pattern:
     return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in gaps) + "]")
 
 
+class _Foreign(Exception):
+    """A word holds a code point that the rank table isn't proven for."""
+
+
 class WordTokenizer:
     """The ids of whole texts as little-endian 32-bit integers, as the tokenizers library gives them.
 
@@ -126,14 +130,21 @@ class WordTokenizer:
 
     def by_table(self, text: str) -> bool:
         """Whether the rank table gives the library's ids for this text: proven for all other code points."""
-        if not self._ranks or "\0" in text or any(t in text for t in self._special):
-            return False
-        return text.isascii() or not _unassigned().search(text)
+        return self._may(text) and not _unassigned().search(text)
+
+    def _may(self, text: str) -> bool:
+        return bool(self._ranks) and "\0" not in text and not any(t in text for t in self._special)
 
     def _encode(self, text: str) -> bytes:
-        if not self.by_table(text):
-            ids = self._own.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+        if self._may(text):
+            try:
+                return self._by_words(text)
+            except _Foreign:
+                pass
+        ids = self._own.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _by_words(self, text: str) -> bytes:
         if not text.isascii():
             # A capital sigma becomes a plain small one wherever it stands.
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
@@ -145,6 +156,9 @@ class WordTokenizer:
             return b"".join([known[word] if word in known else self._word(word) for word in words])
 
     def _word(self, word: str) -> bytes:
+        # Asked of new words only: those that are kept have passed.
+        if not word.isascii() and _unassigned().search(word):
+            raise _Foreign
         if len(self._words) >= WORDS_KEPT:
             self._words.clear()
         known = self._known
