@@ -16,6 +16,7 @@ def ts(s):
     return dt.datetime.strptime(f"2013-01-10 {s}", "%Y-%m-%d %H:%M:%S")
 
 
+# The original spec's eight readings, and below the rows that it expects of each stage.
 READINGS = [
     (1, "B456", ts("11:10:20"), 5),
     (2, "B456", ts("11:16:00"), 0),
