@@ -7,6 +7,8 @@
 * ``stop-times``: readings → every stop end with the last moving time (table).
 * ``detail``: readings → long stops with hour and coordinates, written as a
   table partitioned by hour and sorted by stop length (for the history pages).
+* ``daily``: the readings of one batch (from a time, up to another) → the stop tables that are kept batch by batch.
+* ``upsert``: a batch of readings → the readings table without duplicates, and its counted distinct lists.
 * ``reference``: transit stops and trips from CSV into their two tables.
 
 Sources and sinks are given as ``parquet:<path>`` or ``jdbc:<table>`` (the JDBC
@@ -18,13 +20,16 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_LOWER_BOUND, DEFAULT_UPPER_BOUND
-from ..operators.readings import dedupe_readings
+from ..operators.readings import between_times, dedupe_readings
 from ..sources.jdbc import read_jdbc_partitioned, write_jdbc
 from ..sources.tables import create_table_as, write_stops_detail
+from .daily import add_batch
 from .fleet import stop_times, stopped_vehicles, stops_detail
 from .ingestion import ingest_files_with_log, load_reference_tables
+from .upsert import refresh_values, upsert_batch
 
 
 def _read(spark: SparkSession, source: str, lower: str, upper: str, jdbc: dict, partitions: int) -> DataFrame:
@@ -101,6 +106,25 @@ def run_detail_job(
     write_stops_detail(stops_detail(readings, lower, upper), path)
 
 
+def run_daily_job(
+    spark: SparkSession, source: str, root: str, batch: str, after: str | None = None, lower=None, upper=None, jdbc: dict | None = None, partitions: int = 8
+) -> None:
+    """The readings from ``lower`` (inclusive) up to ``upper`` (exclusive) added to the stop tables below ``root`` as ``batch``."""
+    readings = _read(spark, source, lower or DEFAULT_LOWER_BOUND, upper or DEFAULT_UPPER_BOUND, jdbc or {}, partitions)
+    part = between_times(readings, lower, None)
+    if upper is not None:
+        part = part.filter(F.col("report_time") < F.lit(upper).cast("timestamp_ntz"))
+    add_batch(spark, part, root, batch, after)
+
+
+def run_upsert_job(spark: SparkSession, source: str, root: str, batch: str, jdbc: dict | None = None, partitions: int = 8) -> bool:
+    """A batch of readings put into the table below ``root``, its distinct lists refreshed; False if it was there already."""
+    readings = _read(spark, source, DEFAULT_LOWER_BOUND, DEFAULT_UPPER_BOUND, jdbc or {}, partitions)
+    new = upsert_batch(spark, readings, root, batch)
+    refresh_values(spark, root)
+    return new
+
+
 def run_reference_job(spark: SparkSession, stops_path: str, trips_path: str, sink: str, jdbc: dict | None = None, header: bool = True, partitions: int = 8) -> None:
     """Transit stops and trips from CSV files into tables ``transit_stops`` and ``trips`` (Parquet below ``sink``, or JDBC)."""
     kind, _, where = sink.partition(":")
@@ -109,7 +133,7 @@ def run_reference_job(spark: SparkSession, stops_path: str, trips_path: str, sin
 
 
 def main(argv: list[str] | None = None) -> None:
-    """Command line: ``fleet``, ``ingest``, ``stop-times``, ``detail`` or ``reference``."""
+    """Command line: ``fleet``, ``ingest``, ``stop-times``, ``detail``, ``daily``, ``upsert`` or ``reference``."""
     ap = argparse.ArgumentParser(prog="fleetstops.plans.jobs")
     sub = ap.add_subparsers(dest="job", required=True)
     f = sub.add_parser("fleet")
@@ -126,14 +150,20 @@ def main(argv: list[str] | None = None) -> None:
     d = sub.add_parser("detail")
     d.add_argument("source")
     d.add_argument("path")
+    day, up = sub.add_parser("daily"), sub.add_parser("upsert")
+    for q in (day, up):
+        q.add_argument("source")
+        q.add_argument("root")
+        q.add_argument("batch")
+    day.add_argument("--after")
     ref = sub.add_parser("reference")
     ref.add_argument("stops_path")
     ref.add_argument("trips_path")
     ref.add_argument("sink")
-    for q in (f, st, d):
-        q.add_argument("--lower", default=None if q is d else DEFAULT_LOWER_BOUND)
-        q.add_argument("--upper", default=None if q is d else DEFAULT_UPPER_BOUND)
-    for q in (f, st, d, ref):
+    for q in (f, st, d, day):
+        q.add_argument("--lower", default=None if q in (d, day) else DEFAULT_LOWER_BOUND)
+        q.add_argument("--upper", default=None if q in (d, day) else DEFAULT_UPPER_BOUND)
+    for q in (f, st, d, day, up, ref):
         q.add_argument("--jdbc-url")
         q.add_argument("--jdbc-driver")
         q.add_argument("--partitions", type=int, default=8)
@@ -149,6 +179,10 @@ def main(argv: list[str] | None = None) -> None:
         run_stop_times_job(spark, args.source, args.sink, jdbc, args.lower, args.upper, args.partitions)
     elif args.job == "detail":
         run_detail_job(spark, args.source, args.path, args.lower, args.upper, jdbc, args.partitions)
+    elif args.job == "daily":
+        run_daily_job(spark, args.source, args.root, args.batch, args.after, args.lower, args.upper, jdbc, args.partitions)
+    elif args.job == "upsert":
+        run_upsert_job(spark, args.source, args.root, args.batch, jdbc, args.partitions)
     else:
         run_reference_job(spark, args.stops_path, args.trips_path, args.sink, jdbc, partitions=args.partitions)
 

@@ -97,3 +97,23 @@ def test_carry_is_small_and_moves_by_vehicle_and_stretch(spark):
     assert all(r.last or r.speed > 0 and r.report_time >= last - dt.timedelta(hours=2, minutes=5) for r in kept)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "[_v#" in plan and "_s0#" in plan.split("Join")[1].splitlines()[0]
+
+
+def test_jobs_from_the_command_line(spark, workdir):
+    """The daily and the upsert job over a stored readings table, batch after batch."""
+    from fleetstops.plans.jobs import main
+    from fleetstops.plans.upsert import distinct_list, readings_table
+    from fleetstops.sources import bindings as B
+
+    from .conftest import SF_SMALL
+
+    readings = B.readings(spark, SF_SMALL)
+    source, cut = f"{workdir}/readings", "2024-01-16 00:00:00"
+    readings.write.parquet(source)
+    main(["daily", f"parquet:{source}", f"{workdir}/stops", "a", "--upper", cut])
+    main(["daily", f"parquet:{source}", f"{workdir}/stops", "b", "--after", "a", "--lower", cut])
+    assert counted(stop_table(spark, f"{workdir}/stops", "stop_times")) == counted(stop_times(readings, with_location=True))
+    for _ in range(2):
+        main(["upsert", f"parquet:{source}", f"{workdir}/table", "all"])
+    assert readings_table(spark, f"{workdir}/table").count() == readings.count()
+    assert distinct_list(spark, f"{workdir}/table", "vehicle_tag").count() == readings.select("vehicle_tag").distinct().count()
