@@ -297,6 +297,9 @@ FROM stop_times WHERE vehicle_tag = '{VEHICLE}'""",
 SELECT st.*, r.latitude, r.longitude
 FROM stop_times st JOIN readings r ON st.vehicle_tag = r.vehicle_tag AND st.stopped_at = r.report_time""",
     "stops_detail_by_batch": f"{DETAIL} SELECT * FROM detail",
+    "stored_bounds": f"""WITH {READINGS}
+SELECT count(*) AS row_count, min(speed) AS min_speed, max(speed) AS max_speed, min(latitude) AS min_latitude,
+       max(latitude) AS max_latitude, min(longitude) AS min_longitude, max(longitude) AS max_longitude FROM readings""",
     "upsert_readings": f"WITH {READINGS}, {HOUR_KEYS}, {DEDUPED} SELECT * FROM dd",
     "refresh_values": f"""WITH {READINGS}, {HOUR_KEYS}, {DEDUPED},
 v AS (

@@ -11,6 +11,7 @@ from .operators.readings import between_times
 from .plans import daily, upsert
 from .session import shared_path
 from .sources import bindings as B
+from .sources.footers import stored_bounds
 
 #: Where the readings are cut into batches (the first and the last one are open).
 CUTS = ("2024-01-08 00:00:00", "2024-01-16 00:00:00", "2024-01-24 00:00:00")
@@ -65,9 +66,17 @@ def q_refresh_values(spark, sf):
     return upsert.refresh_values(spark, _upserted(spark, sf, WATCHED, refresh=True))
 
 
+def q_stored_bounds(spark, sf):
+    """A3, A4 and A7 over the readings stored as a table, from its footers."""
+    path = shared_path(spark, "stored-readings")
+    B.readings(spark, sf).write.parquet(path)
+    return stored_bounds(spark, path, ["speed", "latitude", "longitude"])
+
+
 QUERIES = {
     "stop_times_by_batch": q_stop_times_by_batch,
     "stops_detail_by_batch": q_stops_detail_by_batch,
     "upsert_readings": q_upsert_readings,
     "refresh_values": q_refresh_values,
+    "stored_bounds": q_stored_bounds,
 }
