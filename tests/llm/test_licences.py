@@ -111,3 +111,49 @@ def test_dual_notices_are_found(model):
     assert confirmed(model, f"{GPL}\n\n{MIT}") == ["gpl", "mit"]
     assert confirmed(model, "Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["apache", "mit"]
     assert confirmed(model, "Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.") == ["cc-by", "cc-by-nc"]
+
+
+SPOKEN_OF = [
+    "He said that all rights reserved is a phrase.",
+    "She was released under the mit license plate scheme",
+    "We think that all rights reserved is a title",
+    "A sticker that reads Licensed under CC BY 4.0 hung over the desk",
+]
+
+
+def test_notices_spoken_of_are_unknown(model):
+    for text in SPOKEN_OF:
+        words = li.words_of(text)
+        assert li.stated(words, li.marks_of(words)) and not li.scan_text(model, text)[1], text
+
+
+def test_the_threshold_decides(model, spark):
+    """The same documents at threshold 0 and at the fitted one: templates stand in all, the classifier rejects some."""
+    docs = spark.createDataFrame([*enumerate(SPOKEN_OF), (9, "Prose.\nAll rights reserved.\nMore.")], "doc_id long, text string")
+
+    def families(threshold):
+        own = li.Model(model.families, model.weights, model.base.tolist(), model.temperature, threshold)
+        return {r.doc_id: {f.family for f in r.found if f.confirmed} for r in li.scan(docs, own).collect()}
+
+    assert families(0.0) == {0: {"proprietary"}, 1: {"mit"}, 2: {"proprietary"}, 3: {"cc-by"}, 9: {"proprietary"}}
+    assert families(model.threshold) == {0: set(), 1: set(), 2: set(), 3: set(), 9: {"proprietary"}}
+
+
+def test_whole_templates_are_held_out(model):
+    """No template and no sentence is on both sides of a fold; the figures of unseen ones are kept with the model."""
+    rows = li._examples(["a line about rivers and boats", "another one about hills"])
+    for family, templates in li.TEMPLATES.items():
+        for t in templates:
+            assert len({folds for f, w, folds in rows if f == family and w == li.words_of(t)}) == 1
+    assert 0 < model.threshold < 1 and model.held["recall"] > 0.7 and model.held["unknown_recall"] > 0.9
+
+
+def test_border_grams():
+    words = "we were told that all rights reserved is void".split()
+    assert li.slot_grams(words, [(4, 7)]) == {"that _", "_ is", "told that _", "that _ is", "_ is void"}
+    assert li.slot_grams(["all", "rights", "reserved"], [(0, 3)]) == set()
+
+
+def test_query_gives_probabilities(spark):
+    for r in li.op5_license_scan(spark, "/root/testdata/sf0.001").collect():
+        assert (r.probability is None) == (r.n_confirmed == 0) and r.n_confirmed <= r.n_predicted
