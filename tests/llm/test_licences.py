@@ -135,7 +135,8 @@ def test_the_threshold_decides(model, spark):
         own = li.Model(model.families, model.weights, model.base.tolist(), model.temperature, threshold)
         return {r.doc_id: {f.family for f in r.found if f.confirmed} for r in li.scan(docs, own).collect()}
 
-    assert families(0.0) == {0: {"proprietary"}, 1: {"mit"}, 2: {"proprietary"}, 3: {"cc-by"}, 9: {"proprietary"}}
+    # Documents 0 and 2 fall below FLOOR, too.
+    assert families(0.0) == {0: set(), 1: {"mit"}, 2: set(), 3: {"cc-by"}, 9: {"proprietary"}}
     assert families(model.threshold) == {0: set(), 1: set(), 2: set(), 3: set(), 9: {"proprietary"}}
 
 
