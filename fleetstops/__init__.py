@@ -9,7 +9,7 @@ Importing needs no running Spark session; functions build plans when called.
 
 __version__ = "0.1.0"
 
-from .operators.compare import approx_diff, content_diff, count_diff, diff_with, schema_diff
+from .operators.compare import approx_diff, content_diff, content_diff_by_digest, count_diff, diff_with, schema_diff
 from .operators.near import inside_bounds, near, near_counts
 from .operators.readings import dedupe_readings, ids_follow_time
 from .operators.scan import history_scan
@@ -27,6 +27,7 @@ __all__ = [
     "add_batch",
     "approx_diff",
     "content_diff",
+    "content_diff_by_digest",
     "count_diff",
     "current_stops",
     "dedupe_readings",

@@ -467,6 +467,13 @@ SELECT (SELECT count(*) FROM readings) AS count_a, (SELECT count(*) FROM dd) AS
 SELECT *, 'a' AS side FROM (SELECT * FROM readings EXCEPT ALL SELECT * FROM dd)
 UNION ALL
 SELECT *, 'b' AS side FROM (SELECT * FROM dd EXCEPT ALL SELECT * FROM readings)""",
+    "content_diff_by_digest": f"""WITH {READINGS},
+b AS (SELECT * REPLACE (CASE WHEN reading_id % 997 = 0 THEN latitude + 0.5::DOUBLE ELSE latitude END AS latitude)
+      FROM readings WHERE reading_id % 1999 <> 5
+      UNION ALL SELECT * FROM readings WHERE reading_id % 1511 = 7)
+SELECT *, 'a' AS side FROM (SELECT * FROM readings EXCEPT ALL SELECT * FROM b)
+UNION ALL
+SELECT *, 'b' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM readings)""",
     "content_diff_ordered": f"""WITH {READINGS}, {HOUR_KEYS}, {DEDUPED},
 a AS (SELECT row_number() OVER (ORDER BY reading_id) - 1 AS row_index, * FROM readings),
 b AS (SELECT row_number() OVER (ORDER BY reading_id) - 1 AS row_index, * FROM dd),
