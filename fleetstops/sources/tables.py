@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,51 @@ def write_stops_detail(detail: DataFrame, path: str) -> None:
     create_table_as(detail, path, partition_by="hour_of_day", sort_within=["stopped_for", "report_time"])
 
 
+#: Column of the readings layout: the time in microseconds, its clock read as UTC.
+TIME_MICROS = "_fs_time_micros"
+
+
+def write_readings(readings: DataFrame, path: str, files: int | None = None, bits: int = 12) -> None:
+    """H3: readings table that answers both a time range and a vehicle by skipping, in place of its time and vehicle indexes.
+
+    Rows are ordered by the interleaved bits of their time (a linear scale between the first and the last) and of a hash of
+    their vehicle, so a file holds a narrow time range of few vehicles: Parquet's min/max skip by time, Bloom filters by
+    vehicle, which pushed equality filters ask. Spark pushes no range of ``timestamp_ntz`` into Parquet, so the time is
+    stored as a long beside (TIME_MICROS), which :func:`read_readings` filters by. Hot cells are split by time and id. ``files``: how many (None: Spark's
+    shuffle partitions). Rows without a time come first, those without a vehicle share one hash.
+    """
+    first, last = readings.agg(F.min("report_time"), F.max("report_time")).first()
+    at = _micros
+    lower, upper = (at(F.lit(x).cast("timestamp_ntz")) for x in (first, last))
+    share = (at(F.col("report_time")) - lower) / F.nullif(upper - lower, F.lit(0))
+    when = F.coalesce((share * F.lit((1 << bits) - 1)).cast("long"), F.lit(0).cast("long"))
+    who = F.pmod(F.xxhash64("vehicle_tag"), F.lit(1 << bits))
+    cell = sum(
+        (F.shiftleft(F.shiftright(c, i).bitwiseAND(F.lit(1).cast("long")), 2 * i + k) for i in range(bits) for k, c in ((0, who), (1, when))),
+        F.lit(0).cast("long"),
+    )
+    order = ["_fs_cell", "report_time", "reading_id"]
+    tagged = readings.withColumns({"_fs_cell": cell, TIME_MICROS: at(F.col("report_time"))})
+    dealt = tagged.repartitionByRange(files, *order) if files else tagged.repartitionByRange(*order)
+    out = dealt.sortWithinPartitions(*order).drop("_fs_cell")
+    out.write.mode("overwrite").option("parquet.bloom.filter.enabled#vehicle_tag", "true").parquet(path)
+
+
+def _micros(time) -> Column:
+    """Microseconds of a ``timestamp_ntz``, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), time)
+
+
+def read_readings(spark: SparkSession, path: str, lower: str | None = None, upper: str | None = None) -> DataFrame:
+    """A table of :func:`write_readings`, its readings from ``lower`` on and before ``upper`` (None: open, then rows without
+    a time stay, if both are)."""
+    out = spark.read.parquet(path)
+    for bound, keep in ((lower, Column.__ge__), (upper, Column.__lt__)):
+        if bound is not None:
+            out = out.filter(keep(F.col(TIME_MICROS), _micros(F.lit(bound).cast("timestamp_ntz"))))
+    return out.drop(TIME_MICROS)
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A table written by :func:`create_table_as` (Parquet by default)."""
     return spark.read.format(fmt).load(path)
