@@ -1,13 +1,14 @@
 """Token counts of whole texts under a unigram model, by dynamic programming shared along a trie.
 
-Pre-tokens are the words between white space with a word mark in front. The different pre-tokens of a batch of texts
-that aren't known yet are put in order, which is the depth-first order of their trie: each shares its beginning with
-the one before, and the forward scores (best score and its number of tokens up to each letter) of that shared path are
-kept, so each trie node is computed once. The score at a word's end gives its count, which is stored; a text's count
-is the sum over its words. Memory is one path of the trie and a table of stored counts of bounded size.
-
-The model: pieces of a public vocabulary file, scored by the logarithm of a Zipf law over their order (nothing is
-trained). A letter that is no piece is spelled in UTF-8 bytes, one token each, at a penalty below every piece's score.
+Pre-tokens are the words between white space with a word mark in front. The different pre-tokens that a worker meets are
+inserted in a trie, whose nodes hold the forward scores (best score and its number of tokens up to that letter). It stays from
+batch to batch and task to task, so each node, a beginning that words share, is computed once. The count at a word's
+terminal is stored; a text's count is the sum over its words. Memory is bounded: a full trie starts anew, and only
+the first DEPTH letters of a word become nodes.
+
+The model: pieces of a public vocabulary file. No given file holds a unigram model and tokenizers are not trained here, so
+the scores are a parameter: by default the logarithm of a Zipf law over the pieces' order, or the file's own (``file_scores``).
+A letter that is no piece is spelled in UTF-8 bytes, one token each, at a penalty below every piece's score.
 Among equal scores the fewer tokens count.
 
 Cases: null or empty text has no words and no tokens; words of any length are counted whole; repeated rows and null
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import functools
 import math
-import os
+from collections.abc import Callable
 
 import public_tokenizers
 import pyarrow as pa
@@ -31,8 +32,12 @@ from .common import map_rows, table
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 PENALTY = 10.0
-#: Words whose counts a worker process remembers before it starts anew.
-WORDS_KEPT = 500_000
+#: Words whose counts, and trie nodes whose scores, a worker process remembers before it starts anew.
+WORDS_KEPT, NODES_KEPT = 500_000, 800_000
+#: Letters of a word that get nodes; the rest of a longer word is computed on a path of its own.
+DEPTH = 200
+#: Fixed value: the number of code points, the base in which a node and a letter make one number.
+LETTERS = 0x110000
 
 
 def _words(text: str | None) -> list[str]:
@@ -43,58 +48,96 @@ def _words(text: str | None) -> list[str]:
     return text.split(" ")
 
 
+def _ordinary(model) -> list[int]:
+    """Ids of the pieces that stand for text."""
+    return [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+
+
 def zipf_scores(path: str) -> dict[str, float]:
     """Each ordinary piece of the file with the logarithm of its share under a Zipf law over the file's order."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    kept = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    kept = _ordinary(model)
     total = sum(1 / (k + 2) for k in range(len(kept)))
     return {model.id_to_piece(i): -math.log((k + 2) * total) for k, i in enumerate(kept)}
 
 
+def file_scores(path: str) -> dict[str, float]:
+    """Each ordinary piece with the score the file itself gives it (for files of unigram models)."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return {model.id_to_piece(i): model.get_score(i) for i in _ordinary(model)}
+
+
 class UnigramCounter:
-    """Counts tokens of words; see the module."""
+    """Counts tokens of words along a trie that stays from batch to batch; see the module."""
 
     def __init__(self, scores: dict[str, float]):
         # Every ending of a piece, with the piece's score if it is one itself: a look back ends at the first miss.
         self._endings: dict[str, float | None] = dict.fromkeys(p[k:] for p in scores for k in range(1, len(p)))
         self._endings |= scores
         self._unknown = min(scores.values(), default=0.0) - PENALTY
-        self._known: dict[str, int] = {"": 0}
+        self._known: dict[str, int] = {"": 0}  # counts of the terminals
         self.nodes = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        """A trie of its root alone."""
+        self._child: dict[int, int] = {}  # node and letter in one number
+        self._best, self._tokens = [0.0], [0]  # of each node
 
     def counts(self, words: list[str]) -> dict[str, int]:
-        """The count of each of the words, which are put in trie order."""
-        best, tokens, last, out = [0.0], [0], "", {}
+        """The count of each of the words."""
+        return {word: self._insert(MARK + word) for word in words}
+
+    def _insert(self, marked: str) -> int:
+        """Walk down the nodes there are, compute and add the others; the count at the end."""
+        if len(self._best) + min(len(marked), DEPTH) > NODES_KEPT:
+            self._clear()
+        child, all_best, all_tokens = self._child, self._best, self._tokens
+        # Scores along the word's path, from the trie as far as it knows them.
+        best, tokens, node = [0.0], [0], 0
+        for letter in marked[:DEPTH]:
+            below = child.get(node * LETTERS + ord(letter))
+            if below is None:
+                break
+            node = below
+            best.append(all_best[node])
+            tokens.append(all_tokens[node])
+        for end in range(len(best), len(marked) + 1):
+            top, count = self._forward(marked, end, best, tokens)
+            self.nodes += 1
+            best.append(top)
+            tokens.append(count)
+            if end <= DEPTH:
+                child[node * LETTERS + ord(marked[end - 1])] = node = len(all_best)
+                all_best.append(top)
+                all_tokens.append(count)
+        return tokens[-1]
+
+    def _forward(self, marked: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
+        """Best score of the first ``end`` letters and its number of tokens, from those of shorter beginnings."""
         endings, unknown = self._endings, self._unknown
-        for word in sorted(words):
-            marked = MARK + word
-            shared = len(os.path.commonprefix((last, marked)))
-            del best[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(marked) + 1):
-                self.nodes += 1
-                top, count = -math.inf, 0
-                for start in range(end - 1, -1, -1):
-                    piece = marked[start:end]
-                    if piece not in endings:
-                        if start == end - 1:
-                            top, count = best[start] + unknown, tokens[start] + len(piece.encode("utf-8", "replace"))
-                        break
-                    score = endings[piece]
-                    if score is None:
-                        if start < end - 1:
-                            continue
-                        score, more = unknown, len(piece.encode("utf-8", "replace"))
-                    else:
-                        more = 1
-                    value = best[start] + score
-                    if value > top or value == top and tokens[start] + more < count:
-                        top, count = value, tokens[start] + more
-                best.append(top)
-                tokens.append(count)
-            out[word], last = tokens[-1], marked
-        return out
+        top, count = -math.inf, 0
+        for start in range(end - 1, -1, -1):
+            piece = marked[start:end]
+            if piece not in endings:
+                if start == end - 1:
+                    top, count = best[start] + unknown, tokens[start] + len(piece.encode("utf-8", "replace"))
+                break
+            score = endings[piece]
+            if score is None:
+                if start < end - 1:
+                    continue
+                score, more = unknown, len(piece.encode("utf-8", "replace"))
+            else:
+                more = 1
+            value = best[start] + score
+            if value > top or value == top and tokens[start] + more < count:
+                top, count = value, tokens[start] + more
+        return top, count
 
     def texts(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """Numbers of words and of tokens of each text."""
@@ -110,15 +153,15 @@ class UnigramCounter:
 
 
 @functools.lru_cache(2)
-def counter(path: str) -> UnigramCounter:
-    return UnigramCounter(zipf_scores(path))
+def counter(path: str, scores: Callable[[str], dict[str, float]]) -> UnigramCounter:
+    return UnigramCounter(scores(path))
 
 
-def count_tokens(docs: DataFrame, path: str = PIECES) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_tokens."""
+def count_tokens(docs: DataFrame, path: str = PIECES, scores: Callable[[str], dict[str, float]] = zipf_scores) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_tokens; ``scores`` gives the file's pieces with their scores."""
 
     def run(batch):
-        words, tokens = counter(path).texts(batch.column("text").to_pylist())
+        words, tokens = counter(path, scores).texts(batch.column("text").to_pylist())
         return {"doc_id": batch.column("doc_id"), "n_words": pa.array(words, pa.int64()), "n_tokens": pa.array(tokens, pa.int64())}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
