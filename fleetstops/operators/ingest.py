@@ -15,7 +15,7 @@ from ..functions.cleaning import (
     truncate_text,
 )
 from ..functions.time import floor_div
-from ..tuning import ID_PIECE_SECONDS
+from ..tuning import ID_PIECE_SECONDS, UNTIMED_PIECES
 
 
 def drop_blank_lines(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -38,15 +38,18 @@ def time_ordered_ids(df: DataFrame, name: str = "reading_id", time: str = "repor
     """Ids 1, 2, 3, … without gaps in the order of time, then of the other columns as they stand.
 
     The order follows from the rows' content alone, so the ids don't depend on files, partitions or retries (rows that
-    are equal in all columns are interchangeable); rows without a time come first. Rows are numbered inside calendar
-    pieces of ``piece_seconds``; the offset of a piece is the sum of the counts before it, per day and inside the day,
+    are equal in all columns are interchangeable); rows without a time come first, in the order of a hash of their columns,
+    then of the columns. Rows are numbered inside calendar pieces of ``piece_seconds`` (those without a time inside ranges of
+    the hash); the offset of a piece is the sum of the counts before it, per day and inside the day,
     so nothing larger than one piece's rows, one day's pieces or one row per day meets in one task. Both uses of the
     shuffle need the same columns (the hash), so it is made once.
     """
     day, piece, same = "_fs_day", "_fs_piece", "_fs_same"
     seconds = F.unix_timestamp(F.col(time))
-    number = lambda n: F.coalesce(floor_div(seconds, n), F.lit(-(1 << 62)))
-    dealt = df.withColumn(day, number(86_400)).withColumn(piece, number(int(piece_seconds))).repartition(F.col(day), F.col(piece))
+    untimed = F.lit(-(1 << 62))
+    by_hash = untimed + F.pmod(F.xxhash64(*df.columns), F.lit(UNTIMED_PIECES))
+    days, pieces = F.coalesce(floor_div(seconds, 86_400), untimed), F.coalesce(floor_div(seconds, int(piece_seconds)), by_hash)
+    dealt = df.withColumn(day, days).withColumn(piece, pieces).repartition(F.col(day), F.col(piece))
     order = [time, *[c for c in df.columns if c != time]]
     numbered = dealt.withColumn("_fs_n", F.row_number().over(Window.partitionBy(day, piece).orderBy(*order)))
     counts = dealt.groupBy(day, piece).agg(F.count(F.lit(1)).alias("n"), F.max(F.hash(*df.columns)).alias(same)).filter(F.col(same).isNotNull())

@@ -32,11 +32,10 @@ def for_vehicle(df: DataFrame, tag: str, key: str = "vehicle_tag") -> DataFrame:
 def dedupe_readings(
     readings: DataFrame, keys=("vehicle_tag", "report_time"), rid: str = "reading_id"
 ) -> DataFrame:
-    """Keep, for each key, only the reading with the largest id.
+    """Keep, for each key, only the reading with the largest id (of equal ids the largest by the other columns).
 
-    One shuffle by key and one sort: a reading stays if no other stands before it in its key's descending id order
-    (``lag``; a rank would be turned into a limit with a second sort before the shuffle, which combines nothing as keys
-    are nearly unique). A key with very many copies streams through one task's window and holds no rows back.
+    One shuffle by key. The largest reading of a key is taken inside each task before it, so a key with very many copies
+    sends one row a task; the price is a sort in the task, as rows are wider than a hash aggregate's buffer takes.
     """
     keys = list(keys)
     others = [c for c in readings.columns if c not in keys and c != rid]
@@ -46,9 +45,8 @@ def dedupe_readings(
     for k in keys:
         any_null = any_null | F.col(k).isNull()
     tagged = readings.withColumn("_fs_solo", F.when(any_null, F.monotonically_increasing_id()))
-    w = Window.partitionBy(*keys, "_fs_solo").orderBy(F.col(rid).desc_nulls_last(), *[F.col(c).desc() for c in others])
-    first = tagged.withColumn("_fs_above", F.lag(F.lit(True)).over(w)).filter(F.col("_fs_above").isNull())
-    return first.select(*readings.columns)
+    best = tagged.groupBy(*keys, "_fs_solo").agg(F.max(F.struct(rid, *others)).alias("_fs_best"))
+    return best.select(*[F.col(c) if c in keys else F.col("_fs_best")[c].alias(c) for c in readings.columns])
 
 
 def duplicate_keys(readings: DataFrame, keys=("vehicle_tag", "report_time")) -> DataFrame:

@@ -6,3 +6,6 @@ CHUNK_SECONDS = 86_400
 
 #: Length of the calendar pieces that readings are numbered in, in seconds.
 ID_PIECE_SECONDS = 60
+
+#: Pieces that readings without a time are numbered in.
+UNTIMED_PIECES = 4096

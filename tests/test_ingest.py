@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from fleetstops.constants import RAW_HEADER
 from fleetstops.operators import ingest as ING
+from fleetstops.operators.readings import dedupe_readings
 from fleetstops.plans import ingestion as IN
 from fleetstops.schemas import TRANSIT_STOPS, TRIPS
 from fleetstops.sources.files import profile, read_csv_with_schema, read_raw_text
+from fleetstops.tuning import UNTIMED_PIECES
 
 
 def line(rev, t, tag, lon, lat, speed, heading, ta, pred):
@@ -192,7 +194,9 @@ def test_assign_reading_id(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(str(i), t0 + dt.timedelta(seconds=i * 37 % 300 * 1000) if i % 9 else None) for i in range(500)]
     df = spark.createDataFrame(rows, "x string, report_time timestamp_ntz").repartition(5)
-    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or t0, r[0]))
+    # Rows without a time: by the hash of their columns, then by the columns.
+    place = {r.x: r.h for r in df.select("x", F.pmod(F.xxhash64("x", "report_time"), F.lit(UNTIMED_PIECES)).alias("h")).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or t0, 0 if r[1] else place[r[0]], r[0]))
     got = {r.reading_id: r.x for r in ING.assign_reading_id(df).collect()}
     assert got == {i + 1: r[0] for i, r in enumerate(want)}
     assert ING.assign_reading_id(df, "x").filter("reading_id = 77").first().x == "77"
@@ -222,3 +226,29 @@ def test_malformed_numbers_strict_and_lenient(spark):
         IN.ingest_avl(bad, reading_id_from="rev").collect()
     row = IN.ingest_avl(bad, reading_id_from="rev", lenient=True).first()
     assert row.speed is None and row.latitude == 37.7
+
+
+def test_rows_without_a_time_are_dealt_over_pieces(spark):
+    """Ids stay dense and follow from the content alone; rows without a time come first and not in one task."""
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN timestamp_ntz'2013-01-01 10:00:00' END AS report_time", "id % 1400 AS v", "'x' AS same")
+    got = [tuple(r) for r in ING.time_ordered_ids(rows).orderBy("reading_id").collect()]
+    assert [r[0] for r in got] == list(range(1, 3001))
+    assert [r[1] is None for r in got] == [True] * 2000 + [False] * 1000
+    again = [tuple(r) for r in ING.time_ordered_ids(rows.repartition(7)).orderBy("reading_id").collect()]
+    assert got == again
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    untimed = ING.time_ordered_ids(rows.filter("report_time IS NULL"))
+    try:
+        assert untimed.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_dedupe_of_a_hot_key(spark):
+    rows = spark.range(4000).selectExpr("IF(id % 4 < 3, 'A', NULL) AS vehicle_tag", "timestamp_ntz'2013-01-01 10:00:00' AS report_time",
+                                        "IF(id % 8 = 0, NULL, id DIV 2) AS reading_id", "id AS speed")
+    got = dedupe_readings(rows)
+    assert got.columns == rows.columns
+    hot = got.filter("vehicle_tag = 'A'").collect()
+    assert [(r.reading_id, r.speed) for r in hot] == [(1999, 3998)]
+    assert got.filter("vehicle_tag IS NULL").count() == 1000
