@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A logistic model over sparse word features is trained in numpy from confirmed toxic documents and from unlabelled
-text; labels of "not toxic" are never read as such. With the class prior p, the risk of calling unlabelled text toxic
+text; no text is learned from as "not toxic". The class prior p is a parameter: by default the share of positives
+among all labelled documents (the one use of other labels), or an estimate from the two samples (``class_prior``). With p, the risk of calling unlabelled text toxic
 is corrected by the positives it must hold: R = p R+(positives) + max(0, R-(unlabelled) - p R-(positives)). While the
 second part is negative, which only chance or over-fitting can make it, it pulls at nothing.
 
@@ -22,6 +23,7 @@ import functools
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fresh, map_rows, q, sample_keys, table
+from .common import fresh, map_rows, materialize, q, table
 
 #: Bounds of the training sample, in documents.
 POSITIVES, UNLABELLED = 1500, 4000
@@ -43,6 +45,10 @@ STEPS, RATE, SHRINK = 150, 0.1, 0.03
 #: The loss of calling a text clean stops growing at this score (log-odds): an unlabelled sample's share of positives
 #: differs from the prior by chance, and an unbounded loss would multiply that difference.
 MARGIN = 4.0
+#: Class prior: folds; the prior that the models which rank them take; how often the allowance for chance may fail.
+FOLDS, START, DOUBT = 5, 0.2, 0.1
+#: Number of places by hash that documents are drawn from.
+PLACES = 1 << 62
 #: Words whose features a worker remembers before it starts anew.
 WORDS_KEPT = 400_000
 
@@ -145,36 +151,87 @@ def _slope(z):
     return np.where(z < MARGIN, _sigmoid(z), 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def class_prior(positives: list[np.ndarray], unlabelled: list[np.ndarray]) -> float:
+    """The share of positives in unlabelled text, from those two alone (the best-bin estimate of a mixture's share).
+
+    Each fold is ranked by a model that the other folds taught. Above a score that few clean documents reach, the
+    unlabelled ones are the prior's share of the positives there: so the prior is the ratio of both shares above the
+    score at which that ratio, with an allowance for chance, is least.
+    """
+    if not positives or not unlabelled:
+        return 0.0
+    totals: tuple[list[float], list[float]] = ([], [])
+    for k in range(FOLDS):
+        model = train(*([x for i, x in enumerate(rows) if i % FOLDS != k] for rows in (positives, unlabelled)), START)
+        scorer = Scorer(model.base, tuple(model.weights.items()))
+        for rows, found in zip((positives, unlabelled), totals, strict=True):
+            found += [scorer.total(x) for x in rows[k::FOLDS]]
+    p, u = map(np.sort, totals)
+    at = np.unique(p)
+    above_p, above_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+    chance = np.sqrt(np.log(4 / DOUBT) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
+    best = np.argmin((above_u + chance) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 1 / (1 + len(u)), 0.99))
+
+
+def fit(docs: DataFrame, labels: DataFrame, prior: float | Callable | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Train on documents whose doc_id isn't held out.
 
-    ``prior``: share of toxic documents in unlabelled text; None: the share of positives among the labelled ones.
+    ``prior``: share of toxic documents in unlabelled text; a function of both samples' features that estimates it
+    (:func:`class_prior`); None: the share of positives among the labelled documents.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
+        known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    toxic = sample_keys(own.join(known.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi"), positives)
-    found = _features(docs, toxic, None)
-    # Of unlabelled documents only the features that can get a weight come to the driver.
-    return train(found, _features(docs, sample_keys(own, unlabelled), frequent(found)), prior)
+    drawn = _drawn(docs, labels, positives, unlabelled)
+    of_positives = drawn.filter("positive")
+    least = min(LEAST, of_positives.count())
+    kept = of_positives.select(F.explode("f").alias("f")).groupBy("f").count().filter(F.col("count") >= least).select("f").toArrow()
+    # Only features that can get a weight come to the driver.
+    wanted = np.zeros(SPACE, dtype=bool)
+    wanted[kept.column("f").to_numpy()] = True
+
+    def run(batch):
+        rows = (x.values.to_numpy() for x in batch.column("f"))
+        return {**{c: batch.column(c) for c in ("doc_id", "positive", "open")}, "f": [x[wanted[x]] for x in rows]}
 
+    got = map_rows(drawn, run, "doc_id long, positive boolean, open boolean, f array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    rows = [np.array(x.values, dtype=np.int32) for x in got.column("f")]
+    toxic, other = ([x for x, yes in zip(rows, got.column(c).to_pylist(), strict=True) if yes] for c in ("positive", "open"))
+    return train(toxic, other, prior(toxic, other) if callable(prior) else prior)
 
-def _features(docs: DataFrame, ids: DataFrame, kept: np.ndarray | None) -> list[np.ndarray]:
-    """Features of the documents of a bounded sample (those in ``kept``), in the order of doc_id."""
+
+def _drawn(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> DataFrame:
+    """The bounded sample, written: doc_id, positive, open (drawn as an unlabelled one), f (its features).
+
+    The table's ids are read once and written, with their places by hash; then the texts of the drawn ones are read.
+    """
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    learned = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    toxic = labels.filter(F.col("toxic") == 1).select(doc_id).filter(learned).distinct().withColumn("toxic", F.lit(True))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("place")
+    ids = docs.select(doc_id).filter(learned).distinct().join(toxic, "doc_id", "left")
+    ids = materialize(ids.select("doc_id", F.coalesce("toxic", F.lit(False)).alias("toxic"), place), "toxicity-ids")
+    n, n_toxic = ids.agg(F.count(F.lit(1)), F.count_if("toxic")).first()
+
+    def least(rows: DataFrame, of: int, most: int) -> DataFrame:
+        # About twice the wanted rows reach the one task that ranks them.
+        below = PLACES if of <= 2 * most else PLACES // of * 2 * most
+        return rows.filter(F.col("place") < F.lit(below)).orderBy("place", "doc_id").limit(most)
+
+    chosen = least(ids.filter("toxic"), n_toxic, positives).select("doc_id", F.lit(True).alias("positive"), F.lit(False).alias("open"))
+    chosen = chosen.unionAll(least(ids, n, unlabelled).select("doc_id", F.lit(False), F.lit(True)))
+    chosen = chosen.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("open").alias("open"))
 
     def run(batch):
-        wanted = np.full(SPACE, kept is None)
-        if kept is not None:
-            wanted[kept] = True
-        rows = (features(t) for t in batch.column("text").to_pylist())
-        return {"doc_id": batch.column("doc_id"), "f": [x[wanted[x]] for x in rows]}
+        return {**{c: batch.column(c) for c in ("doc_id", "positive", "open")}, "f": list(map(features, batch.column("text").to_pylist()))}
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(doc_id, F.col("text").cast("string").alias("text"))
     # The sample's ids: a proven bound for the broadcast.
-    found = map_rows(texts.join(F.broadcast(ids), "doc_id"), run, "doc_id long, f array<int>")
-    got = found.groupBy("doc_id").agg(F.min("f").alias("f")).toArrow().sort_by([("doc_id", "ascending")])
-    return [np.array(x.values, dtype=np.int32) for x in got.column("f")]
+    found = map_rows(texts.join(F.broadcast(chosen), "doc_id"), run, "doc_id long, positive boolean, open boolean, f array<int>")
+    # Of repeated rows one.
+    one = found.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("open").alias("open"), F.min("f").alias("f"))
+    return materialize(one, "toxicity-sample")
 
 
 class Scorer:
@@ -208,6 +265,10 @@ class Scorer:
         found = {feature for base, n in counts.items() for level, feature in self._levels[base] if n >= level}
         return float(_sigmoid(self._start + sum(map(self._weights.__getitem__, sorted(found)))))
 
+    def total(self, found: np.ndarray) -> float:
+        """The log-odds of a text with these features."""
+        return self._start + sum(self._weights.get(f, 0.0) for f in found.tolist())
+
 
 @functools.lru_cache(2)
 def _scorer(base: float, weights: tuple) -> Scorer:

@@ -76,3 +76,31 @@ def test_held_out_accuracy(spark):
     assert all(r.predicted == (r.score >= 0.3) for r in got)
     hit = np.array([r.predicted for r in got])
     assert y[hit == 1].mean() > 0.75 and hit[y == 1].mean() > 0.85
+
+
+def test_prior_from_positives_and_unlabelled_text():
+    texts, labels = made(900)
+    toxic, texts = [tx.features(t) for _, t in texts if any(b in t for b in BAD)], [tx.features(t) for _, t in texts]
+    assert abs(tx.class_prior(toxic[::2], texts) - len(toxic) / len(texts)) < 0.05
+    assert tx.class_prior([], texts) == tx.class_prior(toxic, []) == 0.0
+    assert 0 < tx.class_prior(toxic[:1], texts[:2]) < 1
+
+
+def test_labels_of_clean_documents_teach_nothing(spark):
+    texts, labels = made(200)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    a, b = (tx.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int"), tx.class_prior) for x in (labels, [r for r in labels if r[1]]))
+    assert a == b and a.weights
+
+
+def test_sample_is_bounded_and_the_least_by_hash(spark):
+    texts, labels = made(200)
+    docs = spark.createDataFrame(texts + texts[:50], "doc_id long, text string")
+    drawn = tx._drawn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), 7, 20).collect()
+    learned = {r.doc_id: r.h for r in docs.filter(~tx.held_out(docs.doc_id)).selectExpr("doc_id", "pmod(xxhash64(doc_id), 1L << 62) h").collect()}
+    toxic = {i for i, y in labels if y}
+    order = sorted(learned, key=learned.get)
+    assert {r.doc_id for r in drawn if r.open} == set(order[:20])
+    assert {r.doc_id for r in drawn if r.positive} == set([i for i in order if i in toxic][:7])
+    assert len({r.doc_id for r in drawn}) == len(drawn)
+    assert all(r.f == tx.features(dict(texts)[r.doc_id]).tolist() for r in drawn)
