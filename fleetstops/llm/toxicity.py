@@ -2,8 +2,8 @@
 
 A logistic model over sparse word features is trained in numpy from confirmed toxic documents and from unlabelled
 text; no text is learned from as "not toxic". The class prior p is a parameter: by default the share of positives
-among all labelled documents (the one use of other labels), or an estimate from the two samples (``class_prior``). With p, the risk of calling unlabelled text toxic
-is corrected by the positives it must hold: R = p R+(positives) + max(0, R-(unlabelled) - p R-(positives)). While the
+among all labelled documents (the one use of other labels), or an estimate from the two samples (``class_prior``).
+With p, the risk of calling unlabelled text toxic is corrected by the positives it must hold: R = p R+(positives) + max(0, R-(unlabelled) - p R-(positives)). While the
 second part is negative, which only chance or over-fitting can make it, it pulls at nothing.
 
 Features of a text: its lower-cased words and their beginnings of 4 to 7 letters, each at the levels "at least 1, 2
